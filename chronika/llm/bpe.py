@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +37,13 @@ NO_RANK = 1 << 60
 #: Fixed: the pre-token pattern that byte-level BPE files with use_regex mean.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Texts of these characters alone (ASCII without separators 1C-1F, Latin letters to U+024F, common
+#: punctuation) are split by the same pattern with its classes written out, which is faster.
+LATIN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PLAIN_TEXT = re.compile(f"[\x00-\x1b\x20-\x7f{LATIN}\u00a1\u00bf\u2010-\u2027]*")
+BLANK = " \\t\\n\\r\\f\\v"
+PLAIN_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LATIN}]+| ?[0-9]+| ?[^{BLANK}{LATIN}0-9]+|[{BLANK}]+(?![^{BLANK}])|[{BLANK}]+"
+
 
 def default_tokenizer_path() -> str:
     import public_tokenizers
@@ -52,6 +60,22 @@ def byte_alphabet() -> dict[str, int]:
     return out
 
 
+class WordCache(dict):
+    """Packed ids by pre-token; a missing one is merged, and kept while there is room."""
+
+    def __init__(self, merge):
+        super().__init__()
+        self.merge = merge
+
+    def __missing__(self, word: str) -> bytes:
+        ids = array("I", self.merge(word.encode("utf-8", "surrogatepass"))).tobytes()
+        if len(word) <= 64:
+            if len(self) >= CACHE_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class ByteBpe:
     """One tokenizer file; encodes texts to ids and decodes ids to text."""
 
@@ -78,8 +102,12 @@ class ByteBpe:
             self.token_bytes[i] = content.encode()
         by_length = sorted(self.special, key=len, reverse=True)
         self.special_split = regex.compile("(" + "|".join(map(regex.escape, by_length)) + ")") if by_length else None
-        self.words = regex.compile(PATTERN)
-        self.cache: dict[str, bytes] = {}
+        self.words, self.plain_words = regex.compile(PATTERN), re.compile(PLAIN_PATTERN)
+        self.cache = WordCache(self.merge)
+
+    def split(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special tokens."""
+        return (self.plain_words if PLAIN_TEXT.fullmatch(text) else self.words).findall(text)
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token."""
@@ -119,30 +147,19 @@ class ByteBpe:
                     heapq.heappush(heap, (r, a, k))
         return [i for i in ids if i >= 0]
 
-    def packed(self, word: str) -> bytes:
-        """The ids of one pre-token as little-endian 32-bit integers; frequent words come from a bounded cache."""
-        ids = self.cache.get(word)
-        if ids is None:
-            ids = array("I", self.merge(word.encode("utf-8", "surrogatepass"))).tobytes()
-            if len(word) <= 64:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = ids
-        return ids
-
     def count(self, word: str) -> int:
-        return len(self.packed(word)) // 4
+        return len(self.cache[word]) // 4
 
     def encode_packed(self, text: str | None) -> bytes:
+        """The ids of a text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        cache, packed = self.cache, self.packed
-        out = []
+        packed, out = self.cache.__getitem__, []
         for k, piece in enumerate(self.special_split.split(text) if self.special_split else [text]):
             if k % 2:
                 out.append(array("I", [self.special[piece]]).tobytes())
             elif piece:
-                out += [cache[w] if w in cache else packed(w) for w in self.words.findall(piece)]
+                out.append(b"".join(map(packed, self.split(piece))))
         return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
