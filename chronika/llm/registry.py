@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronika.llm import bpe, langid, quality, simhash
+from chronika.llm import bpe, langid, quality, simhash, suffix_dedup
 from chronika.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, fitted).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep_text=False)
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -33,7 +37,7 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op5_language_id, op8_simhash_near_dedup, op9_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_quality_classifier, op5_language_id, op6_suffix_array_dedup, op8_simhash_near_dedup, op9_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
