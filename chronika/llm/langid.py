@@ -216,5 +216,18 @@ def predict(docs: DataFrame, fitted: DataFrame, size: int = PROFILE_SIZE, id_col
     return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def accepted(docs: DataFrame, fitted: DataFrame, size: int = PROFILE_SIZE, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language; no shuffle."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    ranker = spark.sparkContext.broadcast(Ranker([(r.lang, r.gram, r["rank"]) for r in fitted.collect()], size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches, text_col):
+            yield part.filter(pa.array([x != UND for x in ranker.value.predict(texts)[0]], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % folds == fold

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronika.llm import bpe, langid, quality, simhash, suffix_dedup
+from chronika.llm import bpe, decontaminate, langid, quality, simhash, suffix_dedup
 from chronika.llm.common import table
 
 
@@ -36,8 +36,18 @@ def op9_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op5_language_id, op6_suffix_array_dedup, op8_simhash_near_dedup, op9_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_quality_classifier, op5_language_id, op6_suffix_array_dedup, op8_simhash_near_dedup, op9_bpe_round_trip, op10_benchmark_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
