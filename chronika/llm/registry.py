@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronika.llm import bpe, decontaminate, langid, quality, simhash, suffix_dedup
+from chronika.llm import bpe, decontaminate, langid, neardup_embeddings, quality, simhash, suffix_dedup
 from chronika.llm.common import table
 
 
@@ -17,6 +17,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("component", "component_id")
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fitted = langid.profiles(docs.filter(~langid.held_out()))
@@ -47,7 +52,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op5_language_id, op6_suffix_array_dedup, op8_simhash_near_dedup, op9_bpe_round_trip, op10_benchmark_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_quality_classifier, op3_embedding_near_dedup, op5_language_id, op6_suffix_array_dedup, op8_simhash_near_dedup, op9_bpe_round_trip, op10_benchmark_decontamination, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
