@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronika.llm import bpe, decontaminate, langid, neardup_embeddings, quality, simhash, suffix_dedup
+from chronika.llm import bpe, decontaminate, html_text, langid, lm_scoring, neardup_embeddings, quality, simhash, suffix_dedup, token_counts
 from chronika.llm.common import table
 
 
@@ -17,11 +17,19 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup_embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
     return found.withColumnRenamed("component", "component_id")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.edited_counts(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     fitted = langid.profiles(docs.filter(~langid.held_out()))
@@ -32,6 +40,13 @@ def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"), keep_text=False)
 
 
+def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target is what labels calls good and not toxic; the background is every document."""
+    docs = table(spark, sf_dir, "documents")
+    good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
+    return lm_scoring.score(docs, docs.join(good, "doc_id", "left_semi"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -51,8 +66,23 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
+QUERIES = (
+    op1_quality_classifier,
+    op2_html_extraction,
+    op3_embedding_near_dedup,
+    op4_token_counts,
+    op5_language_id,
+    op6_suffix_array_dedup,
+    op7_lm_scoring,
+    op8_simhash_near_dedup,
+    op9_bpe_round_trip,
+    op10_benchmark_decontamination,
+    pipeline,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_classifier, op3_embedding_near_dedup, op5_language_id, op6_suffix_array_dedup, op8_simhash_near_dedup, op9_bpe_round_trip, op10_benchmark_decontamination, pipeline)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
