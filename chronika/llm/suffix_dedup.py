@@ -95,7 +95,8 @@ class Parse:
         sizes = np.array([len(p) for _, _, p in pieces], np.int64)
         data = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
         self.length, total = length, len(data)
-        self.text = self.start = self.n = np.zeros(0, np.int64)
+        self.text = self.start = self.n = self.at = np.zeros(0, np.int64)
+        self.sums = self.up = np.ones(1, U64)
         self.trigger = self.phrase = np.zeros(0, U64)
         ends = np.cumsum(sizes)
         begins = ends - sizes
