@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronika.llm.common import checkpointed, ship_package, text_chunks
+from chronika.llm.common import checkpointed, partitions, ship_package, text_chunks
 from chronika.llm.components import Union, connected_components
 
 BUDGET = 3
@@ -63,16 +63,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
 
 
-def trie_pairs(fps: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def trie_pairs(fps: np.ndarray, budget: int = BUDGET, starts: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places of pairs in sorted distinct fps that differ in at most budget bits, in bounded portions.
 
     A node is a range of the sorted array: those that share their first bits. A stack holds
     portions of node pairs (low and high ends of both, bits that differ so far) of one depth.
+    starts: where each of several tries begins, if fps holds one after the other; all are walked together.
     """
-    n = len(fps)
-    if n < 2:
+    low = np.zeros(1, np.int64) if starts is None else starts
+    high = np.append(low[1:], len(fps))
+    low, high = low[high - low > 1], high[high - low > 1]
+    if not len(low):
         return
-    stack = [(0, np.array([[0], [n], [0], [n], [0]]))]
+    stack = [(0, np.array([low, high, low, high, np.zeros_like(low)]))]
     while stack:
         depth, pairs = stack.pop()
         if pairs.shape[1] > FRONTIER:
@@ -106,11 +109,15 @@ def trie_pairs(fps: np.ndarray, budget: int = BUDGET) -> Iterator[tuple[np.ndarr
             stack.append((depth + 1, nxt))
 
 
-def group_edges(fps: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
-    """Each fingerprint that has a link within the group, and the least one of its set there."""
-    fps = np.unique(fps)
+def group_edges(keys: np.ndarray, fps: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint that has a link within its group (key), and the least one of its set there."""
+    order = np.lexsort((fps, keys))
+    keys, fps = keys[order], fps[order]
+    new_key = np.append(True, keys[1:] != keys[:-1])
+    distinct = new_key | np.append(True, fps[1:] != fps[:-1])
+    keys, fps, new_key = keys[distinct], fps[distinct], new_key[distinct]
     sets = Union(len(fps))
-    for a, b in trie_pairs(fps, budget):
+    for a, b in trie_pairs(fps, budget, np.flatnonzero(new_key)):
         sets.link(a, b)
     moved = sets.root != np.arange(len(fps))
     return fps[moved], fps[sets.root[moved]]
@@ -124,8 +131,12 @@ def linked(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -
     if not 0 <= budget <= 3:
         raise ValueError("budget must be from 0 to 3")
 
-    def walk(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = group_edges(pdf["fp"].to_numpy().view(np.uint64), budget)
+    share = 8 * partitions(fps.sparkSession)  # groups are walked many at a time
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        a, b = group_edges(pdf["key"].to_numpy(), pdf["fp"].to_numpy().view(np.uint64), budget)
         return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     def quarters(rows: DataFrame, width: int) -> DataFrame:
@@ -149,7 +160,7 @@ def linked(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -
         last = hot is None or hot.isEmpty()
         # A fingerprint alone in its group has no partner there.
         shared = sizes.filter("count > 1") if last else sizes.filter(F.col("count").between(2, group_rows))
-        edges = rows.join(shared.select("key"), "key", "left_semi").select("key", "fp").groupBy("key").applyInPandas(walk, "a long, b long")
+        edges = rows.join(shared.select("key"), "key", "left_semi").select("key", "fp").groupBy(F.pmod("key", F.lit(share)).alias("share")).applyInPandas(walk, "a long, b long")
         found = edges if found is None else found.union(edges)
         if last:
             break
