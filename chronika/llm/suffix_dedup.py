@@ -443,7 +443,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     ship_package(spark)
     table = blocks_table(docs, id_col, text_col)
     bits = min(16, max(6, (2 * partitions(spark) - 1).bit_length()))
-    packed = T._parse_datatype_string(PACKED)
+    packed = PACKED
 
     def block_step(fn):
         def run(docs: pa.Table, said: pa.Table) -> pa.Table:
