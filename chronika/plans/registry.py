@@ -1,21 +1,45 @@
-"""Named catalogue queries on the star-schema tables, with an equivalent SQL text each."""
+"""Named catalogue queries on the star-schema tables, with an equivalent SQL text each.
+
+The tables stand in for the catalogue's: orders for events (date, status as type, priority as era), line items for sides,
+nations and regions for conflicts and the ones above them, documents for prose, parts for names, embeddings for points.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query under its function's name, with the SQL that it equals."""
+
+    def register(fn: Query) -> Query:
+        _queries[fn.__name__] = fn
+        if sql is not None:
+            _sql[fn.__name__] = sql
+        return fn
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def filter_list_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return orders.filter(F.col("o_orderstatus") == "O").orderBy("o_orderdate", "o_orderkey").offset(20).limit(50)
+def _load() -> None:
+    from chronika.plans import relational_queries, text_queries, time_space_queries  # noqa: F401  they register themselves
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"filter_list_page": filter_list_page}
+def queries() -> dict[str, Query]:
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_sql)
