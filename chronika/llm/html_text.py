@@ -2,7 +2,7 @@
 
 A tree is built from the tags, with the implied ones: a paragraph ends where a block begins, an
 item, row, cell, term or option where its next sibling does, void elements hold nothing, and an end
-tag closes what is open within it. Comments, declarations, scripts and styles are skipped. Hidden
+tag closes what is open within it, but for blocks within formatting. Comments, declarations, scripts and styles are skipped. Hidden
 is what stands in the head, in templates, noscript and other elements that show no text, what has
 the attribute hidden, and what an inline style sets to display:none or visibility:hidden.
 
@@ -109,7 +109,10 @@ def build(page: str) -> Node:
         if m[1]:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == tag:
-                    del open_[k:]
+                    if tag in BLOCK or not any(n.tag in BLOCK for n in open_[k + 1 :]):
+                        del open_[k:]
+                    else:  # the end of formatting leaves the blocks within it open
+                        del open_[k]
                     break
                 if open_[k].tag in ("table", "template") and tag not in ("body", "html"):
                     break
