@@ -53,7 +53,7 @@ def force_figures(text: Column) -> Column:
 def comparable_force(text: Column, equipment: str = "ship|gun|tank|aircraft|plane|vessel|galley|cannon", least: int = 50) -> Column:
     """The largest force stated, before any civilian part; 0 if it counts equipment or is not over `least`."""
     text = F.coalesce(text, F.lit(""))
-    military = F.regexp_replace(text, r"(?is)[,;(]?\s*\bcivilian.*$", "")
+    military = F.regexp_replace(text, r"(?is)[,;(]?\s*(?:and\s+)?(?:[0-9][0-9,.]*\s*(?:thousand|million|k|m)?\s*)?\bcivilian.*$", "")
     most = F.coalesce(F.array_max(force_figures(military)), F.lit(0.0))
     return F.when(F.lower(text).rlike(equipment) | (most <= least), 0.0).otherwise(most)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chronika.functions import geo, text
 
-KM_PER_DEGREE = 111.2
+KM_PER_DEGREE = 111.0  # a little less than a degree has, so that cells are a little wider than the distance
 
 
 def as_of(rows: DataFrame, snapshots: DataFrame, key: str, at: str, year: str, value: str) -> DataFrame:
@@ -35,7 +35,7 @@ def cells(rows: DataFrame, lat: Column, lng: Column, km: float, spread: bool) ->
     size = km / KM_PER_DEGREE
     row = F.floor(lat / size)
     columns = lambda r: F.floor(F.lit(360.0) * F.greatest(F.cos(F.radians(F.least(F.greatest(F.abs(r), F.abs(r + 1)) * size + size, F.lit(90.0)))), F.lit(0.0)) / size)
-    place = lambda r, x: F.when(columns(r) < 3, F.lit(0)).otherwise(F.floor((x + 180.0) / (360.0 / columns(r))))
+    place = lambda r, x: F.when(columns(r) < 3, F.lit(0)).otherwise(F.pmod(F.floor((x + 180.0) / (360.0 / columns(r))), columns(r)))
     if not spread:
         return rows.withColumn("_row", row).withColumn("_column", place(row, lng))
     near = F.flatten(F.transform(F.sequence(row - 1, row + 1), lambda r: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: F.struct(r.alias("r"), F.when(columns(r) < 3, F.lit(0)).otherwise(F.pmod(place(r, lng) + d, columns(r))).cast("bigint").alias("c")))))
