@@ -24,6 +24,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from chronika.llm.common import ship_package, text_chunks
 
 LONG_WORD = 256
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 300_000
 NO_RANK = 1 << 60
 #: Fixed: the pre-token pattern that byte-level BPE files with use_regex mean.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -180,21 +181,21 @@ def tokenizer(path: str) -> ByteBpe:
 
 
 def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<bigint>, n_tokens) of every text; one pass without a shuffle."""
+    """(id, ids array<int>, n_tokens) of every text; one pass without a shuffle."""
     ship_package(docs.sparkSession)
     path = path or default_tokenizer_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
         for part, texts in text_chunks(batches):
-            ids = [array("I", bpe.encode_packed(t)) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array(ids, pa.list_(pa.int64())), pa.array([len(x) for x in ids], pa.int64())],
-                names=["id", "ids", "n_tokens"],
-            )
+            packed = [bpe.encode_packed(t) for t in texts]
+            counts = np.array([len(x) // 4 for x in packed], np.int64)
+            flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([part.column(0), ids, pa.array(counts)], names=["id", "ids", "n_tokens"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, ids array<bigint>, n_tokens long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(run, "id long, ids array<int>, n_tokens long").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -207,7 +208,7 @@ def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id",
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([bpe.decode(x or []) for x in b.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
-    rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<bigint>").alias("ids"))
+    rows = encoded.select(F.col(id_col).cast("long").alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
     return rows.mapInArrow(run, "id long, text string").withColumnRenamed("id", id_col)
 
 

@@ -58,7 +58,7 @@ class TokenCodes(dict):
             low = token.lower()
             code = xxhash.xxh64_intdigest(low.encode("utf-8", "replace"), 7) & ~7 | 1 << 40
             code |= (NUMBER if token[0].isdigit() else 0) | (UNIT if low in UNIT_WORDS else 0) | (CAPITAL if token[0].isupper() else 0)
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         if len(token) <= 64:
             self[token] = code
