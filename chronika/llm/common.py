@@ -10,8 +10,10 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE_ROOT = Path(__file__).resolve().parents[2]
+ROWS_AT_ONCE = 256  # of a batch that become Python strings together
 _shipped: set[str] = set()
 
 
@@ -57,6 +59,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Ids that a broadcast join may hold: some 50 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of some ids: by a broadcast up to BROADCAST_IDS of them, which are counted first, by a shuffle beyond."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -65,14 +77,16 @@ def text_chunks(
     batches: Iterable[pa.RecordBatch], column: str = "text", max_chars: int = 400_000
 ) -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of the batches whose texts hold max_chars together, or one longer text alone."""
-    for batch in batches:
-        texts = batch.column(column).to_pylist()
-        start, held = 0, 0
-        for i, t in enumerate(texts):
-            n = len(t) if t else 0
-            if i > start and held + n > max_chars:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, held = i, 0
-            held += n
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+    for whole in batches:
+        for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+            batch = whole.slice(at, ROWS_AT_ONCE)
+            texts = batch.column(column).to_pylist()
+            start, held = 0, 0
+            for i, t in enumerate(texts):
+                n = len(t) if t else 0
+                if i > start and held + n > max_chars:
+                    yield batch.slice(start, i - start), texts[start:i]
+                    start, held = i, 0
+                held += n
+            if start < len(texts):
+                yield batch.slice(start), texts[start:]
