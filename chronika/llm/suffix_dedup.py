@@ -47,7 +47,7 @@ from chronika.llm.common import checkpointed, ensure_checkpoint_dir, partitions,
 
 LENGTH = 50
 TRIGGER = 24
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 CHUNK_BYTES = 1 << 20
 NO_DOC = np.iinfo(np.int64).max
 U64 = np.uint64
