@@ -233,6 +233,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for part, texts in text_chunks(batches, text_col):
                 yield part.filter(pa.array([not held.value.found(t, coverage) for t in texts], pa.bool_()))
+            CODES.clear()  # the worker goes on to other stages
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs
