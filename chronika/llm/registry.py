@@ -85,5 +85,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+#: All pairs of a label, so for small tables; the others have no counterpart in SQL (compression, XXH64, BPE, layout).
+SQL = {
+    "op3_embedding_near_dedup": """with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
+r(id, c) as (select vec_id, vec_id from embeddings union select l.b, r.c from r join l on l.a = r.id)
+select vec_id, (select count(*) from l where l.a = vec_id) as n_links, min(c) as component_id, vec_id = min(c) as kept from embeddings join r on id = vec_id group by vec_id"""
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
