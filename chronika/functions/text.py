@@ -149,11 +149,23 @@ def ordinal_mismatch(a: Column, b: Column) -> Column:
     return (F.size(F.array_except(odd(a), odd(b))) > 0) | (F.size(F.array_except(odd(b), odd(a))) > 0)
 
 
+#: Fixed: phrases and what they are spelled as in a key, in this order.
+SPELLINGS = (
+    ("second world war", "world war ii"),
+    ("first world war", "world war i"),
+    ("the great war", "world war i"),
+    ("(world war ii)", "of world war ii"),
+    ("(world war i)", "of world war i"),
+    ("theatre", "theater"),
+    ("of the world war", "of world war"),
+)
+
+
 def conflict_key(name: Column) -> Column:
     """The key under which spellings of one conflict meet."""
     out = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), "[–—−]", "-")
     out = F.regexp_replace(out, "^the ", "")
-    for said, meant in (("second world war", "world war ii"), ("first world war", "world war i"), ("the great war", "world war i"), ("(world war ii)", "of world war ii"), ("(world war i)", "of world war i"), ("theatre", "theater"), ("of the world war", "of world war")):
+    for said, meant in SPELLINGS:
         out = F.replace(out, F.lit(said), F.lit(meant))
     out = F.when(out == "great war", "world war i").otherwise(out)
     return F.trim(F.regexp_replace(out, " {2,}", " "))
