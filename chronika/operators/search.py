@@ -43,18 +43,24 @@ def prefix_match(index: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 
 def bm25(index: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(id, score) of the documents that match all prefix terms; higher is better. Totals are one broadcast row."""
-    lengths = index.groupBy("id").agg(F.sum("tf").alias("length"))
-    totals = F.broadcast(lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("mean")))
-    matching = prefix_match(index, terms)
-    score = None
-    for t in sorted({t.lower() for t in terms}):
-        tf = index.filter(F.startswith("token", F.lit(t))).groupBy("id").agg(F.sum("tf").alias("tf"))
-        df = F.broadcast(tf.agg(F.count("*").alias("df")))
-        idf = F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        part = tf.join(lengths, "id").crossJoin(totals).crossJoin(df).select("id", (idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))).alias("part"))
-        score = part if score is None else score.union(part)
-    return score.join(matching, "id", "left_semi").groupBy("id").agg(F.sum("part").alias("score"))
+    """(id, score) of the documents that match all prefix terms; higher is better.
+
+    One aggregation by document gives its length and the terms' frequencies; the totals over it are one broadcast row.
+    """
+    folded = sorted({t.lower() for t in terms})
+    if not folded:
+        return index.select("id", F.lit(0.0).alias("score")).limit(0)
+    hits = [F.sum(F.when(F.startswith("token", F.lit(t)), F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(folded)]
+    docs = index.groupBy("id").agg(F.sum("tf").alias("length"), *hits)
+    found = [F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(folded))]
+    totals = F.broadcast(docs.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *found))
+    score, matching = F.lit(0.0), F.lit(True)
+    for i in range(len(folded)):
+        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
+        idf = F.log((F.col("docs") - df + 0.5) / (df + 0.5) + 1)
+        score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+        matching = matching & (tf > 0)
+    return docs.crossJoin(totals).filter(matching).select("id", score.alias("score"))
 
 
 def name_distance(query: str, name: Column) -> Column:
