@@ -62,16 +62,20 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class WordCache(dict):
-    """Packed ids by pre-token; a missing one is merged, and kept while there is room."""
+    """Packed ids by pre-token in two generations: a full one becomes the old one, from which words still in use come back."""
 
     def __init__(self, merge):
         super().__init__()
         self.merge = merge
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = array("I", self.merge(word.encode("utf-8", "surrogatepass"))).tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            ids = array("I", self.merge(word.encode("utf-8", "surrogatepass"))).tobytes()
         if len(word) <= 64:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= CACHE_WORDS // 2:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
