@@ -46,6 +46,21 @@ def test_embeddings_equal_brute_force(spark, leaf_rows):
     assert all(r.kept == (r.vec_id == r.component) for r in found.collect())
 
 
+@pytest.mark.parametrize(("rows", "leaf_rows"), [(6000, 2048), (3000, 100)])
+def test_dense_cluster_keeps_all_links(spark, rows, leaf_rows):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    centre /= np.linalg.norm(centre)
+    x = np.concatenate([centre + rng.standard_normal((rows - 500, 64)) * 0.0165, rng.standard_normal((500, 64))]).astype(np.float32)
+    near = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    want = [int((near[i] @ near.T >= 0.98).sum()) - 1 for i in range(rows)]
+    assert sum(want) > 0.5 * (rows - 500) ** 2
+    frame = spark.createDataFrame([(i, 1, v) for i, v in enumerate(x.tolist())], "vec_id long, label int, embedding array<float>")
+    found = {r.vec_id: r for r in neardup_embeddings.near_duplicates(frame, leaf_rows=leaf_rows).collect()}
+    assert [found[i].n_links for i in range(rows)] == want
+    assert {found[i].component for i in range(rows) if want[i]} == {min(i for i in range(rows) if want[i])}
+
+
 def test_no_embeddings(spark):
     assert neardup_embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, label int, embedding array<float>")).count() == 0
 
