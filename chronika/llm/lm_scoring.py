@@ -5,11 +5,13 @@ smoothing, so only what they were counted on tells them apart. A document's scor
 token under the background model less that under the target model: positive is nearer to the target.
 
 Tokens are runs of letters and digits (ASCII lower-cased; all bytes beyond ASCII) and runs of other
-visible characters. The vocabulary is the `vocabulary` most frequent tokens of the background, all
-others are one unknown token. Unigrams are counted exactly; bigrams in a table of 2^table_bits
-cells by hash, which is the size of the model, not of the data. All counts are over all rows:
-tasks send their counts in shards, shards are summed apart, and only the finished tables, of fixed
-size, come to the driver and go out to the tasks.
+visible characters. Every token and every bigram is counted, exactly but for 62-bit hashes, over all
+rows; nothing is capped, and no table of counts comes to the driver or goes to a task whole. The
+documents are dealt into chunks of some CHUNK_BYTES by a hash. A chunk sends each of its distinct
+tokens, contexts and bigrams once, with its counts, to the shards of the count table; a shard adds
+them up and answers each chunk with the sums of what it sent, and the chunk is scored with these.
+Chunks and shards grow in number with the input. With `vocabulary`, only as many of the background's
+most frequent tokens are told apart, all others are one unknown token.
 
 Null and empty texts have no tokens and score 0. Without target rows both models are smoothed to
 the same uniform one and differ by the background only. Repeated rows count and are scored each;
@@ -28,9 +30,10 @@ from pyspark.sql import functions as F
 from chronika.llm.common import checkpointed, partitions, ship_package
 from chronika.llm.suffix_dedup import BYTE_VALUE, POWERS, U64, mixed
 
-VOCABULARY = 50_000
-TABLE_BITS = 21
-SHARDS = 64
+CHUNK_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
+START, UNKNOWN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+UNIGRAM, CONTEXT, PAIR = 0, 1, 2
 MIX = 0.6
 ALPHA = 0.5
 CHUNK = 1 << 20
@@ -125,88 +128,138 @@ def top_tokens(texts: DataFrame, size: int) -> np.ndarray:
     return np.sort(np.array([r.token for r in rows], np.int64).view(U64))
 
 
-class Vocabulary:
-    """Ids of tokens: the place in the sorted vocabulary, or its size for all others."""
+def keys(raws: list[bytes], known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, keys of token, context and bigram) of each token; the low two bits of a key tell which. A text starts after a start mark."""
+    found, start, held = [], 0, 0
+    for i, r in enumerate([*raws, b""]):
+        if i == len(raws) or i > start and held + len(r) > CHUNK:
+            if start < i:
+                text, value = tokens(raws[start:i])
+                found.append((text + start, value))
+            start, held = i, 0
+        held += len(r)
+    text, value = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, U64))
+    if known is not None:
+        place = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
+        value = np.where(known[place] == value, value, UNKNOWN) if len(known) else np.full(len(value), UNKNOWN)
+    before = np.append(START, value[:-1])[: len(value)]
+    before[np.append(True, text[1:] != text[:-1])[: len(value)]] = START
+    kinds = mixed(value, 5), mixed(before, 6), mixed(mixed(before, 7) + value, 8)
+    return text, np.stack([k & ~U64(3) | U64(i) for i, k in enumerate(kinds)])
 
-    def __init__(self, known: np.ndarray, table_bits: int):
-        self.known, self.unknown, self.bits = known, len(known), table_bits
 
-    def ids(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, id, bigram cell) of each token; a text starts after a start mark."""
-        text, value = tokens(raws)
-        ids = np.full(len(value), self.unknown)
-        if len(self.known):
-            place = np.minimum(np.searchsorted(self.known, value), len(self.known) - 1)
-            ids = np.where(self.known[place] == value, place, self.unknown)
-        before = np.append(self.unknown + 1, ids[:-1])[: len(ids)]
-        before[np.append(True, text[1:] != text[:-1])[: len(ids)]] = self.unknown + 1
-        cell = mixed(before.astype(U64) << U64(32) | ids.astype(U64), 3) >> U64(64 - self.bits)
-        return text, ids, before, cell.astype(np.int64)
+def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys, the place of each given one among them, and their counts."""
+    return np.unique(key.ravel(), return_inverse=True, return_counts=True)
 
 
-class Counts:
-    """Tables of one model: c(w) with c(v) as context counts, and c(v, w) by cell."""
+def packed(n: np.ndarray) -> bytes:
+    return pa.compress(n.astype(np.int64).tobytes(), codec="zstd", asbytes=True)
 
-    def __init__(self, unigrams: np.ndarray, contexts: np.ndarray, cells: np.ndarray):
-        self.unigrams, self.contexts, self.cells = unigrams, contexts, cells
 
-    def losses(self, ids: np.ndarray, before: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        size, total = len(self.unigrams), self.unigrams.sum()
-        low = (self.unigrams[ids] + ALPHA) / (total + ALPHA * size)
-        seen = self.contexts[before]
-        joint = np.minimum(self.cells[cell], seen)  # a shared cell never makes a bigram more frequent than its first token
-        high = joint / np.maximum(seen, 1)
-        mix = np.where(seen > 0, MIX, 0.0)
-        return -np.log(mix * high + (1 - mix) * low)
+def unpacked(blob: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)
 
 
-def count_model(texts: DataFrame, vocabulary: Vocabulary) -> Counts:
-    """Counts over all rows (column text)."""
-    held = texts.sparkSession.sparkContext.broadcast(vocabulary)
-    size, cells = len(vocabulary.known) + 2, 1 << vocabulary.bits
-    width = 2 * size + cells
-    step = -(-width // SHARDS)
+SENT = "shard int, chunk int, keys binary, near binary, far binary"
+ANSWER = "chunk int, shard int, size int, near binary, far binary"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, np.int64)
-        any_row = False
-        for _, raws in chunks(batches, 0):
-            _, ids, before, cell = held.value.ids(raws)
-            at = np.sort(np.concatenate([ids, size + before, 2 * size + cell]))
-            first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else np.zeros(0, np.int64)
-            total[at[first]] += np.diff(np.append(first, len(at)))
-            any_row = True
-        if any_row:
-            parts = [total[s * step : (s + 1) * step] for s in range(SHARDS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(SHARDS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["shard", "n"])
 
-    def add(table: pa.Table) -> pa.Table:
-        total = 0
-        for n in table.column("n").to_pylist():
-            total = total + np.frombuffer(n, np.int64)
-        return pa.table([table.column("shard").slice(0, 1), pa.array([total.tobytes()], pa.binary())], names=["shard", "n"])
+def sent(chunk: int, key: np.ndarray, n: np.ndarray, near: int, far: int, shards: int) -> pa.Table:
+    """Distinct sorted keys, which are in order of shards, with their counts in the target (near) and the background (far)."""
+    shard = ((key >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+    at = np.searchsorted(shard, np.arange(shards + 1))
+    rows = [(s, chunk, key[a:b].tobytes(), packed(near * n[a:b]), packed(far * n[a:b])) for s, (a, b) in enumerate(zip(at, at[1:])) if b > a]
+    columns = list(zip(*rows)) if rows else [()] * 5
+    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "chunk", "keys", "near", "far"])
 
-    rows = texts.mapInArrow(run, "shard int, n binary").groupBy("shard").applyInArrow(add, "shard int, n binary").collect()
-    total = np.concatenate([np.frombuffer(r.n, np.int64) for r in sorted(rows)]) if rows else np.zeros(width, np.int64)
-    return Counts(total[:size], total[size : 2 * size], total[2 * size :].astype(np.float32))
 
+def texts_of(column: pa.ChunkedArray) -> list[bytes]:
+    return [r or b"" for r in column.cast(pa.binary()).to_pylist()]
 
-def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, vocabulary: int = VOCABULARY, table_bits: int = TABLE_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, score) of every row; losses are nats a token."""
+
+def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, vocabulary: int | None = None, table_bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, score) of every row; losses are nats a token. Counts are exact, so table_bits does nothing any more."""
     spark = docs.sparkSession
     ship_package(spark)
     as_text = lambda df: df.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
     around = as_text(docs if background is None else background)
-    words = Vocabulary(top_tokens(around, vocabulary), table_bits)
-    held = spark.sparkContext.broadcast((words, count_model(as_text(target), words), count_model(around, words)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, near, far = held.value
-        for part, raws in chunks(batches, 1):
-            text, *at = words.ids(raws)
-            n = np.bincount(text, minlength=len(raws))
-            a, b = (np.bincount(text, m.losses(*at), len(raws)) / np.maximum(n, 1) for m in (near, far))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(a), pa.array(b), pa.array(b - a)], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
-
+    held = spark.sparkContext.broadcast(None if vocabulary is None else top_tokens(around, vocabulary))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long, target_loss double, background_loss double, score double").withColumnRenamed("id", id_col)
+    bytes_of = lambda df: df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = bytes_of(rows)
+    n_chunks = max(partitions(spark), -(-size // CHUNK_BYTES))
+    shards = max(partitions(spark), -(-(size + (bytes_of(around) if background is not None else 0)) // SHARD_BYTES))
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)).cast("int"))
+    own = int(background is None)
+
+    def ask(table: pa.Table) -> pa.Table:
+        key, _, n = distinct(keys(texts_of(table.column("text")), held.value)[1])
+        return sent(table.column("chunk")[0].as_py(), key, n, 0, own, shards)
+
+    def tell(near: int, far: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            raws, n = [], 0
+            for _, more in chunks(batches, 0):
+                raws, n = raws + more, n + sum(map(len, more))
+                if n > CHUNK_BYTES:
+                    key, _, count = distinct(keys(raws, held.value)[1])
+                    yield from sent(-1, key, count, near, far, shards).to_batches()
+                    raws, n = [], 0
+            if raws:
+                key, _, count = distinct(keys(raws, held.value)[1])
+                yield from sent(-1, key, count, near, far, shards).to_batches()
+
+        return run
+
+    def add(table: pa.Table) -> pa.Table:
+        blobs = table.column("keys").to_pylist()
+        sizes = [len(b) // 8 for b in blobs]
+        key, place, _ = distinct(np.frombuffer(b"".join(blobs), U64))
+        sums = []
+        for c in ("near", "far"):
+            n = np.concatenate([unpacked(b, k) for b, k in zip(table.column(c).to_pylist(), sizes)])
+            total = np.zeros(len(key), np.int64)
+            np.add.at(total, place, n)
+            sums.append(total)
+        word = key & U64(3) == UNIGRAM
+        # Of the tokens: how many differ, and the sums of both models.
+        stats = np.array([((sums[0] + sums[1])[word] > 0).sum(), 0]), np.array([sums[0][word].sum(), sums[1][word].sum()])
+        shard = table.column("shard")[0].as_py()
+        out, at = [(-1, shard, 2, packed(stats[0]), packed(stats[1]))], 0
+        for chunk, n in zip(table.column("chunk").to_pylist(), sizes):
+            if chunk >= 0:
+                out.append((chunk, shard, n, *(packed(t[place[at : at + n]]) for t in sums)))
+            at += n
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "shard", "size", "near", "far"])
+
+    counts = rows.groupBy("chunk").applyInArrow(ask, SENT).union(as_text(target).mapInArrow(tell(1, 0), SENT))
+    if background is not None:
+        counts = counts.union(around.mapInArrow(tell(0, 1), SENT))
+    answers = checkpointed(counts.groupBy("shard").applyInArrow(add, ANSWER))
+    told = answers.filter("chunk = -1").collect()
+    words = sum(int(unpacked(r.near, 2)[0]) for r in told) if vocabulary is None else len(held.value)
+    totals = [sum(int(unpacked(r.far, 2)[i]) for r in told) for i in (0, 1)]
+
+    def losses(n: np.ndarray, place: np.ndarray, total: int) -> np.ndarray:
+        unigram, context, pair = n[place]
+        low = (unigram + ALPHA) / (total + ALPHA * (words + 2))
+        mix = np.where(context > 0, MIX, 0.0)
+        return -np.log(mix * pair / np.maximum(context, 1) + (1 - mix) * low)
+
+    def judge(docs: pa.Table, found: pa.Table) -> pa.Table:
+        raws = texts_of(docs.column("text"))
+        text, key = keys(raws, held.value)
+        place = distinct(key)[1].reshape(key.shape)
+        found = found.sort_by("shard")
+        n = np.bincount(text, minlength=len(raws))
+        both = []
+        for c, total in zip(("near", "far"), totals):
+            parts = [unpacked(b, k) for b, k in zip(found.column(c).to_pylist(), found.column("size").to_pylist())]
+            values = losses(np.concatenate(parts), place, total) if parts else np.zeros(0)
+            both.append(np.bincount(text, values, len(raws)) / np.maximum(n, 1))
+        a, b = both
+        return pa.table([docs.column("id"), pa.array(n), pa.array(a), pa.array(b), pa.array(b - a)], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    scored = rows.groupBy("chunk").cogroup(answers.filter("chunk >= 0").groupBy("chunk")).applyInArrow(judge, "id long, n_tokens long, target_loss double, background_loss double, score double")
+    return scored.withColumnRenamed("id", id_col)

@@ -190,6 +190,30 @@ def test_scores_equal_brute_force(spark):
         assert got[i].score == pytest.approx(far(i) - near(i))
 
 
+def test_no_bigram_is_cut(spark):
+    rng = random.Random(4)
+    texts = {i: " ".join(f"w{rng.randrange(60_000)}" for _ in range(20_000)) for i in range(12)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in lm_scoring.score(docs, docs.filter("doc_id < 2")).collect()}
+    words = {i: t.split() for i, t in texts.items()}
+    size = len({w for t in words.values() for w in t}) + 2
+    assert size > 55_000
+
+    def loss(i, ids):
+        uni = Counter(w for k in ids for w in words[k])
+        context = Counter(v for k in ids for v in ["<s>", *words[k][:-1]])
+        pair = Counter(p for k in ids for p in zip(["<s>", *words[k]], words[k]))
+        total = sum(uni.values())
+        out = 0.0
+        for v, w in zip(["<s>", *words[i]], words[i]):
+            mix = lm_scoring.MIX if context[v] else 0
+            out -= math.log(mix * pair[v, w] / max(context[v], 1) + (1 - mix) * (uni[w] + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * size))
+        return out / len(words[i])
+
+    for i in (0, 5):
+        assert got[i].target_loss == pytest.approx(loss(i, (0, 1))) and got[i].background_loss == pytest.approx(loss(i, texts))
+
+
 def test_scores_of_odd_rows_and_separation(spark):
     rows = lm_scoring.score(odd(spark), none(spark)).collect()
     assert len(rows) == odd(spark).count() and all(math.isfinite(r.score) for r in rows)
