@@ -1,11 +1,12 @@
 """Benchmark decontamination by template windows.
 
 Texts become templates: words in lower case, numbers as <num>, a unit after a number as <unit>,
-and, in a second template, runs of capitalised words within a sentence as <name>. Windows of
+and, in a second template, runs of capitalised words within a sentence as <name>. In a third, capitalised
+words that begin a sentence or text are <name> too, so that names may be exchanged there. Windows of
 `n` template words (the whole template if it is shorter) are hash-joined with the windows of the
 benchmark items; windows with fewer than two plain words say nothing and are left out of both
 sides. An item is found in a document if, near one alignment, at least `coverage` of its windows
-stand there in either template, and the slots agree: a value of a slot in the item goes with one
+stand there in one of the templates, and the slots agree: a value of a slot in the item goes with one
 value in the document wherever it comes again. So a question is found whose numbers, names or
 units were exchanged throughout, and a text is not that shares a phrase's shape only.
 
@@ -70,7 +71,7 @@ CODES = TokenCodes()
 
 
 class Template:
-    """Both templates of a text: codes, and for each position the place of its token."""
+    """The templates of a text: codes, and for each position the place of its token."""
 
     def __init__(self, text: str | None):
         self.tokens = TOKEN.findall(text or "")
@@ -83,22 +84,31 @@ class Template:
         unit = (raw & U64(UNIT)) != 0
         unit[1:] &= number[:-1]
         unit[:1] = False
-        name = ((raw & U64(CAPITAL)) != 0) & ~starts & ~unit
+        capital = ((raw & U64(CAPITAL)) != 0) & ~unit
         codes = raw & ~FLAGS
         codes[number] = PLACE["<num>"]
         codes[unit] = PLACE["<unit>"]
         self.plain, self.slot = codes, number | unit
-        self.named = None
-        if name.any():
-            follows = np.append(False, name[:-1])
-            keep = ~(name & follows)
-            self.named = np.where(name, PLACE["<name>"], codes)[keep], (self.slot | name)[keep], self.at[keep]
+        self.named = self._with(capital & ~starts)
+        self.begun = self._with(capital, starts)
+
+    def _with(self, name: np.ndarray, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """The template with runs of these names; a word at one of the starts stands alone, as it may be no name."""
+        if not name.any():
+            return None
+        follows = np.append(False, name[:-1])
+        if starts is not None:
+            follows[1:] &= ~(starts[:-1] | starts[1:])
+        keep = ~(name & follows)
+        return np.where(name, PLACE["<name>"], self.plain)[keep], (self.slot | name)[keep], self.at[keep]
 
     def kinds(self) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-        """(0: plain, 1: with names; codes; whether a slot; token places)."""
+        """(0: plain, 1: with names, 2: with names at starts too; codes; whether a slot; token places)."""
         yield 0, self.plain, self.slot, self.at
         if self.named is not None:
             yield 1, *self.named
+        if self.begun is not None:
+            yield 2, *self.begun
 
 
 def windows(codes: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -148,8 +158,8 @@ class Items:
             by_item = defaultdict(list)
             for i in hit.tolist():
                 for k, kind_, j in self.where.get(int(value[i]), ()):
-                    # An item without names has one template, which may stand in either of the text's.
-                    if kind_ == kind or (k, 1) not in self.total:
+                    # The plain template of an item without names within sentences may stand in any of the text's.
+                    if kind_ == kind or kind_ == 0 and (k, 1) not in self.total:
                         by_item[k, kind_].append((i, j))
             for (k, kind_), hits in by_item.items():
                 share, slots, changed = self.aligned(k, kind_, hits, t, at, slot, coverage)

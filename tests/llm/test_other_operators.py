@@ -87,6 +87,22 @@ def test_templates(text, found):
     assert [i for i, *_ in items.found(text, 0.8)] == [1] * found
 
 
+STORY = "Anna has 3 apples in a basket. Ben gives her 4 more from the garden. Anna eats 2 of them at noon. How many are left for Ben at night?"
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        (STORY, True),
+        ("Carla has 8 apples in a basket. Dan gives her 9 more from the garden. Carla eats 5 of them at noon. How many are left for Dan at night?", True),
+        ("as was said before Carla has 8 apples in a basket. Dan gives her 9 more from the garden. Carla eats 5 of them at noon. How many are left for Dan at night?", True),
+        ("Carla has 8 apples in a basket. Dan gives her 9 more from the garden. Eve eats 5 of them at noon. How many are left for Finn at night?", False),
+    ],
+)
+def test_names_at_sentence_starts(text, found):
+    assert [i for i, *_ in decontaminate.Items([(1, STORY)], 5).found(text, 0.8)] == [1] * found
+
+
 def test_planted_passages_and_blocks(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     texts = {r.item_id: r.text for r in bench.collect()}
