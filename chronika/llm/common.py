@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterable, Iterator
 from pathlib import Path
@@ -59,6 +61,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """A folder for what lies between the steps of one job, in the shared checkpoint folder."""
+
+    def __init__(self, spark: SparkSession):
+        ensure_checkpoint_dir(spark)
+        self.spark, self.parts = spark, 0
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/chronika-{uuid.uuid4().hex}"
+        self.path = f"{self.root}/steps"
+
+    def _written(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def saved(self, df: DataFrame) -> DataFrame:
+        """The rows, written, so that no lineage is carried on."""
+        self.parts += 1
+        return self._written(df, f"{self.path}/{self.parts}")
+
+    def kept(self, df: DataFrame) -> DataFrame:
+        """The rows of the result, written beside the steps, whose files then go."""
+        out = self._written(df, f"{self.root}/result")
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        return out
+
+
+def free_memory() -> None:
+    """Give memory that a Python worker has used and freed back to the system, as the worker stays for later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 #: Ids that a broadcast join may hold: some 50 MB.
 BROADCAST_IDS = 2_000_000
 

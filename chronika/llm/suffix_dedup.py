@@ -6,22 +6,28 @@ is removed. Strings never cross documents and are judged on the input.
 The parse. A rolling hash of `TRIGGER` bytes runs over each text; the trigger of a string of
 `length` bytes is the position in it with the smallest hash, the leftmost of equals. Equal strings
 have equal triggers, whatever stands around them, and every string has one. The strings of one
-trigger follow each other and make up a phrase, so each string lies in one phrase. Sorting the
-dictionary of phrases, then the suffixes of those phrases that share a trigger with another phrase,
-brings equal strings together without ever sorting all suffixes of the corpus:
+trigger follow each other and make up a phrase, and consecutive phrases overlap by `length` - 1
+bytes, so each string lies in one phrase. So the order of two suffixes of the corpus to `length`
+bytes is decided within the dictionary of distinct phrases: sort the suffixes of the dictionary, and
+neighbours that agree in `length` bytes are equal strings. Among equal ones the parse decides, the
+places of each phrase in order of documents; its first place is all that is asked for.
 
 1. triggers: which trigger hashes stand in more than one document;
-2. phrases: of the phrases at such triggers, each distinct one and the smallest document that has
-   it; later documents lose all its strings;
-3. suffixes: where several distinct phrases share a trigger, the strings (suffixes cut at `length`
-   bytes) of each phrase, once for its smallest document, with the smallest document of each string.
-
-Documents lie in blocks of some megabytes. A block sends each of its distinct triggers, phrases and
-strings once, so a passage that stands in a third of all documents costs one entry a block and step,
-and a step's answers come back to the blocks that asked. Blocks are a table bucketed by block in the
-checkpoint folder, so texts are shuffled in no step. It stays there as the result is read from it.
-
-Identity is by hashes: 44 bits or more of the trigger and 64 of the phrase or string.
+2. phrases: for each phrase at such a trigger, its first place in the parse (later documents lose all
+   its strings), and whether another phrase shares the trigger;
+3. dictionary: each phrase that shares its trigger is sent once, as bytes, to the part of the
+   dictionary of its trigger; there the suffixes that begin strings are sorted by their bytes (a
+   suffix array of the part), and the first place of each class of equal strings goes back.
+
+Strings of a trigger that more than CROWDED phrases share are dealt out one by one, by a hash of
+their bytes, so that no part of the dictionary grows with a hot passage. Strings are compared by
+their bytes; phrases and triggers only meet by hashes, phrases by 96 bits.
+
+Documents lie in blocks of BLOCK_BYTES or one longer document, with the places of their phrases. A
+block sends each of its distinct triggers and phrases once, so a passage that stands in a third of
+all documents costs one entry a block and step, and a step's answers come back to the blocks that
+asked. Blocks are files bucketed by block in the checkpoint folder, so texts are shuffled in no
+step. The result is written there too, then the blocks and answers are deleted.
 
 Null texts count as empty. Texts under `length` bytes are kept whole. Rows that repeat a doc_id are
 one document with several texts: they never remove from each other. Rows with a null id neither
@@ -37,20 +43,24 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronika.llm.common import checkpointed, ensure_checkpoint_dir, partitions, ship_package
+from chronika.llm.common import Scratch, free_memory, partitions, ship_package
 
 LENGTH = 50
 TRIGGER = 24
-BLOCK_BYTES = 10 << 20
-CHUNK_BYTES = 1 << 20
+BLOCK_BYTES = 8 << 20
+CHUNK_BYTES = 1 << 19
+PART_BYTES = 8 << 20  # of input for each part of the dictionary
+CROWDED = 4096
 NO_DOC = np.iinfo(np.int64).max
 U64 = np.uint64
+LOW = U64(0xFFFFFFFF)
 
 _random = np.random.default_rng(20240229)
 BYTE_VALUE = _random.integers(0, 1 << 63, 256, dtype=U64) * U64(2) + U64(1)
@@ -83,75 +93,19 @@ class Powers:
 POWERS = Powers()
 
 
-class Parse:
-    """Phrases of the texts of one chunk, as arrays with an entry for each phrase occurrence.
+class Sums:
+    """Rolling hashes of any piece of some bytes, whatever its place in them."""
 
-    text: its place in the chunk; start: of its first string, in the text; n: how many strings;
-    trigger: hash of its trigger; phrase: hash of its bytes, trigger included.
-    """
+    def __init__(self, data: np.ndarray):
+        self.up, down = POWERS.of(len(data) + 1)
+        self.sums = np.zeros(len(data) + 1, U64)
+        np.cumsum(BYTE_VALUE[data] * down[: len(data)], out=self.sums[1:])
 
-    def __init__(self, pieces: list[tuple[int, int, bytes]], length: int, bits: int):
-        """pieces: (text, offset in the text, bytes); strings of a piece do not reach into the next."""
-        sizes = np.array([len(p) for _, _, p in pieces], np.int64)
-        data = np.frombuffer(b"".join(p for _, _, p in pieces), np.uint8)
-        self.length, total = length, len(data)
-        self.text = self.start = self.n = self.at = np.zeros(0, np.int64)
-        self.sums = self.up = np.ones(1, U64)
-        self.trigger = self.phrase = np.zeros(0, U64)
-        ends = np.cumsum(sizes)
-        begins = ends - sizes
-        strings = np.maximum(sizes - length + 1, 0)
-        if not strings.sum():
-            return
-        self.up, down = POWERS.of(total + 1)
-        self.sums = np.zeros(total + 1, U64)
-        np.cumsum(BYTE_VALUE[data] * down[:total], out=self.sums[1:])
-        k = TRIGGER
-        grams = mixed((self.sums[k:] - self.sums[:-k]) * self.up[: total - k + 1])
-        width = max(1, int(total).bit_length())
-        low = U64((1 << width) - 1)
-        least = grams & ~low | np.arange(len(grams), dtype=U64)
-        window, span = length - k + 1, 1
-        while span * 2 <= window:
-            least = np.minimum(least[:-span], least[span:])
-            span *= 2
-        if span < window:
-            least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
-        piece = np.repeat(np.arange(len(pieces)), strings)
-        at = np.arange(len(piece)) - np.repeat(np.cumsum(strings) - strings, strings) + begins[piece]
-        owner = (least[at] & low).astype(np.int64)
-        first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (piece[1:] != piece[:-1])))
-        self.n = np.diff(np.append(first, len(at)))
-        self.at = at[first]
-        self.text = np.array([t for t, _, _ in pieces], np.int64)[piece[first]]
-        self.start = self.at - begins[piece[first]] + np.array([o for _, o, _ in pieces], np.int64)[piece[first]]
-        self.trigger = mixed(grams[owner[first]], 0x5851F42D4C957F2D) >> U64(32 - bits)
-        size = self.n + length - 1
-        self.phrase = mixed((self.sums[self.at + size] - self.sums[self.at]) * self.up[self.at] ^ mixed(self.trigger, 1) + size.astype(U64))
-
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the chosen phrases: place of the phrase in `which`, offset of the string in it, and hash of each string."""
-        n = self.n[which]
-        of = np.repeat(np.arange(len(which)), n)
-        offset = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-        at = self.at[which][of] + offset
-        value = (self.sums[at + self.length] - self.sums[at]) * self.up[at]
-        return of, offset, mixed(value ^ mixed(self.trigger[which][of], 2))
-
-
-def parses(raws: list[bytes], length: int, bits: int) -> Iterator[Parse]:
-    """Parses of some megabytes at a time; a longer text is cut into pieces that overlap by length - 1 bytes."""
-    pieces, held = [], 0
-    for i, raw in enumerate(raws):
-        for offset in range(0, max(1, len(raw) - length + 1), CHUNK_BYTES):
-            piece = raw[offset : offset + CHUNK_BYTES + length - 1]
-            if held + len(piece) > 2 * CHUNK_BYTES:
-                yield Parse(pieces, length, bits)
-                pieces, held = [], 0
-            pieces.append((i, offset, piece))
-            held += len(piece)
-    if pieces:
-        yield Parse(pieces, length, bits)
+    def at(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        return (self.sums[start + size] - self.sums[start]) * self.up[start]
+
+    def grams(self, size: int) -> np.ndarray:
+        return (self.sums[size:] - self.sums[:-size]) * self.up[: len(self.sums) - size]
 
 
 def starts_of(*sorted_columns: np.ndarray) -> np.ndarray:
@@ -182,12 +136,79 @@ def member(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
     return sorted_keys[place] == keys, place
 
 
-def buffers(table: pa.Table, column: str, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+def counting(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """0, 1, ... n[i] - 1 for each i in turn: the i and the number."""
+    n = n.astype(np.int64)
+    of = np.repeat(np.arange(len(n)), n)
+    return of, np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+
+
+# The parse.
+
+
+def small(length: int) -> type:
+    """Type of the number of strings of a phrase and of places in it."""
+    return np.uint8 if length - TRIGGER < 255 else np.uint16
+
+
+def cut(pieces: list[bytes], length: int) -> list[bytes]:
+    """For each piece its phrases in order, as two packed arrays: how many strings, and where in the phrase the trigger begins."""
+    sizes = np.array([len(p) for p in pieces], np.int64)
+    strings = np.maximum(sizes - length + 1, 0)
+    if not strings.sum():
+        return [b""] * len(pieces)
+    data = np.frombuffer(b"".join(pieces), np.uint8)
+    grams = mixed(Sums(data).grams(TRIGGER))
+    low = U64((1 << max(1, int(len(data)).bit_length())) - 1)
+    least = grams & ~low | np.arange(len(grams), dtype=U64)
+    del grams
+    window, span = length - TRIGGER + 1, 1
+    while span * 2 <= window:
+        least = np.minimum(least[:-span], least[span:])
+        span *= 2
+    if span < window:
+        least = np.minimum(least[: len(least) - (window - span)], least[window - span :])
+    piece, offset = counting(strings)
+    at = offset + (np.cumsum(sizes) - sizes)[piece]
+    owner = (least[at] & low).astype(np.int64)
+    first = starts_of(owner, piece)
+    n = np.diff(np.append(first, len(at))).astype(small(length))
+    lead = (owner[first] - at[first]).astype(small(length))
+    bounds = np.searchsorted(piece[first], np.arange(len(pieces) + 1))
+    return [n[a:b].tobytes() + lead[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+
+def cut_texts(raws: list[bytes], length: int, chunk: int = CHUNK_BYTES) -> list[bytes]:
+    """The phrases of each text. A long text is cut in pieces that overlap by length - 1 bytes."""
+    pieces, owner, found, held = [], [], [[] for _ in raws], 0
+
+    def flush() -> None:
+        for i, x in zip(owner, cut(pieces, length)):
+            found[i].append(x)
+        pieces.clear()
+        owner.clear()
+
+    for i, raw in enumerate(raws):
+        for offset in range(0, max(1, len(raw) - length + 1), chunk):
+            piece = raw[offset : offset + chunk + length - 1]
+            if pieces and held + len(piece) > 2 * chunk:
+                flush()
+                held = 0
+            pieces.append(piece)
+            owner.append(i)
+            held += len(piece)
+    flush()
+    halves = [[(x[: len(x) // 2], x[len(x) // 2 :]) for x in xs] for xs in found]
+    return [b"".join(h for h, _ in xs) + b"".join(t for _, t in xs) for xs in halves]
+
 
+# What goes between blocks and the parts of the dictionary: packed arrays.
 
-#: What goes between blocks and buckets: hashes and documents as packed arrays.
-PACKED = "bucket int, b long, kind int, h binary, x binary, doc binary, flag binary"
+PACKED = "bucket int, b long, kind int, h binary, x binary, doc binary, n binary, data binary"
+NAMES = [f.split()[0] for f in PACKED.split(", ")]
+KINDS = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+ASK_TRIGGER, ASK_SHARED, ASK_PHRASE, ASK_STRINGS = range(4)
+SHARED_TRIGGER, SEVERAL, LEAST, STRINGS = range(4)
 
 
 class Packer:
@@ -196,144 +217,215 @@ class Packer:
     def __init__(self):
         self.rows: list[tuple] = []
 
-    def add(self, bucket: int, b: int, kind: int, h=None, x=None, doc=None, flag=None) -> None:
-        self.rows.append((bucket, b, kind, *(None if v is None else v.tobytes() for v in (h, x, doc, flag))))
+    def add(self, bucket: int, b: int, kind: int, **columns) -> None:
+        self.rows.append((bucket, b, kind, *(None if (v := columns.get(c)) is None else v if isinstance(v, bytes) else v.tobytes() for c in NAMES[3:])))
 
-    def by_bucket(self, b: int, trigger: np.ndarray, x: np.ndarray | None = None, doc: np.ndarray | None = None) -> None:
-        """Deal entries out by the high bits of their triggers; the low 32 bits are kept."""
-        order = np.argsort(trigger, kind="stable")
-        trigger = trigger[order]
-        x, doc = (None if v is None else v[order] for v in (x, doc))
-        bucket = (trigger >> U64(32)).astype(np.int64)
+    def deal(self, bucket: np.ndarray, b: int, kind: int, **columns) -> None:
+        """Entries with their buckets; bytes of the column data come as a list."""
+        order = np.argsort(bucket, kind="stable")
+        bucket = bucket[order]
+        data = columns.pop("data", None)
+        columns = {c: v[order] for c, v in columns.items()}
         at = starts_of(bucket)
-        for s, e in zip(at, np.append(at[1:], len(bucket))):
-            self.add(int(bucket[s]), b, 0, trigger[s:e].astype(np.uint32), None if x is None else x[s:e], None if doc is None else doc[s:e])
+        for s, e in zip(at.tolist(), np.append(at[1:], len(bucket)).tolist()):
+            more = {} if data is None else {"data": b"".join(data[i] for i in order[s:e].tolist())}
+            self.add(int(bucket[s]), b, kind, **{c: v[s:e] for c, v in columns.items()}, **more)
+
+    def answer(self, bucket: int, kind: int, of: np.ndarray, blocks: np.ndarray, **columns) -> None:
+        order = np.argsort(of, kind="stable")
+        of = of[order]
+        at = starts_of(of)
+        for s, e in zip(at.tolist(), np.append(at[1:], len(of)).tolist()):
+            self.add(bucket, int(blocks[of[s]]), kind, **{c: v[order[s:e]] for c, v in columns.items()})
 
     def table(self) -> pa.Table:
-        names = [f.split()[0] for f in PACKED.split(", ")]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
-        columns = list(zip(*self.rows)) if self.rows else [()] * 7
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+        columns = list(zip(*self.rows)) if self.rows else [()] * len(NAMES)
+        return pa.table([pa.array(c, k) for c, k in zip(columns, KINDS)], names=NAMES)
+
+
+def buffers(table: pa.Table, column: str, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(column).to_pylist()), kind)
+
+
+def of_kind(table: pa.Table, kind: int) -> pa.Table:
+    return table.filter(pa.compute.equal(table.column("kind"), kind))
+
+
+def trigger_keys(said: pa.Table) -> np.ndarray:
+    """Bucket and low bits of the triggers in some answers."""
+    parts = [np.frombuffer(h, np.uint32).astype(U64) | U64(k << 32) for h, k in zip(said.column("h").to_pylist(), said.column("bucket").to_pylist())]
+    return np.concatenate(parts or [np.zeros(0, U64)])
 
 
 class Block:
-    """The documents of one block with what the earlier steps have answered."""
+    """The documents of one block, their phrases, and what the earlier steps have answered.
+
+    Of each phrase occurrence: text: its place in the block; start: of its first string in the text; n: how
+    many strings; key: bucket and low bits of its trigger; phrase: hash of its bytes, trigger included.
+    """
 
-    def __init__(self, docs: pa.Table, said: pa.Table | None, length: int, bits: int):
+    def __init__(self, docs: pa.Table, said: pa.Table | None, length: int, bits: int, chunk: int = CHUNK_BYTES):
         unzip = zstandard.ZstdDecompressor().decompress
-        self.b = docs.column("b")[0].as_py() if len(docs) else 0
+        self.length, self.bits, self.chunk = length, bits, chunk
+        self.b = docs.column("b")[0].as_py()
         ids = docs.column("id").to_pylist()
         self.raws = [unzip(x) if x else b"" for x in docs.column("blob").to_pylist()]
         self.ids = np.array([NO_DOC if i is None else i for i in ids], np.int64)
-        usable = [r if i is not None else b"" for r, i in zip(self.raws, ids)]
-        self.chunks = list(parses(usable, length, bits))
-        self.said = {k: said.filter(pa.compute.equal(said.column("kind"), k)) for k in (1, 2, 3)} if said is not None else {}
-
-    def triggers(self) -> np.ndarray:
-        return np.unique(np.concatenate([c.trigger for c in self.chunks] or [np.zeros(0, U64)]))
-
-    def repeated(self) -> list[np.ndarray]:
-        """For each chunk, its phrases whose trigger stands in several documents."""
-        trigger = np.concatenate([c.trigger for c in self.chunks] or [np.zeros(0, U64)])
-        doc = np.concatenate([self.ids[c.text] for c in self.chunks] or [np.zeros(0, np.int64)])
-        order = np.argsort(trigger, kind="stable")
-        ordered, doc = trigger[order], doc[order]
-        at = starts_of(ordered)
-        here = ordered[at][np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)] if len(at) else ordered
-        shared = self.said[1]
-        elsewhere = np.concatenate([np.frombuffer(h, np.uint32).astype(U64) | U64(k << 32) for h, k in zip(shared.column("h").to_pylist(), shared.column("bucket").to_pylist())] or [np.zeros(0, U64)])
-        known = np.union1d(here, elsewhere)
-        return [np.flatnonzero(member(known, c.trigger)[0]) for c in self.chunks]
-
-    def classes(self, chosen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct phrases among the chosen ones and the smallest document of this block that has each."""
-        phrase = np.concatenate([c.phrase[w] for c, w in zip(self.chunks, chosen)] or [np.zeros(0, U64)])
-        doc = np.concatenate([self.ids[c.text[w]] for c, w in zip(self.chunks, chosen)] or [np.zeros(0, np.int64)])
-        return least_of(phrase, doc)
-
-    def dictionary(self, chosen: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct phrases, their smallest document anywhere, and whether another phrase shares the trigger."""
-        phrase, doc = self.classes(chosen)
-        said = self.said[2]
-        x, least, varied = buffers(said, "x", U64), buffers(said, "doc", np.int64), buffers(said, "flag", np.uint8)
-        several = np.zeros(len(phrase), bool)
+        self.said = said
+        found = list(self._chunks(docs.column("cuts").to_pylist()))
+        kinds = (np.int32, np.int64, small(length), U64, U64)
+        self.text, self.start, self.n, self.key, self.phrase = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, k) for k in kinds)
+
+    def _chunks(self, cuts: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+        """The phrases of some texts, or of part of a long one, at a time."""
+        kind, held, group = small(self.length), 0, []
+        for i, (raw, packed) in enumerate(zip(self.raws, cuts)):
+            n, lead = np.frombuffer(packed, kind).reshape(2, -1)
+            if not len(n):
+                continue
+            ends = np.cumsum(n, dtype=np.int64)
+            start = ends - n
+            parts = starts_of(start // self.chunk)
+            for a, b in zip(parts.tolist(), np.append(parts[1:], len(n)).tolist()):
+                begin, end = int(start[a]), int(ends[b - 1]) + self.length - 1
+                if group and held + end - begin > 2 * self.chunk:
+                    yield self._hashed(group)
+                    group, held = [], 0
+                group.append((i, begin, raw[begin:end], start[a:b], n[a:b], lead[a:b]))
+                held += end - begin
+        if group:
+            yield self._hashed(group)
+
+    def _hashed(self, group: list[tuple]) -> tuple[np.ndarray, ...]:
+        texts, begins, raws, starts, ns, leads = zip(*group)
+        sums = Sums(np.frombuffer(b"".join(raws), np.uint8))
+        sizes = np.array([len(r) for r in raws], np.int64)
+        count = [len(x) for x in ns]
+        start, n, lead = np.concatenate(starts), np.concatenate(ns), np.concatenate(leads)
+        at = start + np.repeat(np.cumsum(sizes) - sizes - np.array(begins, np.int64), count)
+        trigger = mixed(sums.at(at + lead, TRIGGER), 0x5851F42D4C957F2D)
+        size = n.astype(np.int64) + (self.length - 1)
+        phrase = mixed(sums.at(at, size) ^ mixed(trigger, 1) + size.astype(U64))
+        key = trigger >> U64(64 - self.bits) << U64(32) | trigger & LOW
+        return np.repeat(np.array(texts, np.int32), count), start, n, key, phrase
+
+    def answers(self, kind: int) -> pa.Table:
+        return of_kind(self.said, kind)
+
+    def docs(self, which: np.ndarray) -> np.ndarray:
+        return self.ids[self.text[which]]
+
+    def repeated(self) -> np.ndarray:
+        """The phrases whose trigger stands in several documents."""
+        order = np.argsort(self.key, kind="stable")
+        key, doc = self.key[order], self.docs(order)
+        at = starts_of(key)
+        here = key[at][np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)] if len(at) else key
+        return np.flatnonzero(member(np.union1d(here, trigger_keys(self.answers(SHARED_TRIGGER))), self.key)[0])
+
+    def dictionary(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct phrases among the chosen ones, the smallest document here and anywhere that has each."""
+        phrase, here = least_of(self.phrase[chosen], self.docs(chosen))
+        said = self.answers(LEAST)
+        x, elsewhere = buffers(said, "x", U64), buffers(said, "doc", np.int64)
+        least = here.copy()
         there, place = member(phrase, x)
-        doc = doc.copy()
-        doc[place[there]] = np.minimum(doc[place[there]], least[there])
-        several[place[there]] = varied[there] > 0
-        return phrase, doc, several
+        least[place[there]] = np.minimum(least[place[there]], elsewhere[there])
+        return phrase, here, least
+
+    def shared_by(self, keys: np.ndarray) -> np.ndarray:
+        """Of triggers: 0 if one phrase has it, 1 if several have, 2 if it is crowded."""
+        said = self.answers(SEVERAL)
+        known, flag = trigger_keys(said), buffers(said, "n", np.uint8)
+        order = np.argsort(known, kind="stable")
+        known, flag = known[order], flag[order]
+        there, place = member(known, keys)
+        return np.where(there, flag[place], 0) if len(known) else np.zeros(len(keys), np.uint8)
+
+    def bytes_of(self, which: np.ndarray, skip: np.ndarray, n: np.ndarray) -> list[bytes]:
+        """The bytes of n strings of each phrase after some."""
+        start = self.start[which] + skip
+        end = start + n + (self.length - 1)
+        return [self.raws[t][s:e] for t, s, e in zip(self.text[which].tolist(), start.tolist(), end.tolist())]
 
 
-def parse_triggers(block: Block) -> pa.Table:
+def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> U64(64 - bits)).astype(np.int64)
+
+
+def send_triggers(block: Block) -> pa.Table:
+    key = np.unique(block.key)
     out = Packer()
-    out.by_bucket(block.b, block.triggers())
+    out.deal((key >> U64(32)).astype(np.int64), block.b, ASK_TRIGGER, h=key.astype(np.uint32))
     return out.table()
 
 
-def parse_phrases(block: Block) -> pa.Table:
+def send_phrases(block: Block) -> pa.Table:
     chosen = block.repeated()
-    phrase = np.concatenate([c.phrase[w] for c, w in zip(block.chunks, chosen)] or [np.zeros(0, U64)])
-    trigger = np.concatenate([c.trigger[w] for c, w in zip(block.chunks, chosen)] or [np.zeros(0, U64)])
-    doc = np.concatenate([block.ids[c.text[w]] for c, w in zip(block.chunks, chosen)] or [np.zeros(0, np.int64)])
-    order = np.argsort(phrase, kind="stable")
-    phrase, trigger, doc = phrase[order], trigger[order], doc[order]
-    at = starts_of(phrase)
+    phrase, key, doc = block.phrase[chosen], block.key[chosen], block.docs(chosen)
+    order = np.lexsort((phrase, key))
+    phrase, key, doc = phrase[order], key[order], doc[order]
+    at = starts_of(key, phrase)
+    if not len(at):
+        return Packer().table()
+    least = np.minimum.reduceat(doc, at)
+    phrase, key = phrase[at], key[at]
     out = Packer()
-    if len(at):
-        out.by_bucket(block.b, trigger[at], phrase[at], np.minimum.reduceat(doc, at))
+    first = starts_of(key)
+    last = np.append(first[1:], len(key)) - 1
+    out.deal((key[first] >> U64(32)).astype(np.int64), block.b, ASK_SHARED, h=key[first].astype(np.uint32), x=phrase[first], doc=phrase[last], n=(last - first + 1).astype(np.uint32))
+    out.deal(bucket_of(phrase, block.bits), block.b, ASK_PHRASE, h=key.astype(np.uint32), x=phrase, doc=least)
     return out.table()
 
 
-def parse_suffixes(block: Block) -> pa.Table:
+def send_strings(block: Block) -> pa.Table:
     chosen = block.repeated()
-    phrase, least, several = block.dictionary(chosen)
-    triggers, hashes, docs = [], [], []
-    for c, w in zip(block.chunks, chosen):
-        _, place = member(phrase, c.phrase[w])
-        mine = several[place] & (least[place] == block.ids[c.text[w]]) if len(phrase) else np.zeros(len(w), bool)
-        w = w[mine]
-        w = w[np.unique(c.phrase[w], return_index=True)[1]]
-        of, _, value = c.strings(w)
-        triggers.append(c.trigger[w][of])
-        hashes.append(value)
-        docs.append(block.ids[c.text[w]][of])
+    phrase, here, least = block.dictionary(chosen)
+    found, first = np.unique(block.phrase[chosen], return_index=True)
+    which = chosen[first[here == least]]
+    doc = least[here == least]
+    flag = block.shared_by(block.key[which])
     out = Packer()
-    if hashes:
-        value, trigger, doc = np.concatenate(hashes), np.concatenate(triggers), np.concatenate(docs)
-        order = np.lexsort((doc, value))
-        value, trigger, doc = value[order], trigger[order], doc[order]
-        at = starts_of(value, doc)
-        out.by_bucket(block.b, trigger[at], value[at], doc[at])
+    whole = flag == 1
+    w, n = which[whole], block.n[which[whole]]
+    none = np.zeros(len(w), n.dtype)
+    out.deal((block.key[w] >> U64(32)).astype(np.int64), block.b, ASK_STRINGS, x=block.phrase[w], doc=doc[whole], h=none, n=n, data=block.bytes_of(w, none, n.astype(np.int64)))
+    crowded = flag == 2
+    of, skip = counting(block.n[which[crowded]])
+    w = which[crowded][of]
+    data = block.bytes_of(w, skip, np.ones(len(w), np.int64))
+    hashed = np.array([xxhash.xxh64_intdigest(s) for s in data], U64)
+    out.deal(bucket_of(hashed, block.bits), block.b, ASK_STRINGS, x=block.phrase[w], doc=doc[crowded][of], h=skip.astype(small(block.length)), n=np.ones(len(w), small(block.length)), data=data)
     return out.table()
 
 
 def removed_strings(block: Block) -> list[np.ndarray]:
     """For each document of the block, the starts of its removed strings."""
     chosen = block.repeated()
-    phrase, least, several = block.dictionary(chosen)
-    said = block.said[3]
-    value, least_value = least_of(buffers(said, "x", U64), buffers(said, "doc", np.int64))
+    phrase, _, least = block.dictionary(chosen)
     found: list[list[np.ndarray]] = [[] for _ in block.raws]
-    for c, w in zip(block.chunks, chosen):
-        if not len(phrase) or not len(w):
-            continue
-        _, place = member(phrase, c.phrase[w])
-        late = block.ids[c.text[w]] > least[place]
-        whole = w[late]
-        text, start = np.repeat(c.text[whole], c.n[whole]), np.repeat(c.start[whole], c.n[whole])
-        n = c.n[whole]
-        start = start + np.arange(len(start)) - np.repeat(np.cumsum(n) - n, n)
-        part = w[~late & several[place]]
-        of, offset, x = c.strings(part)
-        there, at = member(value, x)
-        gone = there.copy()
-        gone[there] = block.ids[c.text[part][of[there]]] > least_value[at[there]]
-        text = np.concatenate([text, c.text[part][of[gone]]])
-        start = np.concatenate([start, c.start[part][of[gone]] + offset[gone]])
+    if len(chosen):
+        place = np.searchsorted(phrase, block.phrase[chosen])
+        doc = block.docs(chosen)
+        late = chosen[doc > least[place]]
+        of, skip = counting(block.n[late])
+        text, start = block.text[late][of], block.start[late][of] + skip
+        said = block.answers(STRINGS)
+        x, skip, elsewhere = buffers(said, "x", U64), buffers(said, "h", small(block.length)), buffers(said, "doc", np.int64)
+        order = np.argsort(x, kind="stable")
+        x, skip, elsewhere = x[order], skip[order], elsewhere[order]
+        first = chosen[doc == least[place]]
+        begin = np.searchsorted(x, block.phrase[first])
+        of, k = counting(np.searchsorted(x, block.phrase[first], side="right") - begin)
+        k += begin[of]
+        gone = block.docs(first[of]) > elsewhere[k]
+        of, k = first[of[gone]], k[gone]
+        text = np.concatenate([text, block.text[of]])
+        start = np.concatenate([start, block.start[of] + skip[k]])
         order = np.argsort(text, kind="stable")
         text, start = text[order], start[order]
-        first = starts_of(text)
-        for s, e in zip(first, np.append(first[1:], len(text))):
+        at = starts_of(text)
+        for s, e in zip(at.tolist(), np.append(at[1:], len(text)).tolist()):
             found[text[s]].append(start[s:e])
     return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in found]
 
@@ -348,118 +440,153 @@ def spans(starts: np.ndarray, size: int, length: int) -> np.ndarray:
     return np.column_stack([starts[new], np.minimum(starts[last] + length, size)])
 
 
-def entries(table: pa.Table, *columns: tuple[str, type]) -> tuple[np.ndarray, ...]:
+def entries(table: pa.Table, per: str, width: int, *columns: tuple[str, type]) -> tuple[np.ndarray, ...]:
     """Place of the block of each entry among the table's distinct blocks, these blocks, and the packed columns."""
     blocks, place = np.unique(np.array(table.column("b").to_pylist(), np.int64), return_inverse=True)
-    sizes = [len(h) // 4 for h in table.column("h").to_pylist()]
+    sizes = [len(h) // width for h in table.column(per).to_pylist()]
     return (np.repeat(place, sizes), blocks, *(buffers(table, c, k) for c, k in columns))
 
 
-def answer(out: Packer, bucket: int, kind: int, of: np.ndarray, blocks: np.ndarray, h=None, x=None, doc=None, flag=None) -> None:
-    order = np.argsort(of, kind="stable")
-    of = of[order]
-    at = starts_of(of)
-    for s, e in zip(at, np.append(at[1:], len(of))):
-        out.add(bucket, int(blocks[of[s]]), kind, *(None if v is None else v[order[s:e]] for v in (h, x, doc, flag)))
-
-
 def meet_triggers(table: pa.Table) -> pa.Table:
     """Back to each block: its triggers that another block has too."""
-    of, blocks, h = entries(table, ("h", np.uint32))
+    of, blocks, h = entries(table, "h", 4, ("h", np.uint32))
     key = np.sort(h.astype(U64) << U64(32) | of.astype(U64))
-    key = key[starts_of(key)]
-    h, of = (key >> U64(32)).astype(np.uint32), (key & U64(0xFFFFFFFF)).astype(np.int64)
+    h, of = (key >> U64(32)).astype(np.uint32), (key & LOW).astype(np.int64)
     at = starts_of(h)
     n = np.diff(np.append(at, len(h)))
     shared = np.repeat(n > 1, n)
     out = Packer()
-    answer(out, table.column("bucket")[0].as_py(), 1, of[shared], blocks, h=h[shared])
+    out.answer(table.column("bucket")[0].as_py(), SHARED_TRIGGER, of[shared], blocks, h=h[shared])
     return out.table()
 
 
-def meet_phrases(table: pa.Table) -> pa.Table:
-    """Back to each block: its phrases that a smaller document elsewhere has, or that share a trigger with another phrase."""
-    of, blocks, h, x, doc = entries(table, ("h", np.uint32), ("x", U64), ("doc", np.int64))
-    order = np.lexsort((x, h))
-    of, h, x, doc = of[order], h[order], x[order], doc[order]
-    by_phrase, by_trigger = starts_of(h, x), starts_of(h)
-    least = np.repeat(np.minimum.reduceat(doc, by_phrase), np.diff(np.append(by_phrase, len(x))))
-    distinct = np.zeros(len(h), np.int64)
-    distinct[by_phrase] = 1
-    several = np.repeat(np.add.reduceat(distinct, by_trigger) > 1, np.diff(np.append(by_trigger, len(h))))
-    told = several | (least < doc)
-    out = Packer()
-    answer(out, table.column("bucket")[0].as_py(), 2, of[told], blocks, x=x[told], doc=least[told], flag=several[told].astype(np.uint8))
+def meet_phrases(table: pa.Table, most: int = CROWDED) -> pa.Table:
+    """Back to each block: its triggers that several phrases share, and its phrases that a smaller document elsewhere has."""
+    out, bucket = Packer(), table.column("bucket")[0].as_py()
+    asked = of_kind(table, ASK_SHARED)
+    if len(asked):
+        of, blocks, h, lo, hi, n = entries(asked, "h", 4, ("h", np.uint32), ("x", U64), ("doc", U64), ("n", np.uint32))
+        order = np.argsort(h, kind="stable")
+        of, h = of[order], h[order]
+        at = starts_of(h)
+        several = np.minimum.reduceat(lo[order], at) != np.maximum.reduceat(hi[order], at)
+        flag = np.where(several, 1 + (np.add.reduceat(n[order].astype(np.int64), at) > most), 0)
+        flag = np.repeat(flag, np.diff(np.append(at, len(h)))).astype(np.uint8)
+        told = flag > 0
+        out.answer(bucket, SEVERAL, of[told], blocks, h=h[told], n=flag[told])
+    asked = of_kind(table, ASK_PHRASE)
+    if len(asked):
+        of, blocks, h, x, doc = entries(asked, "h", 4, ("h", np.uint32), ("x", U64), ("doc", np.int64))
+        order = np.lexsort((h, x))
+        of, h, x, doc = of[order], h[order], x[order], doc[order]
+        at = starts_of(x, h)
+        least = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(x))))
+        told = least < doc
+        out.answer(bucket, LEAST, of[told], blocks, x=x[told], doc=least[told])
     return out.table()
 
 
-def meet_suffixes(table: pa.Table) -> pa.Table:
+def suffix_array(data: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes that begin at the given places in order of their first `length` bytes, and where in it a class of equal ones begins.
+
+    Bytes are compared eight at a time, as big-endian numbers.
+    """
+    words = [np.ndarray((len(data) - 7,), ">u8", data, 0, (1,))[at + k].astype(U64) for k in (*range(0, length - 8, 8), length - 8)]
+    order = np.lexsort(words[::-1])
+    return order, starts_of(*(w[order] for w in words))
+
+
+def meet_strings(table: pa.Table, length: int) -> pa.Table:
     """Back to each block: its strings that a smaller document has, and the smallest one."""
-    of, blocks, h, x, doc = entries(table, ("h", np.uint32), ("x", U64), ("doc", np.int64))
-    order = np.lexsort((x, h))
-    of, h, x, doc = of[order], h[order], x[order], doc[order]
-    at = starts_of(h, x)
-    least = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(x))))
+    kind = small(length)
+    of, blocks, x, doc, skip, n = entries(table, "x", 8, ("x", U64), ("doc", np.int64), ("h", kind), ("n", kind))
+    data = buffers(table, "data", np.uint8)
+    size = n.astype(np.int64) + (length - 1)
+    entry, offset = counting(n)
+    order, at = suffix_array(data, (np.cumsum(size) - size)[entry] + offset, length)
+    entry, offset = entry[order], offset[order]
+    doc = doc[entry]
+    least = np.repeat(np.minimum.reduceat(doc, at), np.diff(np.append(at, len(doc)))) if len(at) else doc
     told = least < doc
+    entry, offset = entry[told], offset[told]
     out = Packer()
-    answer(out, table.column("bucket")[0].as_py(), 3, of[told], blocks, x=x[told], doc=least[told])
+    out.answer(table.column("bucket")[0].as_py(), STRINGS, of[entry], blocks, x=x[entry], h=(skip[entry] + offset).astype(kind), doc=least[told])
     return out.table()
 
 
-def blocks_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(b, id, blob, rest) bucketed by block: texts as compressed bytes, and all other columns as a struct."""
+def write_blocks(docs: DataFrame, id_col: str, text_col: str, length: int, scratch: Scratch, block: int, chunk: int) -> DataFrame:
+    """(b, id, blob, cuts, rest) in files bucketed by block: texts as compressed bytes, their phrases, and all other columns as a struct."""
     spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
     others = [docs[f"`{c}`"] for c in docs.columns if c not in (id_col, text_col)]
     rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"), F.struct(F.lit(0).alias("_filler"), *others).alias("rest"))
-    schema = T.StructType([T.StructField("b", T.LongType()), T.StructField("id", T.LongType()), T.StructField("blob", T.BinaryType()), rows.schema["rest"]])
+    schema = T.StructType([T.StructField("b", T.LongType()), T.StructField("id", T.LongType()), T.StructField("blob", T.BinaryType()), T.StructField("cuts", T.BinaryType()), rows.schema["rest"]])
+
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Some rows at a time, as many as hold two chunks of bytes."""
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(sizes, dtype=np.int64) // (2 * chunk)
+        at = starts_of(part)
+        for a, b in zip(at.tolist(), np.append(at[1:], len(part)).tolist()):
+            yield batch.slice(a, b - a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1).compress
-        b, held = TaskContext.get().partitionId() << 24, 0
+        b, held = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in slices(batch):
                 raws = part.column(1).cast(pa.binary()).to_pylist()
-                held += sum(len(r) for r in raws if r)
-                yield pa.RecordBatch.from_arrays([pa.array([b] * len(raws), pa.int64()), part.column(0), pa.array([zip_(r) if r else None for r in raws], pa.binary()), part.column(2)], names=["b", "id", "blob", "rest"])
-                if held > BLOCK_BYTES:
-                    b, held = b + 1, 0
+                cuts = cut_texts([r if r and i is not None else b"" for r, i in zip(raws, part.column(0).to_pylist())], length, chunk)
+                number = []
+                for r in raws:
+                    size = len(r or b"")
+                    if held and held + size > block:
+                        b, held = b + 1, 0
+                    held += size
+                    number.append(b)
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), part.column(0), pa.array([zip_(r) if r else None for r in raws], pa.binary()), pa.array(cuts, pa.binary()), part.column(2)], names=["b", "id", "blob", "cuts", "rest"])
+        free_memory()
 
     name = f"chronika_blocks_{uuid.uuid4().hex}"
-    path = f"{spark.sparkContext.getCheckpointDir()}/{name}"
-    rows.mapInArrow(run, schema).write.bucketBy(partitions(spark), "b").option("path", path).option("compression", "uncompressed").format("parquet").saveAsTable(name)
-    return spark.table(name)
+    rows.mapInArrow(run, schema).write.bucketBy(partitions(spark), "b").option("path", f"{scratch.path}/blocks").option("compression", "zstd").format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # of its files, which lie elsewhere, nothing goes
+    return table
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = True, block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES, crowded: int = CROWDED) -> DataFrame:
     """Each row with n_bytes, n_removed, n_spans and kept_sha256; with keep_text also the columns of the input.
 
-    The text is then what is left, read as UTF-8; a character that a removed run has cut is dropped.
+    The text is then what is left, read as UTF-8; a character that a removed run has cut is dropped. The sizes
+    change how the work is dealt out, not the result.
     """
     if length < 2 * TRIGGER:
         raise ValueError(f"length must be {2 * TRIGGER} at least")
     spark = docs.sparkSession
     ship_package(spark)
-    table = blocks_table(docs, id_col, text_col)
-    bits = min(16, max(6, (2 * partitions(spark) - 1).bit_length()))
-    packed = PACKED
-
-    def block_step(fn):
-        def run(docs: pa.Table, said: pa.Table) -> pa.Table:
-            return fn(Block(docs, said, length, bits)) if len(docs) else Packer().table()
-
-        return run
-
-    def first(docs: pa.Table) -> pa.Table:
-        return parse_triggers(Block(docs, None, length, bits))
-
-    slim = table.select("b", "id", "blob")
-    sent = slim.groupBy("b").applyInArrow(first, packed)
-    said = checkpointed(sent.groupBy("bucket").applyInArrow(meet_triggers, packed))
-    for parse, meet in ((parse_phrases, meet_phrases), (parse_suffixes, meet_suffixes)):
-        sent = slim.groupBy("b").cogroup(said.groupBy("b")).applyInArrow(block_step(parse), packed)
-        said = said.union(checkpointed(sent.groupBy("bucket").applyInArrow(meet, packed)))
+    scratch = Scratch(spark)
+    table = write_blocks(docs, id_col, text_col, length, scratch, block_bytes, chunk_bytes)
+    slim = table.select("b", "id", "blob", "cuts")
+    blocks = table.select("b").distinct().count()
+    bits = max(6, (max(2 * partitions(spark), blocks * block_bytes // PART_BYTES) - 1).bit_length())
+
+    def freed(fn, *tables: pa.Table) -> pa.Table:
+        """A step on one group, which keeps no memory for the next one."""
+        try:
+            return fn(*tables)
+        finally:
+            free_memory()
+
+    def ask(fn):
+        return lambda docs, said: freed(lambda: fn(Block(docs, said, length, bits, chunk_bytes)) if len(docs) else Packer().table())
+
+    def meet(fn):
+        return lambda asked: freed(fn, asked)
+
+    sent = slim.groupBy("b").applyInArrow(lambda docs: freed(send_triggers, Block(docs, None, length, bits, chunk_bytes)), PACKED)
+    said = scratch.saved(sent.groupBy("bucket").applyInArrow(meet(meet_triggers), PACKED))
+    for send, answer in ((send_phrases, lambda asked: meet_phrases(asked, crowded)), (send_strings, lambda asked: meet_strings(asked, length))):
+        sent = slim.groupBy("b").cogroup(said.groupBy("b")).applyInArrow(ask(send), PACKED)
+        said = said.union(scratch.saved(sent.groupBy("bucket").applyInArrow(meet(answer), PACKED)))
 
     rest = table.schema["rest"].dataType
     out = T.StructType([T.StructField("id", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
@@ -467,23 +594,29 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
         out = out.add("kept", T.StringType()).add("rest", rest)
 
     def last(docs: pa.Table, said: pa.Table) -> pa.Table:
-        block = Block(docs, said, length, bits)
+        if not len(docs):
+            return pa.table([pa.array([], f.type) for f in empty], names=out.names)
+        block = Block(docs, said, length, bits, chunk_bytes)
         rows = []
         for raw, starts in zip(block.raws, removed_strings(block)):
-            cut = spans(starts, len(raw), length)
+            gaps = spans(starts, len(raw), length)
             left, at = [], 0
-            for s, e in cut.tolist():
+            for s, e in gaps.tolist():
                 left.append(raw[at:s])
                 at = e
             kept = b"".join([*left, raw[at:]])
-            rows.append((len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
-        columns = list(zip(*rows)) if rows else [()] * 5
+            rows.append((len(raw), len(raw) - len(kept), len(gaps), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if keep_text else None))
+        columns = list(zip(*rows))
         arrays = [docs.column("id"), *(pa.array(c, k) for c, k in zip(columns[:4], (pa.int64(), pa.int64(), pa.int64(), pa.string())))]
         if keep_text:
             arrays += [pa.array(columns[4], pa.string()), docs.column("rest")]
         return pa.table(arrays, names=out.names)
 
-    result = (table if keep_text else slim).groupBy("b").cogroup(said.groupBy("b")).applyInArrow(last, out)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    empty = to_arrow_schema(out)
+    result = (table if keep_text else slim).groupBy("b").cogroup(said.groupBy("b")).applyInArrow(lambda docs, said: freed(last, docs, said), out)
+    result = scratch.kept(result)
     digest = [F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     if not keep_text:
         return result.select(*digest)

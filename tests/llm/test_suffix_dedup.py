@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from chronika.llm import suffix_dedup
@@ -41,13 +42,23 @@ def sample_rows():
     return [*rows, (rows[3][0], rows[5][1]), (2000, rows[7][1]), (2001, ""), (2002, None), (2003, "a" * 300), (2004, "a" * 120), (2005, rows[7][1][:-3] + "z" * 5 + "a" * 70), rows[0]]
 
 
-@pytest.mark.parametrize(("block", "chunk"), [(16 << 20, 1 << 20), (3000, 128)])
-def test_digests_equal_brute_force(spark, monkeypatch, block, chunk):
-    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", block)
-    monkeypatch.setattr(suffix_dedup, "CHUNK_BYTES", chunk)
+@pytest.mark.parametrize(("block", "chunk", "crowded"), [(16 << 20, 1 << 20, 4096), (3000, 128, 4096), (3000, 128, 1)])
+def test_digests_equal_brute_force(spark, block, chunk, crowded):
     rows = sample_rows()
-    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep_text=False)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.dedup(docs, keep_text=False, block_bytes=block, chunk_bytes=chunk, crowded=crowded)
     assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+    assert not [t for t in spark.catalog.listTables() if "blocks" in t.name]
+
+
+def test_suffix_array_is_sorted():
+    rng = random.Random(1)
+    raw = bytes(rng.choice(b"ab") for _ in range(3000))
+    data, at = np.frombuffer(raw, np.uint8), np.array(rng.sample(range(2900), 500))
+    order, classes = suffix_dedup.suffix_array(data, at, 50)
+    ordered = [raw[i : i + 50] for i in at[order].tolist()]
+    assert ordered == sorted(ordered)
+    assert classes.tolist() == [k for k in range(500) if not k or ordered[k] != ordered[k - 1]]
 
 
 def test_texts_and_other_columns(spark):
