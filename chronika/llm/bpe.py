@@ -29,8 +29,9 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chronika.llm.common import ship_package, text_chunks
+from chronika.llm.common import free_memory, ship_package, text_chunks
 
 LONG_WORD = 256
 CACHE_WORDS = 300_000
@@ -202,6 +203,32 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     return rows.mapInArrow(run, "id long, ids array<int>, n_tokens long").withColumnRenamed("id", id_col)
 
 
+def encode_rows(docs: DataFrame, path: str | None = None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, with ids array<int>, n_tokens and lossless: whether the ids decode to the text.
+
+    A column of docs of one of these names keeps its own; the new one is then called bpe_ids, bpe_n_tokens or bpe_lossless.
+    """
+    ship_package(docs.sparkSession)
+    path = path or default_tokenizer_path()
+    made = [(f"bpe_{c}" if c in docs.columns else c, kind) for c, kind in (("ids", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType()), ("lossless", T.BooleanType()))]
+    schema = T.StructType([*docs.schema, *(T.StructField(name, kind) for name, kind in made)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = tokenizer(path)
+        for part, texts in text_chunks(batches, text_col):
+            packed = [bpe.encode_packed(t) for t in texts]
+            counts = np.array([len(x) // 4 for x in packed], np.int64)
+            flat = pa.array(np.frombuffer(b"".join(packed), np.int32))
+            ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), flat)
+            same = [bpe.decode(memoryview(x).cast("I")) == (t or "") for x, t in zip(packed, texts)]
+            yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(counts), pa.array(same, pa.bool_())], names=[*part.schema.names, *(name for name, _ in made)])
+        bpe.cache.clear()  # the worker goes on to other stages
+        bpe.cache.old = {}
+        free_memory()
+
+    return docs.mapInArrow(run, schema)
+
+
 def decode(encoded: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) of every row of ids; null ids give the empty text."""
     ship_package(encoded.sparkSession)

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronika.llm.common import ship_package, text_chunks
+from chronika.llm.common import free_memory, ship_package, text_chunks
 
 WINDOW = 5
 COVERAGE = 0.8
@@ -244,6 +244,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, coverage: floa
             for part, texts in text_chunks(batches, text_col):
                 yield part.filter(pa.array([not held.value.found(t, coverage) for t in texts], pa.bool_()))
             CODES.clear()  # the worker goes on to other stages
+            free_memory()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -14,7 +14,7 @@ how rows are dealt out. Columns beyond those named are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronika.llm.common import ship_package, text_chunks
+from chronika.llm.common import free_memory, ship_package, text_chunks
 
 PROFILE_SIZE = 300
 UND = "und"
+LEAST_SCORE = 0.2
 BOUNDARY = 1  # stands for the boundary in codes; no letter has this code point
 
 
@@ -151,11 +152,11 @@ def gram_counts(rows: DataFrame) -> DataFrame:
 
 
 def profiles(train: DataFrame, size: int = PROFILE_SIZE, lang_col: str = "lang", text_col: str = "text") -> DataFrame:
-    """(lang, gram, rank): the most frequent n-grams of each language, rank 0 first."""
+    """(lang, gram, rank): the most frequent n-grams of each language, rank 0 first; `size` rows for each distinct lang."""
     ship_package(train.sparkSession)
     rows = train.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter("lang is not null and text is not null")
     by_rank = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    return gram_counts(rows).withColumn("rank", F.row_number().over(by_rank) - 1).filter(F.col("rank") < size).select("lang", "gram", "rank")
+    return gram_counts(rows).withColumn("rank", F.row_number().over(by_rank)).filter(F.col("rank") <= size).select("lang", "gram", (F.col("rank") - 1).alias("rank"))
 
 
 class Ranker:
@@ -216,15 +217,23 @@ def predict(docs: DataFrame, fitted: DataFrame, size: int = PROFILE_SIZE, id_col
     return rows.mapInArrow(run, "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
-def accepted(docs: DataFrame, fitted: DataFrame, size: int = PROFILE_SIZE, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text has a language; no shuffle."""
+def accepted(docs: DataFrame, fitted: DataFrame, size: int = PROFILE_SIZE, text_col: str = "text", langs: Iterable[str] | None = None, least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, all columns as they are, whose predicted language is one of langs (any learned one by default) with a score of `least` or more.
+
+    `und` is never accepted. A text in no learned language shares few n-grams with any profile: other
+    scripts, hexadecimal digits and random letters score below 0.2 (0.16 at most in the tests), prose of a learned language 0.3 and more. No shuffle.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     ranker = spark.sparkContext.broadcast(Ranker([(r.lang, r.gram, r["rank"]) for r in fitted.collect()], size))
+    wanted = None if langs is None else frozenset(langs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, text_col):
-            yield part.filter(pa.array([x != UND for x in ranker.value.predict(texts)[0]], pa.bool_()))
+            lang, score = ranker.value.predict(texts)
+            good = [x != UND and (wanted is None or x in wanted) and s >= least for x, s in zip(lang, score)]
+            yield part.filter(pa.array(good, pa.bool_()))
+        free_memory()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -25,8 +25,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from chronika.llm.common import checkpointed, partitions, ship_package, text_chunks
+from chronika.llm.common import Scratch, checkpointed, free_memory, partitions, ship_package, text_chunks
 from chronika.llm.components import Union, connected_components
 
 BUDGET = 3
@@ -168,16 +169,46 @@ def linked(fps: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -
     return found
 
 
+def sets_of(classes: DataFrame, budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """The distinct fingerprints (fp) with the least of those reachable over links (set)."""
+    sets = connected_components(linked(classes.select("fp"), budget, group_rows))
+    return classes.join(sets.withColumnRenamed("node", "fp"), "fp", "left").withColumn("set", F.coalesce("component", "fp")).drop("component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
     """(id, fp, component): component is the smallest id reachable over links of at most budget differing bits."""
     ship_package(docs.sparkSession)
     marked = checkpointed(fingerprints(docs, id_col, text_col))
     classes = checkpointed(marked.groupBy("fp").agg(F.min(id_col).alias("least")))
-    sets = connected_components(linked(classes, budget, group_rows))
-    least = classes.join(sets.withColumnRenamed("node", "fp"), "fp", "left").withColumn("set", F.coalesce("component", "fp"))
-    by_set = least.filter("component is not null").groupBy("set").agg(F.min("least").alias("set_least"))
-    roots = least.join(by_set, "set", "left").select("fp", F.coalesce("set_least", "least").alias("component"))
-    return marked.join(roots, "fp").select(id_col, "fp", "component")
+    least = sets_of(classes, budget, group_rows)
+    by_set = least.groupBy("set").agg(F.min("least").alias("component"))
+    return marked.join(least.join(by_set, "set").select("fp", "component"), "fp").select(id_col, "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = BUDGET, group_rows: int = GROUP_ROWS) -> DataFrame:
+    """One row of each group of near duplicates, all columns as they are: the one with the smallest id.
+
+    Null ids come after all others. Among rows of a group with the same id a hash of the text, then of the
+    whole row decides, so the result does not depend on how rows are dealt out; of equal rows one stays.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    scratch = Scratch(spark)
+    rows = docs.select(docs[f"`{id_col}`"].cast("long").alias("id"), docs[f"`{text_col}`"].cast("string").alias("text"), F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("whole"))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("fp", T.LongType()), rows.schema["whole"]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in text_chunks(batches):
+            fps = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps), part.column(2)], names=["id", "fp", "whole"])
+        free_memory()
+
+    # Row numbers are written, so that a task that runs again cannot change them.
+    marked = scratch.saved(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", F.xxhash64(f"whole.`{text_col}`").alias("text_hash"), F.xxhash64("whole").alias("hash"), "row")
+    classes = scratch.saved(marked.groupBy("fp").agg(F.min(order).alias("best")))
+    best = sets_of(classes, budget, group_rows).groupBy("set").agg(F.min("best").alias("best"))
+    return marked.join(best.select(F.col("best.row").alias("row")), "row", "left_semi").select(*(F.col(f"whole.`{c}`").alias(c) for c in docs.columns))
 
 
 def hex_digits(column: str):

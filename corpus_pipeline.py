@@ -1,4 +1,8 @@
-"""A training corpus from documents: five stages, each over all rows that the one before kept."""
+"""A training corpus from documents: five stages, each over all rows that the one before kept.
+
+All stages but the last return the columns of documents. Null and repeated doc_ids are kept by each
+stage's own rule; no row is lost for its id.
+"""
 
 from __future__ import annotations
 
@@ -10,16 +14,14 @@ from chronika.llm.common import table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
-    fitted = langid.profiles(docs.filter(~langid.held_out()))
+    """Documents predicted to be in no learned language go: no letter, or too far from every profile."""
+    fitted = langid.profiles(docs.filter(~F.coalesce(langid.held_out(), F.lit(False))))
     return langid.accepted(docs, fitted)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id stays; of rows that repeat a doc_id, one."""
-    found = simhash.near_duplicates(docs)
-    kept = found.filter("doc_id = component").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)
+    """Of each group of near duplicates one document stays, the one with the smallest doc_id; rows without one come last."""
+    return simhash.keep_one(docs)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +35,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids, n_tokens) of each text."""
-    return bpe.encode(docs)
+    """The documents with their ids, n_tokens and whether the ids decode to the text (lossless)."""
+    return bpe.encode_rows(docs)
 
 
 STAGES = [

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -69,6 +70,20 @@ def test_odd_rows(spark):
     nothing = langid.profiles(none(spark))
     assert {r.lang_pred for r in langid.predict(odd(spark), nothing).collect()} == {"und"}
     assert langid.predict(none(spark), fitted).count() == 0
-    kept = langid.accepted(odd(spark), fitted)
+    kept = langid.accepted(odd(spark), fitted, least=0)
     assert kept.columns == odd(spark).columns
     assert {r.doc_id for r in kept.collect()} == {1, 2, 3, 8, 9, 10, 11, 12, None}
+
+
+def test_accepted_follows_the_prediction(spark):
+    docs = spark.read.parquet(DATA)
+    fitted = langid.profiles(docs.filter(~langid.held_out()))
+    rng = random.Random(3)
+    foreign = ["这是一个关于天气和城市的中文句子" * 5, " ".join(rng.randbytes(16).hex() for _ in range(20)), "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(600)), "Это предложение написано по-русски и не имеет языка среди выученных."]
+    odd_docs = spark.createDataFrame([(-i, t, None, None, len(t)) for i, t in enumerate(foreign, 1)], docs.schema)
+    kept = langid.accepted(docs.union(odd_docs), fitted)
+    assert kept.filter("doc_id < 0").count() == 0
+    assert kept.count() == docs.filter(F.col("text").rlike(r"\p{L}")).count()
+    predicted = {r.doc_id: r.lang_pred for r in langid.predict(docs, fitted).collect()}
+    one = {r.doc_id for r in langid.accepted(docs, fitted, langs=["de"]).collect()}
+    assert one == {i for i, x in predicted.items() if x == "de"} and one

@@ -4,7 +4,7 @@ import xxhash
 
 from chronika.llm import simhash
 from chronika.llm.components import connected_components
-from tests.llm.cases import none, odd
+from tests.llm.cases import PROSE, none, odd
 
 
 def slow_fingerprint(text):
@@ -76,3 +76,18 @@ def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (101, 100), (None, 3)]
     found = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {i: 100 for i in range(100, 160)}
+
+
+def test_keep_one(spark):
+    rows = odd(spark)
+    kept = simhash.keep_one(rows)
+    assert kept.columns == rows.columns
+    found = kept.collect()
+    fps = [slow_fingerprint(r.text) for r in rows.collect()]
+    # Of the copies of the prose (ids 1, 1, 2, 3 and null) the least id stays, of its equal rows one; the other text of id 1 is a group of its own.
+    assert sorted(r.text for r in found if r.doc_id == 1) == sorted([PROSE, "another text of the same id"])
+    assert not [r for r in found if r.doc_id in (2, 3, None)]
+    assert len({slow_fingerprint(r.text) for r in found}) == len(found) <= len(set(fps))
+    alone = rows.filter("doc_id is null").union(rows.filter("doc_id = 12")).union(rows.filter("doc_id is null"))
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(alone).collect()) == ["12", "None"]
+    assert simhash.keep_one(none(spark)).count() == 0
