@@ -51,6 +51,26 @@ RANGES = [
     ("480 BC", "-0480-12-31", "-0480-12-31"),
     ("", "1805-12-31", "1805-12-31"),
     ("some time later", "1805-12-31", "1805-12-31"),
+    ("late May – late June 1342", "1342-05-01", "1342-06-30"),
+    ("18 July 2024 – late January 2026", "2024-07-18", "2026-01-31"),
+    ("1475 – early 1476", "1475-01-01", "1476-12-31"),
+    ("198 – March 199", "0198-01-01", "0199-03-31"),
+    ("January – July, 1618", "1618-01-01", "1618-07-31"),
+    ("August or September 1210", "1210-08-01", "1210-09-30"),
+    ("9 and 11 March 1416", "1416-03-09", "1416-03-11"),
+    ("August 8 or 9, 1775", "1775-08-08", "1775-08-09"),
+    ("16 August 1419 to 1 November 1420", "1419-08-16", "1420-11-01"),
+    ("3 January 1591 – 1594", "1591-01-03", "1594-12-31"),
+    ("25 to 28 December 1307", "1307-12-25", "1307-12-28"),
+    ("August – July 1801", "1801-07-01", "1801-07-31"),
+    ("first part: July 2006, second part: September – October 2006", "2006-07-01", "2006-07-31"),
+    ("October 1914 – 11 July 1915", "1914-10-01", "1915-07-11"),
+    ("10 December, 1578", "1578-12-10", "1578-12-10"),
+    ("February 1840", "1840-02-01", "1840-02-29"),
+    ("August 480 BC", "-0480-12-31", "-0480-12-31"),
+    ("1863", "1863-12-31", "1863-12-31"),
+    ("45 July 1863", "1863-07-01", "1863-07-31"),
+    ("winter 1863", "1805-12-31", "1805-12-31"),
 ]
 
 
@@ -91,6 +111,19 @@ MARKUP = [
     ("U {{plainlist |", "U"),
     ("| strength1 = 500", "500"),
     ("one<br/>two", "one two"),
+    ("A trading company}}", "A trading company"),
+    ("Grand League:{{plainlist |", "Grand League"),
+    ("22px Northern side: | }}", "22px Northern side"),
+    ("[[Conquest of A and B|", ""),
+    ("Northern Front]] of the war)", "Northern Front of the war)"),
+    ("Won <small>(disputed)</small>", "Won (disputed)"),
+    ("B, C D<ref name=\"e, 1917\"", "B, C D"),
+    ("N|commander2=W", "N"),
+    ("forces,", "forces"),
+    ("W\ufffd X", "W X"),
+    ("[[File:a.jpg|thumb|the [[deep [[er]]|label]]]] here", "the label here"),
+    ("{{a|{{b|{{c|{{d|{{e|{{f|{{g|{{h}}}}}}}}}}}}}}}} left", "left"),
+    ("a < b and [c] {d}", "a < b and [c] {d}"),
     ("", ""),
     (None, ""),
 ]
