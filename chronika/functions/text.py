@@ -42,7 +42,7 @@ def visible(text: Column) -> Column:
     pipe. What stands in a template or a reference is left out, however deep they nest; a template, reference or
     link that is never closed hides all that follows it, and a closing bracket without an opening one goes.
     """
-    parts = F.regexp_extract_all(text, F.lit(r"\{\{|\}\}|\[\[|\]\]|<[^<>]*>|<[^<>]*$|[^{}\[\]<]+|[{}\[\]<]"), 0)
+    parts = F.regexp_extract_all(text, F.lit(r"\{\{|\}\}|\[\[|\]\]|<(?=[/A-Za-z])[^<>]*(?:>|$)|[^{}\[\]<]+|[{}\[\]<]"), 0)
     start = F.struct(F.array(F.lit("")).alias("levels"), F.lit(0).alias("deep"), F.lit(False).alias("cited"))
 
     def step(at: Column, part: Column) -> Column:
@@ -51,7 +51,7 @@ def visible(text: Column) -> Column:
         shown = lambda t: F.concat(F.slice(levels, 1, depth - 1), F.array(F.concat(top, t)))
         label = F.element_at(F.split(top, r"\|"), -1)
         closed = F.concat(F.slice(levels, 1, F.greatest(depth - 2, F.lit(0))), F.array(F.concat(F.element_at(levels, -2), label)))
-        name = F.lower(F.regexp_extract(part, r"^</?\s*(\w+)", 1))
+        name = F.lower(F.regexp_extract(part, r"^</?(\w+)", 1))
         now = lambda levels=levels, deep=deep, cited=cited: F.struct(levels.alias("levels"), deep.alias("deep"), cited.alias("cited"))
         opened = name == "ref"
         return (
