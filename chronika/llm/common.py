@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +88,39 @@ class Scratch:
         return out
 
 
+def bucketed(df: DataFrame, scratch: Scratch, name: str, key: str) -> DataFrame:
+    """The rows, written to files bucketed by a key, so that groups of it are read without a shuffle. No table stays in the catalogue."""
+    spark = df.sparkSession
+    table = f"chronika_{name}_{uuid.uuid4().hex}"
+    df.write.bucketBy(partitions(spark), key).option("path", f"{scratch.path}/{name}").option("compression", "zstd").format("parquet").saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"drop table {table}")  # of its files, which lie elsewhere, nothing goes
+    return out
+
+
+def packed_blocks(text: str, most: int):
+    """For mapInArrow: rows dealt to blocks of some bytes of text, or one longer text, as column b; the text becomes blob,
+    compressed behind its length, null for an empty one. b goes first, blob last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, held = TaskContext.get().partitionId() << 32, 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(at, ROWS_AT_ONCE)
+                number, blobs = [], []
+                for value in batch.column(text).cast(pa.large_binary()):
+                    raw = value.as_py() or b""
+                    if held and held + len(raw) > most:
+                        b, held = b + 1, 0
+                    held += len(raw)
+                    number.append(b)
+                    blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True) if raw else None)
+                others = [n for n in batch.schema.names if n != text]
+                yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), *(batch.column(n) for n in others), pa.array(blobs, pa.binary())], names=["b", *others, "blob"])
+
+    return run
+
+
 def free_memory() -> None:
     """Give memory that a Python worker has used and freed back to the system, as the worker stays for later stages."""
     pa.default_memory_pool().release_unused()
@@ -100,10 +134,11 @@ def free_memory() -> None:
 BROADCAST_IDS = 2_000_000
 
 
-def with_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """The rows of some ids: by a broadcast up to BROADCAST_IDS of them, which are counted first, by a shuffle beyond."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(ids) if few else ids, key, "left_semi")
+def flagged(rows: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
+    """The rows with a boolean column that says whether their id is among some ids: by a broadcast up to BROADCAST_IDS of them, which are counted first, by a shuffle beyond."""
+    some = ids.select(key).filter(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
+    few = some.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(some) if few else some, key, "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -3,19 +3,21 @@
 Two bigram models, one of target text and one of background text, share one vocabulary, order and
 smoothing, so only what they were counted on tells them apart. A document's score is its loss a
 token under the background model less that under the target model: positive is nearer to the target.
+A document is never scored by counts of its own: what it gave to a model is taken off first.
 
 Tokens are runs of letters and digits (ASCII lower-cased; all bytes beyond ASCII) and runs of other
-visible characters. Every token and every bigram is counted, exactly but for 62-bit hashes, over all
-rows; nothing is capped, and no table of counts comes to the driver or goes to a task whole. The
-documents are dealt into chunks of some CHUNK_BYTES by a hash. A chunk sends each of its distinct
-tokens, contexts and bigrams once, with its counts, to the shards of the count table; a shard adds
-them up and answers each chunk with the sums of what it sent, and the chunk is scored with these.
-Chunks and shards grow in number with the input. With `vocabulary`, only as many of the background's
-most frequent tokens are told apart, all others are one unknown token.
-
-Null and empty texts have no tokens and score 0. Without target rows both models are smoothed to
-the same uniform one and differ by the background only. Repeated rows count and are scored each;
-columns beyond those named are ignored.
+visible characters; the vocabulary is all of them. Every token and every bigram is counted, exactly
+but for KEY_BITS-bit hashes, over all rows; nothing is capped, and no table of counts comes to the
+driver or goes to a task whole. Documents lie in chunks of CHUNK_BYTES, or one longer document, in
+files bucketed by chunk, so texts go through no shuffle. A chunk sends each of its distinct tokens,
+contexts and bigrams once, with its counts, to the shards of the count table; a shard adds them up and
+answers each chunk with the sums of what it sent, and the chunk is scored with these. Chunks and
+shards grow in number with the input; what a chunk sends, as sorted and packed keys, is smaller than
+its texts.
+
+Null and empty texts have no tokens and score 0. A model without other documents is smoothed to the
+uniform one. Repeated rows count and are scored each, so a row that occurs twice is known by its
+copy; columns beyond those named are ignored.
 """
 
 from __future__ import annotations
@@ -27,13 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronika.llm.common import checkpointed, partitions, ship_package
+from chronika.llm.common import Scratch, bucketed, free_memory, packed_blocks, partitions, ship_package
 from chronika.llm.suffix_dedup import BYTE_VALUE, POWERS, U64, mixed
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 8 << 20  # of text in a chunk
 SHARD_BYTES = 16 << 20
-START, UNKNOWN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+START = np.uint64(0x9E3779B97F4A7C15)
 UNIGRAM, CONTEXT, PAIR = 0, 1, 2
+KEY_BITS = 52
 MIX = 0.6
 ALPHA = 0.5
 CHUNK = 1 << 20
@@ -75,60 +78,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
             yield batch.slice(start), raws[start:]
 
 
-def summed(value: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(value, kind="stable")
-    value, n = value[order], n[order]
-    at = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
-    return value[at], np.add.reduceat(n, at) if len(at) else n
-
-
-def top_tokens(texts: DataFrame, size: int) -> np.ndarray:
-    """Hashes of the most frequent tokens of all rows (column text), ties to the smaller hash; sorted."""
-    shards = 4 * partitions(texts.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            value, n = summed(np.concatenate([v for v, _ in held]), np.concatenate([n for _, n in held]))
-            shard = (value % U64(shards)).astype(np.int64)
-            order = np.argsort(shard, kind="stable")
-            value, n, shard = value[order], n[order], shard[order]
-            at = np.searchsorted(shard, np.arange(shards + 1))
-            parts = [(s, value[a:b].tobytes(), n[a:b].tobytes()) for s, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*parts), (pa.int32(), pa.binary(), pa.binary()))], names=["shard", "token", "n"])
-
-        for _, raws in chunks(batches, 0):
-            value = np.sort(tokens(raws)[1])
-            at = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
-            held.append((value[at], np.diff(np.append(at, len(value)))))
-            n_held += len(at)
-            if n_held > 3_000_000:
-                yield from flush()
-                held, n_held = [], 0
-        if held:
-            yield from flush()
-
-    def best(table: pa.Table) -> pa.Table:
-        value, n = summed(*(np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("token", U64), ("n", np.int64))))
-        order = np.lexsort((value, -n))[:size]
-        return pa.table([pa.array(value[order].view(np.int64)), pa.array(n[order])], names=["token", "n"])
-
-    counted = checkpointed(texts.mapInArrow(run, "shard int, token binary, n binary").groupBy("shard").applyInArrow(best, "token long, n long"))
-    # A histogram of the counts by their magnitude, a few hundred rows, tells how frequent a token must be; so about
-    # `size` rows come to the driver, not `size` from each task.
-    magnitude = F.floor(F.log2("n") * 8)
-    floor, held = 0, 0
-    for r in counted.groupBy(magnitude.alias("m")).count().orderBy(F.desc("m")).collect():
-        floor, held = r.m, held + r["count"]
-        if held >= size:
-            break
-    rows = counted.filter(magnitude >= floor).withColumn("order", F.col("token").bitwiseXOR(F.lit(-(1 << 63)))).orderBy(F.desc("n"), "order").limit(size).select("token").collect()
-    return np.sort(np.array([r.token for r in rows], np.int64).view(U64))
-
-
-def keys(raws: list[bytes], known: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+def keys(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text, keys of token, context and bigram) of each token; the low two bits of a key tell which. A text starts after a start mark."""
     found, start, held = [], 0, 0
     for i, r in enumerate([*raws, b""]):
@@ -139,127 +89,166 @@ def keys(raws: list[bytes], known: np.ndarray | None) -> tuple[np.ndarray, np.nd
             start, held = i, 0
         held += len(r)
     text, value = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64), np.zeros(0, U64))
-    if known is not None:
-        place = np.minimum(np.searchsorted(known, value), max(0, len(known) - 1))
-        value = np.where(known[place] == value, value, UNKNOWN) if len(known) else np.full(len(value), UNKNOWN)
     before = np.append(START, value[:-1])[: len(value)]
     before[np.append(True, text[1:] != text[:-1])[: len(value)]] = START
     kinds = mixed(value, 5), mixed(before, 6), mixed(mixed(before, 7) + value, 8)
-    return text, np.stack([k & ~U64(3) | U64(i) for i, k in enumerate(kinds)])
+    return text, np.stack([k >> U64(64 - KEY_BITS) & ~U64(3) | U64(i) for i, k in enumerate(kinds)])
 
 
-def distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted keys, the place of each given one among them, and their counts."""
-    return np.unique(key.ravel(), return_inverse=True, return_counts=True)
+def places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the place of each given one among them."""
+    distinct, place = np.unique(key.ravel(), return_inverse=True)
+    return distinct, place.reshape(key.shape)
 
 
 def packed(n: np.ndarray) -> bytes:
-    return pa.compress(n.astype(np.int64).tobytes(), codec="zstd", asbytes=True)
+    """Whole numbers, byte by byte of each, compressed."""
+    planes = np.ascontiguousarray(n.astype("<u8").view(np.uint8).reshape(len(n), 8).T)
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
 def unpacked(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob, decompressed_size=8 * n, codec="zstd", asbytes=True), np.int64)
-
+    planes = np.frombuffer(pa.decompress(blob, decompressed_size=8 * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").reshape(n)
 
-SENT = "shard int, chunk int, keys binary, near binary, far binary"
-ANSWER = "chunk int, shard int, size int, near binary, far binary"
 
-
-def sent(chunk: int, key: np.ndarray, n: np.ndarray, near: int, far: int, shards: int) -> pa.Table:
-    """Distinct sorted keys, which are in order of shards, with their counts in the target (near) and the background (far)."""
-    shard = ((key >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
-    at = np.searchsorted(shard, np.arange(shards + 1))
-    rows = [(s, chunk, key[a:b].tobytes(), packed(near * n[a:b]), packed(far * n[a:b])) for s, (a, b) in enumerate(zip(at, at[1:])) if b > a]
-    columns = list(zip(*rows)) if rows else [()] * 5
-    return pa.table([pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["shard", "chunk", "keys", "near", "far"])
+SENT = "shard int, chunk long, size int, keys binary, near binary, far binary"
+ANSWER = "chunk long, shard int, size int, near binary, far binary"
 
 
-def texts_of(column: pa.ChunkedArray) -> list[bytes]:
-    return [r or b"" for r in column.cast(pa.binary()).to_pylist()]
+def arrow(rows: list[tuple], ddl: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    fields = [f.split() for f in ddl.split(", ")]
+    columns = list(zip(*rows)) if rows else [()] * len(fields)
+    return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
-def score(docs: DataFrame, target: DataFrame, background: DataFrame | None = None, vocabulary: int | None = None, table_bits: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, target_loss, background_loss, score) of every row; losses are nats a token. Counts are exact, so table_bits does nothing any more."""
+def sent(chunk: int, key: np.ndarray, near: np.ndarray, far: np.ndarray, shards: int) -> pa.Table:
+    """Sorted distinct keys, which are in order of shards, as differences, with their counts in the target (near) and the background (far)."""
+    shard = ((key >> U64(KEY_BITS - 32)) * U64(shards) >> U64(32)).astype(np.int64)
+    at = np.searchsorted(shard, np.arange(shards + 1))
+    return arrow([(s, chunk, b - a, packed(np.diff(key[a:b], prepend=U64(0))), packed(near[a:b]), packed(far[a:b])) for s, (a, b) in enumerate(zip(at, at[1:])) if b > a], SENT)
+
+
+def counted(chunk: int, raws: list[bytes], near: np.ndarray, far: np.ndarray, shards: int) -> pa.Table:
+    """What a chunk sends. near, far: for each text, how often it counts in the target and in the background."""
+    text, key = keys(raws)
+    distinct, place = places(key)
+    sums = [np.bincount(place.ravel(), np.tile(n[text], 3), len(distinct)).astype(np.int64) for n in (near, far)]
+    return sent(chunk, distinct, *sums, shards)
+
+
+def added(table: pa.Table) -> pa.Table:
+    """The sums of a shard's counts, back to each chunk that asked; as chunk -1 how many tokens differ and the tokens of both models."""
+    sizes = table.column("size").to_pylist()
+    key, place = places(np.concatenate([np.cumsum(unpacked(b, n)) for b, n in zip(table.column("keys").to_pylist(), sizes)]))
+    sums = []
+    for c in ("near", "far"):
+        n = np.concatenate([unpacked(b, k) for b, k in zip(table.column(c).to_pylist(), sizes)])
+        sums.append(np.bincount(place, n, len(key)).astype(np.int64))
+    word = key & U64(3) == UNIGRAM
+    shard = table.column("shard")[0].as_py()
+    out, at = [(-1, shard, 2, packed(np.array([((sums[0] + sums[1])[word] > 0).sum(), 0])), packed(np.array([n[word].sum() for n in sums])))], 0
+    for chunk, n in zip(table.column("chunk").to_pylist(), sizes):
+        if chunk >= 0:
+            out.append((chunk, shard, n, *(packed(t[place[at : at + n]]) for t in sums)))
+        at += n
+    return arrow(out, ANSWER)
+
+
+def own_counts(text: np.ndarray, place: np.ndarray, n: int) -> np.ndarray:
+    """For each token and kind of key, how often its text holds the key. n: how many keys there are."""
+    both = place + np.int64(n) * text
+    _, at, count = np.unique(both.ravel(), return_inverse=True, return_counts=True)
+    return count[at].reshape(place.shape)
+
+
+def score(docs: DataFrame, target: DataFrame | None = None, background: DataFrame | None = None, in_target: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_tokens, target_loss, background_loss, score) of every row; losses are nats a token.
+
+    The target is other texts, or the rows of docs whose boolean column in_target is true, or both. The background
+    is docs, or other texts if given. A row of docs that is in a model is left out of it for its own loss.
+    """
     spark = docs.sparkSession
     ship_package(spark)
-    as_text = lambda df: df.select(F.col(text_col).cast("string").alias("text")).filter("text is not null")
-    around = as_text(docs if background is None else background)
-    held = spark.sparkContext.broadcast(None if vocabulary is None else top_tokens(around, vocabulary))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    bytes_of = lambda df: df.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    size = bytes_of(rows)
-    n_chunks = max(partitions(spark), -(-size // CHUNK_BYTES))
-    shards = max(partitions(spark), -(-(size + (bytes_of(around) if background is not None else 0)) // SHARD_BYTES))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(n_chunks)).cast("int"))
-    own = int(background is None)
+    scratch = Scratch(spark)
+    near = F.lit(False) if in_target is None else F.coalesce(F.col(f"`{in_target}`"), F.lit(False))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), near.alias("near"))
+    blocks = bucketed(rows.mapInArrow(packed_blocks("text", CHUNK_BYTES), "b long, id long, near boolean, blob binary"), scratch, "chunks", "b")
+    own_far = int(background is None)
+    texts = [(df.select(F.col(f"`{text_col}`").cast("string").alias("text")), n) for df, n in ((target, (1, 0)), (background, (0, 1))) if df is not None]
+    size = sum(df.agg(F.sum(F.octet_length("text"))).first()[0] or 0 for df in (rows, *(t for t, _ in texts)))
+    shards = max(partitions(spark), -(-size // SHARD_BYTES))
+
+    def read(table: pa.Table) -> tuple[list[bytes], np.ndarray]:
+        raws = [pa.decompress(b[8:], decompressed_size=int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True) if b else b"" for b in table.column("blob").to_pylist()]
+        return raws, np.array(table.column("near").to_pylist(), np.int64)
 
     def ask(table: pa.Table) -> pa.Table:
-        key, _, n = distinct(keys(texts_of(table.column("text")), held.value)[1])
-        return sent(table.column("chunk")[0].as_py(), key, n, 0, own, shards)
+        try:
+            raws, near = read(table)
+            return counted(table.column("b")[0].as_py(), raws, near, np.full(len(raws), own_far), shards)
+        finally:
+            free_memory()
 
     def tell(near: int, far: int):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raws, n = [], 0
+
+            def flush() -> list[pa.RecordBatch]:
+                return counted(-1, raws, np.full(len(raws), near), np.full(len(raws), far), shards).to_batches()
+
             for _, more in chunks(batches, 0):
                 raws, n = raws + more, n + sum(map(len, more))
                 if n > CHUNK_BYTES:
-                    key, _, count = distinct(keys(raws, held.value)[1])
-                    yield from sent(-1, key, count, near, far, shards).to_batches()
+                    yield from flush()
                     raws, n = [], 0
             if raws:
-                key, _, count = distinct(keys(raws, held.value)[1])
-                yield from sent(-1, key, count, near, far, shards).to_batches()
+                yield from flush()
+            free_memory()
 
         return run
 
     def add(table: pa.Table) -> pa.Table:
-        blobs = table.column("keys").to_pylist()
-        sizes = [len(b) // 8 for b in blobs]
-        key, place, _ = distinct(np.frombuffer(b"".join(blobs), U64))
-        sums = []
-        for c in ("near", "far"):
-            n = np.concatenate([unpacked(b, k) for b, k in zip(table.column(c).to_pylist(), sizes)])
-            total = np.zeros(len(key), np.int64)
-            np.add.at(total, place, n)
-            sums.append(total)
-        word = key & U64(3) == UNIGRAM
-        # Of the tokens: how many differ, and the sums of both models.
-        stats = np.array([((sums[0] + sums[1])[word] > 0).sum(), 0]), np.array([sums[0][word].sum(), sums[1][word].sum()])
-        shard = table.column("shard")[0].as_py()
-        out, at = [(-1, shard, 2, packed(stats[0]), packed(stats[1]))], 0
-        for chunk, n in zip(table.column("chunk").to_pylist(), sizes):
-            if chunk >= 0:
-                out.append((chunk, shard, n, *(packed(t[place[at : at + n]]) for t in sums)))
-            at += n
-        return pa.table([pa.array(c, k) for c, k in zip(zip(*out), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["chunk", "shard", "size", "near", "far"])
-
-    counts = rows.groupBy("chunk").applyInArrow(ask, SENT).union(as_text(target).mapInArrow(tell(1, 0), SENT))
-    if background is not None:
-        counts = counts.union(around.mapInArrow(tell(0, 1), SENT))
-    answers = checkpointed(counts.groupBy("shard").applyInArrow(add, ANSWER))
-    told = answers.filter("chunk = -1").collect()
-    words = sum(int(unpacked(r.near, 2)[0]) for r in told) if vocabulary is None else len(held.value)
+        try:
+            return added(table)
+        finally:
+            free_memory()
+
+    counts = blocks.groupBy("b").applyInArrow(ask, SENT)
+    for df, n in texts:
+        counts = counts.union(df.mapInArrow(tell(*n), SENT))
+    answers = scratch.saved(counts.groupBy("shard").applyInArrow(add, ANSWER))
+    told = answers.filter("chunk = -1").select("near", "far").collect()  # one row a shard
+    words = sum(int(unpacked(r.near, 2)[0]) for r in told)
     totals = [sum(int(unpacked(r.far, 2)[i]) for r in told) for i in (0, 1)]
 
-    def losses(n: np.ndarray, place: np.ndarray, total: int) -> np.ndarray:
-        unigram, context, pair = n[place]
+    def losses(n: np.ndarray, total: np.ndarray) -> np.ndarray:
+        unigram, context, pair = n
         low = (unigram + ALPHA) / (total + ALPHA * (words + 2))
         mix = np.where(context > 0, MIX, 0.0)
         return -np.log(mix * pair / np.maximum(context, 1) + (1 - mix) * low)
 
     def judge(docs: pa.Table, found: pa.Table) -> pa.Table:
-        raws = texts_of(docs.column("text"))
-        text, key = keys(raws, held.value)
-        place = distinct(key)[1].reshape(key.shape)
-        found = found.sort_by("shard")
-        n = np.bincount(text, minlength=len(raws))
-        both = []
-        for c, total in zip(("near", "far"), totals):
-            parts = [unpacked(b, k) for b, k in zip(found.column(c).to_pylist(), found.column("size").to_pylist())]
-            values = losses(np.concatenate(parts), place, total) if parts else np.zeros(0)
-            both.append(np.bincount(text, values, len(raws)) / np.maximum(n, 1))
-        a, b = both
-        return pa.table([docs.column("id"), pa.array(n), pa.array(a), pa.array(b), pa.array(b - a)], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
-
-    scored = rows.groupBy("chunk").cogroup(answers.filter("chunk >= 0").groupBy("chunk")).applyInArrow(judge, "id long, n_tokens long, target_loss double, background_loss double, score double")
-    return scored.withColumnRenamed("id", id_col)
+        try:
+            raws, near = read(docs)
+            text, key = keys(raws)
+            distinct, place = places(key)
+            own = own_counts(text, place, len(distinct))
+            found = found.sort_by("shard")
+            n = np.bincount(text, minlength=len(raws))
+            both = []
+            for c, total, member in (("near", totals[0], near), ("far", totals[1], np.full(len(raws), own_far))):
+                parts = [unpacked(b, k) for b, k in zip(found.column(c).to_pylist(), found.column("size").to_pylist())]
+                others = np.concatenate(parts).astype(np.int64)[place] - own * member[text] if parts else np.zeros(place.shape)
+                both.append(np.bincount(text, losses(others, (total - n * member)[text]), len(raws)) / np.maximum(n, 1))
+            a, b = both
+            return pa.table([docs.column("id"), pa.array(n), pa.array(a), pa.array(b), pa.array(b - a)], names=["id", "n_tokens", "target_loss", "background_loss", "score"])
+        finally:
+            free_memory()
+
+    scored = blocks.groupBy("b").cogroup(answers.filter("chunk >= 0").groupBy("chunk")).applyInArrow(lambda docs, found: judge(docs, found) if len(docs) else EMPTY, "id long, n_tokens long, target_loss double, background_loss double, score double")
+    return scratch.kept(scored).withColumnRenamed("id", id_col)
+
+
+EMPTY = pa.table([pa.array([], k) for k in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())], names=["id", "n_tokens", "target_loss", "background_loss", "score"])

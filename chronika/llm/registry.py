@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronika.llm import bpe, decontaminate, html_text, langid, lm_scoring, neardup_embeddings, quality, simhash, suffix_dedup, token_counts
-from chronika.llm.common import table, with_ids
+from chronika.llm.common import flagged, table
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +44,7 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target is what labels calls good and not toxic; the background is every document."""
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").filter("quality = 1 and toxic = 0").select("doc_id")
-    return lm_scoring.score(docs, with_ids(docs, good, "doc_id"))
+    return lm_scoring.score(flagged(docs.select("doc_id", "text"), good, "doc_id", "good"), in_target="good")
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

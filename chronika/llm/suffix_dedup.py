@@ -37,7 +37,6 @@ remove nor lose anything. Other columns, whatever their names, are carried along
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,7 +49,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronika.llm.common import Scratch, free_memory, partitions, ship_package
+from chronika.llm.common import Scratch, bucketed, free_memory, partitions, ship_package
 
 LENGTH = 50
 TRIGGER = 24
@@ -546,11 +545,7 @@ def write_blocks(docs: DataFrame, id_col: str, text_col: str, length: int, scrat
                 yield pa.RecordBatch.from_arrays([pa.array(number, pa.int64()), part.column(0), pa.array([zip_(r) if r else None for r in raws], pa.binary()), pa.array(cuts, pa.binary()), part.column(2)], names=["b", "id", "blob", "cuts", "rest"])
         free_memory()
 
-    name = f"chronika_blocks_{uuid.uuid4().hex}"
-    rows.mapInArrow(run, schema).write.bucketBy(partitions(spark), "b").option("path", f"{scratch.path}/blocks").option("compression", "zstd").format("parquet").saveAsTable(name)
-    table = spark.table(name)
-    spark.sql(f"drop table {name}")  # of its files, which lie elsewhere, nothing goes
-    return table
+    return bucketed(rows.mapInArrow(run, schema), scratch, "blocks", "b")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_text: bool = True, block_bytes: int = BLOCK_BYTES, chunk_bytes: int = CHUNK_BYTES, crowded: int = CROWDED) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronika.llm import bpe, decontaminate, html_text, lm_scoring, neardup_embeddings, token_counts
 from tests.llm.cases import none, odd, odd_rows
@@ -170,64 +171,63 @@ def split_tokens(text):
     return out
 
 
-def test_scores_equal_brute_force(spark):
-    texts = {1: "The cat sat. The cat ran!", 2: "the dog sat", 3: "", 4: None, 5: "zebra ### zebra", 6: "The cat sat. The cat ran!"}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    target = docs.filter("doc_id in (1, 2)")
-    vocabulary = {t for t, _ in sorted(Counter(t for x in texts.values() for t in split_tokens(x)).items(), key=lambda p: -p[1])}
-    got = {r.doc_id: r for r in lm_scoring.score(docs, target, vocabulary=len(vocabulary), table_bits=20).collect()}
+class SlowModel:
+    """Counts of some texts, each one's loss without its own share."""
 
-    def model(ids):
-        uni, context, pair = Counter(), Counter(), Counter()
+    def __init__(self, texts, ids, vocabulary):
+        self.texts, self.ids, self.size = texts, ids, vocabulary + 2
+        self.sums = [Counter(), Counter(), Counter()]
         for i in ids:
-            before = "<s>"
-            for t in split_tokens(texts[i]):
-                uni[t] += 1
-                context[before] += 1
-                pair[before, t] += 1
-                before = t
-        size, total = len(vocabulary) + 2, sum(uni.values())
-
-        def loss(i):
-            out, before = [], "<s>"
-            for t in split_tokens(texts[i]):
-                low = (uni[t] + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * size)
-                mix = lm_scoring.MIX if context[before] else 0
-                out.append(-math.log(mix * pair[before, t] / max(context[before], 1) + (1 - mix) * low))
-                before = t
-            return sum(out) / max(len(out), 1)
-
-        return loss
-
-    near, far = model((1, 2)), model(texts)
+            for c, own in zip(self.sums, self.counts(texts[i])):
+                c.update(own)
+
+    def counts(self, words):
+        before = ["<s>", *words[:-1]][: len(words)]
+        return Counter(words), Counter(before), Counter(zip(before, words))
+
+    def loss(self, i):
+        words = self.texts[i]
+        own = self.counts(words) if i in self.ids else (Counter(),) * 3
+        uni, context, pair = ({k: c[k] - o[k] for k in self.counts(words)[n]} for n, (c, o) in enumerate(zip(self.sums, own)))
+        total, out, before = sum(self.sums[0].values()) - sum(own[0].values()), 0.0, "<s>"
+        for w in words:
+            mix = lm_scoring.MIX if context[before] else 0
+            out -= math.log(mix * pair[before, w] / max(context[before], 1) + (1 - mix) * (uni[w] + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * self.size))
+            before = w
+        return out / max(len(words), 1)
+
+
+def test_scores_equal_brute_force(spark):
+    texts = {1: "The cat sat. The cat ran!", 2: "the dog sat", 3: "", 4: None, 5: "zebra ### zebra", 6: "The cat sat. The cat ran!"}
+    words = {i: split_tokens(t) for i, t in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("near", F.col("doc_id").isin(1, 2)).withColumn("b", F.lit("other"))
+    size = len({w for x in words.values() for w in x})
+    near, far = SlowModel(words, {1, 2}, size), SlowModel(words, set(texts), size)
+    got = {r.doc_id: r for r in lm_scoring.score(docs, in_target="near").collect()}
+    for i in texts:
+        assert got[i].n_tokens == len(words[i])
+        assert got[i].target_loss == pytest.approx(near.loss(i)) and got[i].background_loss == pytest.approx(far.loss(i))
+        assert got[i].score == pytest.approx(far.loss(i) - near.loss(i))
+    assert got[6].background_loss < got[5].background_loss - 1  # its copy tells
+    # Other texts as models: nothing is left out.
+    near, far = SlowModel({**words, 7: words[1], 8: words[5]}, {7}, len(set(words[1]) | set(words[5]))), SlowModel({**words, 7: words[1], 8: words[5]}, {7, 8}, len(set(words[1]) | set(words[5])))
+    got = {r.doc_id: r for r in lm_scoring.score(docs, docs.filter("doc_id = 1"), docs.filter("doc_id in (1, 5)")).collect()}
     for i in texts:
-        assert got[i].n_tokens == len(split_tokens(texts[i]))
-        assert got[i].target_loss == pytest.approx(near(i)) and got[i].background_loss == pytest.approx(far(i))
-        assert got[i].score == pytest.approx(far(i) - near(i))
+        assert got[i].target_loss == pytest.approx(near.loss(i)) and got[i].background_loss == pytest.approx(far.loss(i))
 
 
 def test_no_bigram_is_cut(spark):
+    """More than 200,000 distinct bigrams, in several chunks and shards."""
     rng = random.Random(4)
     texts = {i: " ".join(f"w{rng.randrange(60_000)}" for _ in range(20_000)) for i in range(12)}
-    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
-    got = {r.doc_id: r for r in lm_scoring.score(docs, docs.filter("doc_id < 2")).collect()}
     words = {i: t.split() for i, t in texts.items()}
-    size = len({w for t in words.values() for w in t}) + 2
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("near", F.col("doc_id") < 2).repartition(3, "doc_id")
+    got = {r.doc_id: r for r in lm_scoring.score(docs, in_target="near").collect()}
+    size = len({w for x in words.values() for w in x})
     assert size > 55_000
-
-    def loss(i, ids):
-        uni = Counter(w for k in ids for w in words[k])
-        context = Counter(v for k in ids for v in ["<s>", *words[k][:-1]])
-        pair = Counter(p for k in ids for p in zip(["<s>", *words[k]], words[k]))
-        total = sum(uni.values())
-        out = 0.0
-        for v, w in zip(["<s>", *words[i]], words[i]):
-            mix = lm_scoring.MIX if context[v] else 0
-            out -= math.log(mix * pair[v, w] / max(context[v], 1) + (1 - mix) * (uni[w] + lm_scoring.ALPHA) / (total + lm_scoring.ALPHA * size))
-        return out / len(words[i])
-
+    near, far = SlowModel(words, {0, 1}, size), SlowModel(words, set(words), size)
     for i in (0, 5):
-        assert got[i].target_loss == pytest.approx(loss(i, (0, 1))) and got[i].background_loss == pytest.approx(loss(i, texts))
+        assert got[i].target_loss == pytest.approx(near.loss(i)) and got[i].background_loss == pytest.approx(far.loss(i))
 
 
 def test_scores_of_odd_rows_and_separation(spark):
