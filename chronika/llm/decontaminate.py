@@ -6,14 +6,21 @@ words that begin a sentence or text are <name> too, so that names may be exchang
 `n` template words (the whole template if it is shorter) are hash-joined with the windows of the
 benchmark items; windows with fewer than two plain words say nothing and are left out of both
 sides. An item is found in a document if, near one alignment, at least `coverage` of its windows
-stand there in one of the templates, and the slots agree: a value of a slot in the item goes with one
-value in the document wherever it comes again. So a question is found whose numbers, names or
-units were exchanged throughout, and a text is not that shares a phrase's shape only.
+stand there in one of the templates, and the slots agree. Names agree if each name of the item goes
+with one in the document and the other way round, without exception. Numbers and units agree if, of
+those that come again in the item, at least `coverage` go with the value that each mostly goes with, as
+two equal numbers of a question may mean different things and be changed apart. So a question is found
+whose numbers, names or units were exchanged throughout, and a text is not that shares a phrase's
+shape only.
+
+An item none of whose windows says anything, such as a sum or a bare number, has no template to speak
+of. It is found where its words, numbers and marks, whatever blanks and case, are a whole line or the
+whole text of a document.
 
 The benchmark goes to the tasks as a hash table in blocks of at most `block_windows` windows, each
 of which meets all documents; one block is some 100 MB. Documents are read once a block, not shuffled.
 
-Null and empty texts match nothing, nor do items without a window that says something. Repeated
+Null and empty texts match nothing, nor do items without any word, number or mark. Repeated
 items (item_id) and repeated documents are each judged by themselves. Rows with a null id are
 judged too. Columns beyond those named are carried along by `clean` and ignored by `matches`.
 """
@@ -39,7 +46,7 @@ BLOCK_WINDOWS = 1_000_000
 UNITS = """mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg g kg t lb lbs oz ounce ounces ton tons tonne tonnes
 ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months
 year years k c f degree degrees percent pct w kw mw v a hz khz mhz ghz b kb mb gb tb n j kj cal kcal pa kpa bar usd eur gbp dollar dollars
-euro euros pound pounds cent cents yen people men women children apples items pieces""".split()
+euro euros pound pounds cent cents yen""".split()
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]")
 U64 = np.uint64
 #: Low bits of a token's code: capitalised, unit word, number; a mark has code 0.
@@ -49,6 +56,11 @@ PLACE = {"<num>": U64(8 << 8), "<unit>": U64(9 << 8), "<name>": U64(10 << 8)}
 FACTORS = np.random.default_rng(77).integers(0, 1 << 63, 64, dtype=U64) * U64(2) + U64(1)
 
 
+def exact(text: str) -> str:
+    """A text or line without blanks and case."""
+    return "".join(text.lower().split())
+
+
 class TokenCodes(dict):
     """Code of each token: a hash of its lower-case form, low bits telling its kind; the cache is bounded."""
 
@@ -140,6 +152,10 @@ class Items:
                 self.total[k, kind] = int(says.sum())
                 for j in np.flatnonzero(says):
                     self.where[int(value[j])].append((k, kind, int(j)))
+        self.exact: dict[str, list[int]] = defaultdict(list)
+        for k, (_, text) in enumerate(rows):
+            if not any(self.total[k, kind] for kind in range(3)) and (line := exact(text)):
+                self.exact[line].append(k)
         self.keys = np.array(sorted(self.where), U64)
         bits = max(16, min(26, 4 + len(self.keys).bit_length()))
         self.low = U64((1 << bits) - 1)
@@ -165,6 +181,9 @@ class Items:
                 share, slots, changed = self.aligned(k, kind_, hits, t, at, slot, coverage)
                 if share >= coverage and share > best.get(k, (0,))[0]:
                     best[k] = share, slots, changed
+        if self.exact and text:
+            for line in {exact(text), *map(exact, text.split("\n"))} & self.exact.keys():
+                best |= dict.fromkeys(self.exact[line], (1.0, 0, 0))
         return [(self.items[k][0], *v) for k, v in sorted(best.items())]
 
     def aligned(self, k: int, kind: int, hits: list[tuple[int, int]], t: Template, at: np.ndarray, slot: np.ndarray, coverage: float) -> tuple[float, int, int]:
@@ -173,7 +192,8 @@ class Items:
         if len({j for _, j in hits}) < coverage * total:
             return 0.0, 0, 0
         item = self.items[k][1]
-        item_at = next(x[3] for x in item.kinds() if x[0] == kind)
+        _, item_codes, _, item_at = next(x for x in item.kinds() if x[0] == kind)
+        is_name = item_codes == PLACE["<name>"]
         drift = max(2, total // 5)
         best = (0.0, 0, 0)
         for main, count in Counter(i - j for i, j in hits).most_common():
@@ -183,18 +203,27 @@ class Items:
             share = len({j for _, j in near}) / total
             if share < coverage or share <= best[0]:
                 continue
-            pairs = {}
+            pairs: dict[int, tuple[int, int]] = {}  # of each slot of the item the place in the text that is nearest to the alignment
             for i, j in near:
+                off = abs(i - j - main)
                 for o in range(min(self.n, len(item_at) - j)):
-                    if slot[i + o]:
-                        pairs[j + o, i + o] = item.tokens[item_at[j + o]].lower(), t.tokens[at[i + o]].lower()
-            taken = defaultdict(Counter)
-            for a, b in pairs.values():
-                taken[a][b] += 1
-            again = [c for c in taken.values() if c.total() > 1]
+                    if slot[i + o] and off < pairs.get(j + o, (drift + 1, 0))[0]:
+                        pairs[j + o] = off, i + o
+            names, others = set(), defaultdict(Counter)
+            changed = 0
+            for j, (_, i) in pairs.items():
+                a, b = item.tokens[item_at[j]].lower(), t.tokens[at[i]].lower()
+                changed += a != b
+                if is_name[j]:
+                    names.add((a, b))
+                else:
+                    others[a][b] += 1
+            if len({a for a, _ in names}) < len(names) or len({b for _, b in names}) < len(names):
+                continue
+            again = [c for c in others.values() if c.total() > 1]
             if sum(max(c.values()) for c in again) < coverage * sum(c.total() for c in again):
                 continue
-            best = share, len(pairs), sum(a != b for a, b in pairs.values())
+            best = share, len(pairs), changed
         return best
 
 

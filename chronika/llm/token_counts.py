@@ -7,8 +7,8 @@ stops as soon as a new boundary falls on an old one behind the edit: from there
 as before. Only the pre-tokens between are encoded, and the sums on their paths are updated.
 
 Edits of a document are applied in order; offsets are in characters of the text as it then is.
-Offsets beyond the text are cut to it; an edit without effect changes nothing. Null texts count as
-empty, null edits as none. Each row is counted by itself, repeated ids too; other columns are ignored.
+Offsets beyond the text are cut to it; an edit without effect changes nothing, nor does one whose start
+or end is null, which is no edit and is not counted. Null texts count as empty, null edits as none. Each row is counted by itself, repeated ids too; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from chronika.llm.bpe import ByteBpe, default_tokenizer_path, tokenizer
 from chronika.llm.common import ship_package, text_chunks
 
+#: Pre-tokens that a leaf may hold after edits; a fuller one is dealt to leaves of its own, without encoding anything.
 CROWDED = 256
 #: What a masking pass over personal data and secrets replaces, and by what.
 MASKS = [
@@ -110,10 +111,29 @@ class CountedText:
         return chars, tokens
 
     def _build(self, text: str) -> None:
-        #: What each leaf holds: one pre-token, or after edits several or none.
+        #: What each leaf holds: one pre-token, or after edits several or none; the counts of each of several.
         self.slots: list[str | list[str]] = self._pieces(text) or [""]
+        self.several: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.tree = SumTree(*self._counts(self.slots))
 
+    def _spread(self) -> None:
+        """One leaf for each pre-token again, from the counts at hand."""
+        n = len(self.slots)
+        first = self.tree.leaves
+        single = [sums[first : first + n] for sums in (self.tree.chars, self.tree.tokens)]
+        counts, at = ([], []), 0
+        slots: list[str | list[str]] = []
+        for slot in sorted(self.several):
+            for c, whole, parts in zip(counts, single, self.several[slot]):
+                c += [whole[at:slot], parts]
+            slots += [*self.slots[at:slot], *self.slots[slot]]
+            at = slot + 1
+        chars, tokens = (np.concatenate([*c, whole[at:]]) for c, whole in zip(counts, single))
+        slots += self.slots[at:]
+        held = [i for i, s in enumerate(slots) if s]
+        self.slots, self.several = [slots[i] for i in held] or [""], {}
+        self.tree = SumTree(chars[held], tokens[held])
+
     @property
     def n_tokens(self) -> int:
         return int(self.tree.tokens[1])
@@ -168,12 +188,13 @@ class CountedText:
         for slot in range(first + 1, last):
             if self.slots[slot]:
                 self.slots[slot] = ""
+                self.several.pop(slot, None)
                 self.tree.put(slot, 0, 0)
         chars, tokens = self._counts(pieces)
-        self.slots[first] = pieces
+        self.slots[first], self.several[first] = pieces, (chars, tokens)
         self.tree.put(first, int(chars.sum()), int(tokens.sum()))
         if len(pieces) > CROWDED:
-            self._build(self.text)
+            self._spread()
 
 
 def edited_counts(docs: DataFrame, find_edits: Callable[[str], list[Edit]] = mask_edits, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str | None = None) -> DataFrame:
@@ -193,7 +214,7 @@ def edited_counts(docs: DataFrame, find_edits: Callable[[str], list[Edit]] = mas
             for i, t in enumerate(texts):
                 counted = CountedText(t or "", bpe)
                 n, chars, encoded = counted.n_tokens, counted.n_chars, counted.encoded
-                edits = [(e["start"], e["end"], e["text"] or "") for e in given[i] or [] if e] if edits_col else find_edits(t or "")
+                edits = [(e["start"], e["end"], e["text"] or "") for e in given[i] or [] if e and e["start"] is not None and e["end"] is not None] if edits_col else find_edits(t or "")
                 for e in edits:
                     counted.replace(*e)
                 rows.append((n, len(edits), counted.n_tokens, chars, counted.encoded - encoded))

@@ -104,6 +104,59 @@ def test_names_at_sentence_starts(text, found):
     assert [i for i, *_ in decontaminate.Items([(1, STORY)], 5).found(text, 0.8)] == [1] * found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [("12 + 7 = 19", [1]), ("so:\n 12 +7= 19\nend", [1]), ("it is 12 + 7 = 19 here", []), ("42", [2]), ("in 42 days", []), ("12 7 19", []), ("?!", [3]), ("", []), (None, [])],
+)
+def test_items_without_a_template(text, found):
+    """Sums and bare numbers are found as whole lines only."""
+    items = decontaminate.Items([(1, "12 + 7 = 19"), (2, "42"), (3, "? !"), (4, " ")], 5)
+    assert [i for i, *_ in items.found(text, 0.8)] == found
+
+
+def test_slots_go_one_to_one():
+    items = decontaminate.Items([(1, "In this tale Anna meets Ben before Anna and Ben walk home with Carl to count 5 stones and 5 shells")], 5)
+    tale = "In this tale {} meets {} before {} and {} walk home with {} to count {} stones and {} shells"
+    for names, want in ((("Dora", "Emil", "Dora", "Emil", "Fred", 7, 7), [1]), (("Dora", "Emil", "Dora", "Fred", "Fred", 7, 7), []), (("Dora", "Dora", "Dora", "Dora", "Fred", 7, 7), []), (("Dora", "Emil", "Dora", "Emil", "Emil", 7, 7), [])):
+        assert [i for i, *_ in items.found(tale.format(*names), 0.8)] == want
+
+
+def slow_found(item, text, n=5, coverage=0.8):
+    """Whether item's plain template stands in the text: for each offset, the share of its windows that agree there."""
+    units = set(decontaminate.UNITS)
+
+    def template(x):
+        out = []
+        for w in decontaminate.TOKEN.findall(x.lower()):
+            if w not in ".!?:\n":
+                out.append("<num>" if w[0].isdigit() else "<unit>" if w in units and out and out[-1] == "<num>" else w)
+        return out
+
+    a, b = template(item), template(text)
+    says = lambda w: sum(x not in ("<num>", "<unit>") for x in w) >= 2
+    mine = [j for j in range(len(a) - n + 1) if says(a[j : j + n])]
+    return bool(mine) and any(sum(b[j + o : j + o + n] == a[j : j + n] for j in mine if j + o >= 0) >= coverage * len(mine) for o in range(-len(a), len(b)))
+
+
+def test_plain_templates_equal_brute_force():
+    """Lower-case texts without repeated numbers, so that names and slots decide nothing."""
+    rng = random.Random(6)
+    words = "a man was seen at the old mill by two of his men who told it to all in town that night".split()
+    for _ in range(150):
+        item = [rng.choice(words) if rng.random() < 0.85 else str(rng.randrange(100, 10**6)) for _ in range(rng.randrange(8, 30))]
+        text = list(item)
+        for k in range(len(text)):
+            if rng.random() < rng.choice([0, 0.02, 0.05]):
+                text[k] = rng.choice(words)
+            elif text[k][0].isdigit():
+                text[k] = str(rng.randrange(100, 10**6))
+        text = [*rng.choices(words, k=rng.randrange(9)), *text, *rng.choices(words, k=rng.randrange(9))]
+        item, text = " ".join(item), " ".join(text)
+        assert bool(decontaminate.Items([(1, item)], 5).found(text, 0.8)) >= slow_found(item, text)
+        other = " ".join(rng.choices(words, k=40))
+        assert slow_found(item, other) == bool(decontaminate.Items([(1, item)], 5).found(other, 0.8)) == False  # noqa: E712
+
+
 def test_planted_passages_and_blocks(spark):
     docs, bench = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "benchmark"))
     texts = {r.item_id: r.text for r in bench.collect()}
@@ -140,6 +193,24 @@ def test_counts_follow_edits():
             assert counted.n_tokens == len(tokenizer.encode(text))
 
 
+def test_crowded_leaves_are_dealt_out_without_encoding():
+    tokenizer = bpe.ByteBpe(bpe.default_tokenizer_path())
+    counted = token_counts.CountedText("one two three four five six seven " * 300, tokenizer)
+    before, put = counted.encoded, "new words here " * 200
+    counted.replace(200, 205, put)
+    assert counted.encoded - before < len(put) + 400 and all(isinstance(x, str) for x in counted.slots)
+    for start in (100, 1500, 3000, 0):
+        counted.replace(start, start + 3, "<x>")
+    assert counted.n_tokens == len(tokenizer.encode(counted.text)) and counted.n_chars == len(counted.text)
+
+
+def test_null_offsets_are_no_edits(spark):
+    rows = [(1, "some words", [(0, None, "x"), (None, 2, "y"), None, (0, 4, None), (0, 0, "few")])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, edits array<struct<start:int,end:int,text:string>>")
+    got = token_counts.edited_counts(docs, edits_col="edits").first()
+    assert (got.n_edits, got.n_tokens_after) == (2, len(bpe.ByteBpe(bpe.default_tokenizer_path()).encode("few words")))
+
+
 def test_edits_touch_little_of_a_long_text():
     tokenizer = bpe.ByteBpe(bpe.default_tokenizer_path())
     counted = token_counts.CountedText("some words of a text " * 5000, tokenizer)
