@@ -342,3 +342,56 @@ def test_layout_of_broken_markup(spark):
     frame = spark.createDataFrame([(1, None, "x"), (1, "<p>a", "y"), (None, "<p>b", None)], "page_id long, html string, id string")
     assert sorted(r.text for r in html_text.extract(frame).collect()) == ["", "a", "b"]
     assert html_text.extract(frame.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<div style='display:none;display:block'>a</div>", "a"),
+        ("<div style='display:none !important;display:block'>a</div>b", "b"),
+        ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c<i style='visibility:inherit'>d</i></div>e", "b\ne"),
+        ("<p style='background-image:url(display:none)'>a</p>", "a"),
+        ("<details><summary>s</summary>a<p>b</p></details><details open>c</details>", "s\nc"),
+        ("x<textarea>a  b &amp; <c></textarea>y", "x\n\na  b & <c>\n\ny"),
+        ("<select><option>a<option>b</select>", "a\nb"),
+        ("<math><mi>x</mi><mo>=</mo><mn>1</mn></math> <svg><title>t</title><text>s</text></svg>", "x=1 s"),
+        ("<div>" * 300 + "<p>a<div hidden>b<b>c</b></div>d<p style='visibility:hidden'>e</p>" + "</div>" * 300 + "f", "a\nd\nf"),
+        ("<div hidden>" + "<div>" * 300 + "a" + "</div>" * 301 + "b", "b"),
+        ("<table><tr><td colspan=900>a<td>b<tr><td>c<td colspan=899>d<td>e</table>", "a     | b\nc | d | e"),
+    ],
+)
+def test_visibility(page, text):
+    assert html_text.visible_text(page) == text
+
+
+def some_html(rng, depth, shown=True, gone=False):
+    """A well-formed random page and its visible words, in order."""
+    page, words = [], []
+    for _ in range(rng.randrange(1, 5)):
+        if depth == 0 or rng.random() < 0.4:
+            word = f"w{rng.randrange(10**9)}"
+            page.append(f" {word} ")
+            words += [word] * (shown and not gone)
+            continue
+        tag = rng.choice(["div", "span", "section", "b", "em", "ul", "template", "details", "article"])
+        style, now, lost = rng.choice([("", shown, False), ("", shown, False), (" hidden", shown, True), (" style='display: none'", shown, True), (" style='visibility:hidden'", False, False), (" style='color:red;visibility:visible'", True, False)])
+        lost = gone or lost or tag in ("template", "details")
+        inside, more = some_html(rng, depth - 1, now, lost)
+        if tag == "ul":
+            inside = f"<li>{inside}</li>"
+        page.append(f"<{tag}{style}>{inside}</{tag}>")
+        words += more
+    return "".join(page), words
+
+
+def test_visible_words_once_and_in_order():
+    rng = random.Random(12)
+    for k in range(300):
+        page, words = some_html(rng, rng.choice([2, 4, 6]))
+        page = "<div>" * (k % 3 * 197) + page  # the deepest ones go beyond MAX_DEPTH
+        assert [w for w in html_text.visible_text(page).split() if w != "-"] == words
+
+
+def test_many_open_tags_and_wide_cells_stay_cheap():
+    assert html_text.visible_text("<font>" * 50_000 + "a</p>b" + "<p>c" * 1000).split()[:2] == ["ab", "c"]
+    assert html_text.visible_text("<table>" + "<tr><td colspan=1000 rowspan=9>x<td>y" * 2000).count("y") == 2000
