@@ -132,7 +132,7 @@ def ring_centroid(ring: Column) -> Column:
 
 
 def rings_contain(lat: np.ndarray, lng: np.ndarray, rings: Sequence[np.ndarray]) -> np.ndarray:
-    """Even-odd ray casting of points against rings of (lng, lat), each with a bounding-box test first."""
+    """Even-odd ray casting of points against rings of (lng, lat), each with a bounding-box test first. Southern and western edges belong to a ring."""
     inside = np.zeros(len(lat), bool)
     for ring in rings:
         x, y = ring[:, 0], ring[:, 1]

@@ -56,6 +56,23 @@ def near_duplicates(events: DataFrame, km: float = 2.0, alike: float = 0.8, kept
     return found if kept_apart is None else found.join(kept_apart.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
 
 
+def similar_sets(rows: DataFrame, key: str, block: str, tokens: str, alike: float) -> DataFrame:
+    """(a, b) of rows of one block whose token sets have a Jaccard similarity over `alike`; a < b.
+
+    Two such sets share one of their rarest tokens: of n tokens in order of rarity the first n - ceil(alike * n) + 1. Only
+    these are join keys, so a token that most rows hold brings no rows together.
+    """
+    base = rows.select(F.col(key).alias("k"), F.col(block).alias("g"), F.array_distinct(tokens).alias("w")).filter(F.size("w") > 0)
+    each = base.select("k", "g", F.explode("w").alias("t"))
+    rare = each.join(each.groupBy("t").agg(F.count("*").alias("n")), "t").groupBy("k", "g").agg(F.array_sort(F.collect_list(F.struct("n", "t"))).alias("s"))  # as many as one row has tokens
+    size = F.size("w")
+    front = rare.select("k", "g", F.transform("s", lambda x: x["t"]).alias("w")).select("k", "g", "w", F.explode(F.slice("w", F.lit(1), (size - F.ceil(size * alike) + 1).cast("int"))).alias("t"))
+    other = front.select(F.col("k").alias("b"), "g", F.col("w").alias("v"), "t")
+    longest = F.greatest(F.size("w"), F.size("v"))
+    pairs = front.withColumnRenamed("k", "a").join(other, ["g", "t"]).filter((F.col("a") < F.col("b")) & (F.least(F.size("w"), F.size("v")) >= longest * alike))
+    return pairs.filter(text.jaccard(F.col("w"), F.col("v")) > alike).select("a", "b").distinct()
+
+
 def twins(events: DataFrame, canonical: DataFrame, least: float = 0.78) -> DataFrame:
     """(canonical, anchor, twin, similarity): rows whose titles lead to one article, which is the stored title of one of them only.
 
@@ -69,16 +86,20 @@ def twins(events: DataFrame, canonical: DataFrame, least: float = 0.78) -> DataF
     return found.filter((F.col("similarity") >= least) & ~text.ordinal_mismatch(F.col("anchor_name"), F.col("twin_name"))).select("canonical", "anchor", "twin", "similarity")
 
 
+def alias_table(aliases: DataFrame) -> DataFrame:
+    """(_low, _of): each alias in lower case and the name that it stands for, of several the first by alphabet."""
+    return aliases.groupBy(F.lower("alias").alias("_low")).agg(F.min("name").alias("_of"))
+
+
 def lookup(rows: DataFrame, registry: DataFrame, aliases: DataFrame, key: str) -> DataFrame:
     """Rows with the registry entry of their name, or of the name that it is an alias of. aliases: alias, name."""
-    named = rows.join(aliases.select(F.lower("alias").alias("_low"), F.col("name").alias("_of")).dropDuplicates(["_low"]), F.lower(key) == F.col("_low"), "left")
+    named = rows.join(alias_table(aliases), F.lower(key) == F.col("_low"), "left")
     return named.withColumn("canonical", F.coalesce("_of", key)).drop("_low", "_of").join(registry.withColumnRenamed("name", "canonical"), "canonical", "left")
 
 
 def rename_aliases(rows: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
     """A column's aliases, whatever their ASCII case, replaced by the names that they stand for."""
-    table = aliases.select(F.lower("alias").alias("_low"), F.col("name").alias("_of")).dropDuplicates(["_low"])
-    return rows.join(table, F.lower(column) == F.col("_low"), "left").withColumn(column, F.coalesce("_of", column)).drop("_low", "_of")
+    return rows.join(alias_table(aliases), F.lower(column) == F.col("_low"), "left").withColumn(column, F.coalesce("_of", column)).drop("_low", "_of")
 
 
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:
@@ -87,10 +108,10 @@ def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key:
 
 
 def follow(links: DataFrame, starts: DataFrame, hops: int = 5) -> DataFrame:
-    """(start, end): where a chain of links (source, target) leads within some hops."""
+    """(start, end): where a chain of links (source, target) leads within some hops; of several targets of a source the first by alphabet."""
     at = starts.select(F.col("start"), F.col("start").alias("end"))
     for _ in range(hops):
-        step = links.select(F.col("source").alias("end"), F.col("target").alias("_to")).dropDuplicates(["end"])
+        step = links.groupBy(F.col("source").alias("end")).agg(F.min("target").alias("_to"))
         at = at.join(step, "end", "left").select("start", F.coalesce("_to", "end").alias("end"))
     return at
 

@@ -72,10 +72,15 @@ def merge(catalog: Catalog, pairs: DataFrame, reason: str) -> Catalog:
     stays = lambda df: df.join(gone.select(F.col("id").alias("battle_id")), "battle_id", "left_anti").select(df.columns)
     return catalog.with_(
         events=catalog.events.join(gone, "id", "left_anti"), sides=stays(catalog.sides).unionByName(moved), references=stays(catalog.references),
-        aliases=own.select(catalog.aliases.columns).unionByName(added), removed=catalog.removed.unionByName(removed).dropDuplicates(["qid"]),
+        aliases=own.select(catalog.aliases.columns).unionByName(added), removed=removed_once(catalog.removed.unionByName(removed)),
     )
 
 
+def removed_once(rows: DataFrame) -> DataFrame:
+    """One entry an id; of several the first by reason and keeper."""
+    return rows.groupBy("qid").agg(F.min(F.struct("reason", "kept_id")).alias("_r")).select("qid", "_r.reason", "_r.kept_id")
+
+
 def twins_to_merge(pairs: DataFrame, allowed: DataFrame, most: int = MOST_TWINS) -> DataFrame:
     """(drop, keep): allowed pairs, then twins, each row dropped once and no keeper dropped; none at all beyond `most` twins."""
     twins = pairs.select(F.col("twin").alias("drop"), F.col("anchor").alias("keep"))
@@ -172,7 +177,7 @@ def drop_non_battles(catalog: Catalog, banned: str, military: str) -> Catalog:
     events = catalog.events
     off = (F.col("source") == "wikidata") & (F.col("verified") == 0) & text.non_battle(F.col("wikidata_instance_of"), banned, military)
     removed = events.filter(off & (F.col("source_id") != "")).select(F.col("source_id").alias("qid"), F.lit("non-battle").alias("reason"), F.lit("").alias("kept_id"))
-    return catalog.with_(events=events.filter(~off), removed=catalog.removed.unionByName(removed).dropDuplicates(["qid"])).without_orphans()
+    return catalog.with_(events=events.filter(~off), removed=removed_once(catalog.removed.unionByName(removed))).without_orphans()
 
 
 def override_points(events: DataFrame, overrides: DataFrame) -> DataFrame:

@@ -21,10 +21,28 @@ def sanitize(query: str) -> list[str]:
     return kept.split()
 
 
+def words(blob: Column) -> Column:
+    """The folded tokens of a text, in order."""
+    return F.filter(F.split(text.fold(blob), r"[^\p{L}\p{N}']+"), lambda w: w != "")
+
+
 def tokens(rows: DataFrame, id_col: str, blob: Column) -> DataFrame:
-    """The inverted index (token, id, tf), folded; write it sorted by token to let prefixes skip row groups."""
-    words = F.filter(F.split(text.fold(blob), r"[^\p{L}\p{N}']+"), lambda w: w != "")
-    return rows.select(F.col(id_col).alias("id"), F.explode(words).alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
+    """The inverted index (token, id, tf), to be stored sorted by token, so that prefixes skip row groups; a single search over texts needs none."""
+    return rows.select(F.col(id_col).alias("id"), F.explode(words(blob)).alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
+
+
+def term_counts(rows: DataFrame, id_col: str, blob: Column, terms: Sequence[str]) -> DataFrame:
+    """(id, length, tf0, tf1, ...) of each text: its tokens, and how many of them each prefix term begins. One scan, no shuffle."""
+    held = rows.select(F.col(id_col).alias("id"), words(blob).alias("_words"))
+    begun = lambda t: F.size(F.filter("_words", lambda w: F.startswith(w, F.lit(t)))).cast("bigint")
+    return held.select("id", F.size("_words").cast("bigint").alias("length"), *(begun(t).alias(f"tf{i}") for i, t in enumerate(sorted({t.lower() for t in terms}))))
+
+
+def prefix_scan(rows: DataFrame, id_col: str, blob: Column, terms: Sequence[str]) -> DataFrame:
+    """Ids of the texts in which every term begins some token; none without a term."""
+    n = len({t.lower() for t in terms})
+    found = term_counts(rows, id_col, blob, terms)
+    return found.filter(F.lit(n > 0) & (F.least(*(F.col(f"tf{i}") for i in range(n)), F.lit(1), F.lit(1)) > 0)).select("id")
 
 
 def prefix_match(index: DataFrame, terms: Sequence[str]) -> DataFrame:
@@ -48,10 +66,20 @@ def bm25(index: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.7
     One aggregation by document gives its length and the terms' frequencies; the totals over it are one broadcast row.
     """
     folded = sorted({t.lower() for t in terms})
-    if not folded:
-        return index.select("id", F.lit(0.0).alias("score")).limit(0)
     hits = [F.sum(F.when(F.startswith("token", F.lit(t)), F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(folded)]
-    docs = index.groupBy("id").agg(F.sum("tf").alias("length"), *hits)
+    return ranked(index.groupBy("id").agg(F.sum("tf").alias("length"), *hits), len(folded), k1, b)
+
+
+def bm25_scan(rows: DataFrame, id_col: str, blob: Column, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The same over texts without an index: each text counts its own tokens, only the totals go through a shuffle. Texts without a token count for nothing."""
+    return ranked(term_counts(rows, id_col, blob, terms).filter("length > 0"), len({t.lower() for t in terms}), k1, b)
+
+
+def ranked(docs: DataFrame, n: int, k1: float, b: float) -> DataFrame:
+    """(id, score) of rows (id, length, tf0, ...) with n terms that all stand in them; nothing without a term."""
+    if not n:
+        return docs.select("id", F.lit(0.0).alias("score")).limit(0)
+    folded = range(n)
     found = [F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(folded))]
     totals = F.broadcast(docs.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *found))
     score, matching = F.lit(0.0), F.lit(True)

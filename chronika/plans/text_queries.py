@@ -37,21 +37,22 @@ def minority_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.minority_spellings(variants(spark, sf_dir), "p_partkey", "name").select("id", "spelling", "majority")
 
 
-@query("""with t as (select p_partkey, p_size, list_distinct(string_split(lower(p_name), ' ')) as w from part),
+STOCKED = "concat(p_name, ' made for long use', case p_partkey % 3 when 0 then '' when 1 then ' now' else ' today' end)"
+
+
+@query(f"""with t as (select p_partkey, p_size, list_distinct(string_split(lower({STOCKED}), ' ')) as w from part),
 p as (select a.p_partkey as a, b.p_partkey as b, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) as j from t a join t b on a.p_size = b.p_size and a.p_partkey < b.p_partkey)
 select a, b from p where j > 0.8""")
 def near_duplicate_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of one size whose names' tokens agree; equal token sets are the only ones over 0.8 at two words, so they key the join."""
-    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", text.name_tokens(F.col("p_name"), ("",)).alias("w")).withColumn("key", F.array_sort("w"))
-    b = rows.select(F.col("p_partkey").alias("b"), "p_size", "key", F.col("w").alias("w2"))
-    pairs = rows.withColumnRenamed("p_partkey", "a").join(b, ["p_size", "key"]).filter((F.col("a") < F.col("b")) & (text.jaccard(F.col("w"), F.col("w2")) > 0.8))
-    return pairs.select("a", "b")
+    """Parts of one size whose names share over 0.8 of their tokens."""
+    rows = table(spark, sf_dir, "part").select("p_partkey", "p_size", text.name_tokens(F.expr(STOCKED), ("",)).alias("w"))
+    return joins.similar_sets(rows, "p_partkey", "p_size", "w", 0.8)
 
 
-@query("""with d as (select p_partkey, lower(p_name) as n from part), s as (select p_partkey, n, case when contains(n, 'lavendr') then 0.0 else least(levenshtein('lavendr', n) / greatest(7, length(n)),
-list_min(list_transform(string_split(n, ' '), lambda x: levenshtein('lavendr', x) / greatest(7, length(x))))) end as d from d) select p_partkey, round(d, 6) as distance from s where round(d, 6) <= 0.5""")
+@query("""with d as (select p_partkey, lower(p_name) as n from part), s as (select p_partkey, n, case when contains(n, 'widgat') then 0.0 else least(levenshtein('widgat', n) / greatest(6, length(n)),
+list_min(list_transform(string_split(n, ' '), lambda x: levenshtein('widgat', x) / greatest(6, length(x))))) end as d from d) select p_partkey, round(d, 6) as distance from s where round(d, 6) <= 0.5""")
 def fuzzy_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.fuzzy(table(spark, sf_dir, "part"), "lavendr", "p_name", 0.5).select("p_partkey", "distance")
+    return search.fuzzy(table(spark, sf_dir, "part"), "widgat", "p_name", 0.5).select("p_partkey", "distance")
 
 
 TOKENS = r"""with t as (select doc_id as id, unnest(string_split_regex(lower(strip_accents(text)), '[^\p{L}\p{N}'']+')) as token from documents), i as (select token, id, count(*) as tf from t where token <> '' group by all)"""
@@ -61,16 +62,23 @@ def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.tokens(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
 
 
+@query(TOKENS + ", h as (select id from i where starts_with(token, 'th') or starts_with(token, 'a') group by id having bool_or(starts_with(token, 'th')) and bool_or(starts_with(token, 'a'))) select lang, count(*) as n from h join documents on doc_id = id group by 1")
+def indexed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of a stored index joined with their rows, by language."""
+    found = search.prefix_match(index(spark, sf_dir), search.sanitize("Th-a"))
+    return found.join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id").groupBy("lang").agg(F.count("*").alias("n"))
+
+
 @query(TOKENS + " select id from i where starts_with(token, 'tion') or starts_with(token, 'wh') group by id having bool_or(starts_with(token, 'tion')) and bool_or(starts_with(token, 'wh'))")
 def prefix_and_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.prefix_match(index(spark, sf_dir), search.sanitize("Tion/wh!"))
+    return search.prefix_scan(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), search.sanitize("Tion/wh!"))
 
 
 @query(TOKENS + """, l as (select id, sum(tf) as len from i group by 1), g as (select count(*) as docs, avg(len) as mean from l), m as (select id from i group by id having bool_or(starts_with(token, 'tion')) and bool_or(starts_with(token, 'the'))),
 f as (select 'tion' as q, id, sum(tf) as tf from i where starts_with(token, 'tion') group by all union all select 'the', id, sum(tf) from i where starts_with(token, 'the') group by all), d as (select q, count(*) as df from f group by 1)
 select f.id, round(sum(ln((docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) as score from f join d using (q) join l using (id) cross join g where f.id in (select id from m) group by f.id""")
 def bm25_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.bm25(index(spark, sf_dir), ["tion", "the"])
+    found = search.bm25_scan(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), ["tion", "the"])
     return found.select("id", F.round("score", 6).alias("score"))
 
 
@@ -190,9 +198,10 @@ def validate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("""select kind, severity, key, n from (select 'shared title' as kind, 'error' as severity, p_brand as key, count(*) as n from part group by all having count(*) > 1 union all select 'shared name', 'warning', lower(trim(p_name)), count(*) from part group by all having count(*) > 1)""")
+@query("""select kind, severity, key, n from (select 'shared title' as kind, 'error' as severity, p_brand as key, count(*) as n from part group by all having count(*) > 1 union all select 'shared name', 'warning', lower(trim(p_name)), count(*) from part group by all having count(*) > 1
+union all select 'war spelling', 'warning', 'war of ' || lower(p_brand), count(distinct p_partkey % 3) from part where p_partkey % 3 < 2 group by p_brand having count(distinct p_partkey % 3) > 1)""")
 def validate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("wikipedia_title"), F.col("p_name").alias("name"), F.lit("").alias("war"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_brand").alias("wikipedia_title"), F.col("p_name").alias("name"), F.expr("case p_partkey % 3 when 0 then concat('The War of ', p_brand) when 1 then concat('War of ', p_brand) else '' end").alias("war"))
     return audit.validate_batch(rows)
 
 
@@ -211,8 +220,9 @@ def victor_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.infer_victor(result).alias("victor"))
 
 
-@query("""select p_partkey, case when p_partkey % 3 = 0 then true when p_partkey % 3 = 1 then false else true end as off from part""")
+@query("""with t as (select p_partkey, case p_partkey % 5 when 0 then '' when 1 then p_type else replace(p_name, ' ', '|') || '|' || p_type end as s from part)
+select p_partkey, s <> '' and (contains(lower(s), 'gear') or contains(lower(s), 'rod') or not regexp_matches(lower(s), 'ring|bolt')) as off from t""")
 def non_battle_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = F.col("p_partkey") % 3
-    labels = F.when(m == 0, "battle|massacre").when(m == 1, "siege|event").otherwise("meeting|event")
-    return table(spark, sf_dir, "part").select("p_partkey", text.non_battle(labels, "massacre", "battle|siege").alias("off"))
+    m = F.col("p_partkey") % 5
+    labels = F.when(m == 0, "").when(m == 1, F.col("p_type")).otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit("|")), F.lit("|"), "p_type"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.non_battle(labels, "gear|rod", "ring|bolt").alias("off"))

@@ -112,10 +112,10 @@ def haversine_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""with p as (select c_custkey, c_nationkey as y, {POINT} from customer) select a.c_custkey as a, b.c_custkey as b from p a join p b on a.y = b.y and a.c_custkey < b.c_custkey
-where 2 * 6371 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) <= 300 and (a.lat <> 0 or a.lng <> 0) and (b.lat <> 0 or b.lng <> 0)""")
+where 2 * 6371 * asin(sqrt(least(1, pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lng - a.lng) / 2), 2)))) <= 300 and (a.c_custkey % 3 = b.c_custkey % 3 or a.c_custkey % 3 > 0 and b.c_custkey % 3 > 0) and (a.lat <> 0 or a.lng <> 0) and (b.lat <> 0 or b.lng <> 0)""")
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers of one nation within 300 km, keyed by grid cells."""
-    rows = points(spark, sf_dir).select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("year"), "lat", "lng", F.lit("name").alias("name"))
+    rows = points(spark, sf_dir).select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("year"), "lat", "lng", F.expr("case c_custkey % 3 when 0 then 'Siege of Quux' when 1 then 'Battle of Old Far Hill' else 'The Old Far Hill' end").alias("name"))
     return joins.near_duplicates(rows, km=300.0, alike=0.8)
 
 
@@ -126,12 +126,11 @@ def nearest_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.nearest(rows, 0.1, -0.2, 10, tie="vec_id").select("vec_id", F.round("distance", 6).alias("distance"))
 
 
-@query(f"""select c_custkey, (lat between 10 and 40 and lng between -20 and 30) or (lat between -30 and -5 and lng between 100 and 150) as inside from (select c_custkey, {POINT} from customer) where (lat not in (10, 40, -30, -5)) and (lng not in (-20, 30, 100, 150))""")
+@query(f"""select c_custkey, (lat >= 10 and lat < 40 and lng >= -20 and lng < 30) or (lat >= -30 and lat < -5 and lng >= 100 and lng < 150) as inside from (select c_custkey, {POINT} from customer)""")
 def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ray casting against two rectangles; points on their edges are left out on both sides."""
+    """Ray casting against two rectangles; points on their southern and western edges lie inside, on the others outside."""
     box = lambda s, n, w, e: [(w, s), (e, s), (e, n), (w, n)]
-    rows = points(spark, sf_dir).filter(~F.col("lat").isin(10.0, 40.0, -30.0, -5.0) & ~F.col("lng").isin(-20.0, 30.0, 100.0, 150.0))
-    return rows.select("c_custkey", geo.within_rings([box(10, 40, -20, 30), box(-30, -5, 100, 150)])(F.col("lat"), F.col("lng")).alias("inside"))
+    return points(spark, sf_dir).select("c_custkey", geo.within_rings([box(10, 40, -20, 30), box(-30, -5, 100, 150)])(F.col("lat"), F.col("lng")).alias("inside"))
 
 
 @query(f"""select c_custkey, case when abs(lng - 20) < 0.05 then 'first' when lat between 0 and 20 and lng between 0 and 40 then 'second' end as box from (select c_custkey, {POINT} from customer)""")
@@ -140,12 +139,12 @@ def first_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("c_custkey", geo.first_box(F.col("lat"), F.col("lng"), boxes).alias("box"))
 
 
-@query("""select arc, i, cast(sum(dx) over w as bigint) as x, cast(sum(dy) over w as bigint) as y from (select l_orderkey as arc, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as int) as i, cast(l_quantity as bigint) - 25 as dx, l_suppkey % 50 - 25 as dy from lineitem) window w as (partition by arc order by i rows unbounded preceding)""")
+@query("""select arc, i, cast(sum(dx) over w as double) * 0.5 - 180 as x, cast(sum(dy) over w as double) * 0.25 + 5 as y from (select l_orderkey as arc, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as int) as i, cast(l_quantity as bigint) - 25 as dx, l_suppkey % 50 - 25 as dy from lineitem) window w as (partition by arc order by i rows unbounded preceding)""")
 def decode_arcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from chronika.sources import catalog
 
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("arc"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")).alias("i"), (F.col("l_quantity").cast("bigint") - 25).alias("dx"), (F.col("l_suppkey") % 50 - 25).alias("dy"))
-    return catalog.decode_arcs(rows, (1.0, 1.0), (0.0, 0.0)).select("arc", "i", F.col("lng").cast("bigint").alias("x"), F.col("lat").cast("bigint").alias("y"))
+    return catalog.decode_arcs(rows, (0.5, 0.25), (-180.0, 5.0)).select("arc", "i", F.col("lng").alias("x"), F.col("lat").alias("y"))
 
 
 @query("select event_type, time_bucket(interval 1 day, ts) as day, count(*) as n from events group by all")
