@@ -81,6 +81,70 @@ def first_box(lat: Column, lng: Column, boxes: Sequence[tuple[str, Box]]) -> Col
     return F.coalesce(*(F.when(in_box(lat, lng, b), F.lit(name)) for name, b in boxes), F.lit(None).cast("string"))
 
 
+#: Fixed: what an era was about in a box (lowest and highest latitude, lowest and highest longitude), the first that holds a point.
+ERA_CONTEXT = {
+    "napoleonic": (
+        ("Napoleonic Wars", (35, 72, -10, 40)),
+        ("Revolutionary America", (20, 60, -130, -50)),
+        ("Latin American Independence", (-56, 25, -90, -30)),
+        ("Late Mughal · East India Company", (5, 40, 60, 100)),
+        ("Qing Dynasty", (18, 55, 100, 145)),
+        ("Edo Period", (30, 46, 128, 146)),
+        ("Ottoman Empire", (12, 42, 24, 65)),
+    ),
+    "industrial": (
+        ("European Industrial Powers", (35, 72, -10, 40)),
+        ("American Expansion · Civil War", (24, 60, -130, -65)),
+        ("British Raj", (5, 40, 60, 100)),
+        ("Late Qing · Meiji", (18, 55, 100, 145)),
+        ("Meiji Restoration", (30, 46, 128, 146)),
+        ("Ottoman Decline", (12, 42, 24, 65)),
+        ("Scramble for Africa", (-35, 35, -20, 55)),
+    ),
+    "early-modern": (
+        ("Wars of Religion · Early Empire", (35, 72, -10, 40)),
+        ("Ming · Qing transition", (18, 55, 100, 145)),
+        ("Sengoku · Tokugawa", (30, 46, 128, 146)),
+        ("Mughal Empire", (5, 40, 60, 100)),
+        ("Ottoman Empire at zenith", (12, 42, 24, 65)),
+    ),
+    "medieval": (
+        ("European Middle Ages", (35, 72, -10, 40)),
+        ("Tang · Song · Yuan · Ming", (18, 55, 100, 145)),
+        ("Heian · Kamakura · Muromachi", (30, 46, 128, 146)),
+        ("Caliphates · Crusader states", (12, 42, 24, 65)),
+        ("Delhi Sultanate · Vijayanagara", (5, 40, 60, 100)),
+    ),
+    "ancient": (
+        ("Mediterranean Antiquity", (35, 50, -10, 40)),
+        ("Near East · Persia", (22, 45, 30, 60)),
+        ("Imperial China", (18, 45, 100, 130)),
+        ("Indian Antiquity", (5, 40, 60, 100)),
+    ),
+    "cold-war": (
+        ("Indochina · Korea", (5, 30, 60, 130)),
+        ("Latin American Cold War", (7, 30, -130, -65)),
+        ("Iron Curtain", (35, 60, -10, 50)),
+        ("Soviet-Afghan War", (28, 42, 60, 95)),
+        ("Arab–Israeli wars", (12, 36, 25, 60)),
+        ("Decolonisation · Proxy wars", (-35, 25, -20, 55)),
+    ),
+    "contemporary": (
+        ("Russia–Ukraine War", (44, 56, 25, 45)),
+        ("War on Terror · Syrian Civil War", (12, 40, 30, 50)),
+        ("Afghanistan · GWOT", (28, 40, 60, 80)),
+        ("Yugoslav Wars", (40, 48, 12, 30)),
+        ("African insurgencies", (-35, 20, -20, 55)),
+        ("South China Sea era", (5, 30, 100, 130)),
+    ),
+}
+
+
+def era_context(era: Column, lat: Column, lng: Column) -> Column:
+    """What an era was about where a point lies; '' for eras and places without an entry."""
+    return F.coalesce(*(F.when(era == name, first_box(lat, lng, boxes)) for name, boxes in ERA_CONTEXT.items()), F.lit(""))
+
+
 def parse_wkt_point(text: Column) -> Column:
     """struct(lat, lng) of Point(lng lat); null for other texts."""
     p = r"^Point\((-?[0-9.]+) (-?[0-9.]+)\)$"
@@ -131,6 +195,25 @@ def ring_centroid(ring: Column) -> Column:
     return F.struct(mean("lat").alias("lat"), mean("lng").alias("lng"))
 
 
+def unwrapped(ring: np.ndarray) -> np.ndarray:
+    """A ring of (lng, lat) without jumps at the date line: neighbours differ by 180 degrees at most, the westernmost
+    point lies in -180..180. A ring that winds around the globe is closed through the pole on its side."""
+    ring = np.asarray(ring, float)
+    if len(ring) < 2:
+        return ring
+    lng, lat = np.unwrap(ring[:, 0], period=360), ring[:, 1]
+    if abs(lng[-1] - lng[0]) > 180:
+        pole = -90.0 if lat[1:].sum() < 0 else 90.0
+        lng, lat = np.append(lng, [lng[-1], lng[0], lng[0]]), np.append(lat, [pole, pole, lat[0]])
+    return np.column_stack([lng - 360 * np.floor((lng.min() + 180) / 360), lat])
+
+
+def stitched(arcs: Sequence[np.ndarray], indices: Sequence[int]) -> np.ndarray:
+    """One ring from decoded arcs (lng, lat) in order: a negative index ~i is arc i backwards, joints stand once."""
+    parts = [arcs[i] if i >= 0 else arcs[~i][::-1] for i in indices]
+    return unwrapped(np.concatenate([parts[0], *(p[1:] for p in parts[1:])]))
+
+
 def rings_contain(lat: np.ndarray, lng: np.ndarray, rings: Sequence[np.ndarray]) -> np.ndarray:
     """Even-odd ray casting of points against rings of (lng, lat), each with a bounding-box test first. Southern and western edges belong to a ring."""
     inside = np.zeros(len(lat), bool)

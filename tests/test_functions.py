@@ -1,8 +1,9 @@
 """Golden pairs of the column functions."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from chronika.functions import dates, geo, numbers, text, wikitext
+from chronika.functions import dates, geo, infobox_dates, numbers, text, wikitext
 
 
 def apply(spark, fn, values, kind="string"):
@@ -180,6 +181,22 @@ def test_geography(spark):
     assert votes[0].c.lat == 50.0 and votes[0].c.votes == 2 and votes[1].c.votes == 1 and votes[2].c is None
 
 
+def test_rings():
+    """The date line, a pole, and arcs put together."""
+    crossing = geo.unwrapped([(170, 10), (-170, 10), (-170, -10), (170, -10)])
+    assert crossing[:, 0].tolist() == [170, 190, 190, 170]
+    around = geo.unwrapped([(-170, -60), (-60, -65), (60, -65), (170, -60), (189, -60)])
+    assert around[-1].tolist() == around[0].tolist() and (around[:, 1] == -90).sum() == 2
+    ring = geo.stitched([np.array([(0, 0), (1, 0)]), np.array([(1, 1), (1, 0)]), np.array([(1, 1), (0, 0)])], [0, ~1, 2])
+    assert ring.tolist() == [[0, 0], [1, 0], [1, 1], [0, 0]]
+    assert geo.rings_contain(np.array([0.0, 0.0, 0.0]), np.array([180.0, 169.0, 191.0]), [crossing]).tolist() == [True, False, False]
+
+
+def test_infobox_dates(spark):
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(["21st April 1526", "5–3 May 1900", "11 July 1914 – October 1915", "1 Foo 1900 or 2 May 1901", "", None, "480 BCE"])], "i int, v string").select("i", infobox_dates.infobox_date(F.col("v")).alias("d")).collect()
+    assert [tuple(r.d) for r in sorted(got)] == [("April 21, 1526", "1526-04-21", 1526, 0, ""), ("May 3, 1900", "1900-05-03", 1900, 0, ""), ("July 11, 1914 – October 1915", "1914-07-11", 1914, 1915, ""), ("May 2, 1901", "1901-05-02", 1901, 0, ""), *[("", "", 0, 0, "unparsed")] * 2, ("", "", 0, 0, "bc-date")]
+
+
 def test_templates_and_prose():
     assert wikitext.template_fields("{{Infobox military conflict|conflict=A|result={{small|B|x}}|place=[[C|D]]}}", "infobox") == {"conflict": "A", "result": "{{small|B|x}}", "place": "[[C|D]]"}
     assert wikitext.side_text("{{plainlist|\n* {{flag|Ruritania}}\n* [[Graustark]]\n* graustark}}<ref>x</ref>") == "Ruritania, Graustark, graustark" or wikitext.side_text("{{flag|Ruritania}}<br>[[Graustark|G]]<br>g") == "Ruritania, G"
