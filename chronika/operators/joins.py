@@ -97,9 +97,10 @@ def lookup(rows: DataFrame, registry: DataFrame, aliases: DataFrame, key: str) -
     return named.withColumn("canonical", F.coalesce("_of", key)).drop("_low", "_of").join(registry.withColumnRenamed("name", "canonical"), "canonical", "left")
 
 
-def rename_aliases(rows: DataFrame, aliases: DataFrame, column: str) -> DataFrame:
-    """A column's aliases, whatever their ASCII case, replaced by the names that they stand for."""
-    return rows.join(alias_table(aliases), F.lower(column) == F.col("_low"), "left").withColumn(column, F.coalesce("_of", column)).drop("_low", "_of")
+def rename_aliases(rows: DataFrame, aliases: DataFrame, column: str, only: Column | None = None) -> DataFrame:
+    """A column's aliases, whatever their ASCII case, replaced by the names that they stand for; with `only` in the rows where it holds."""
+    named = F.coalesce("_of", column)
+    return rows.join(alias_table(aliases), F.lower(column) == F.col("_low"), "left").withColumn(column, named if only is None else F.when(only, named).otherwise(F.col(column))).drop("_low", "_of")
 
 
 def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronika.functions import text
-from chronika.operators import joins, resolve
+from chronika.operators import joins, resolve, sourcing
 from chronika.operators.filters import protected
 from chronika.sources.catalog import Catalog
 
@@ -27,6 +27,7 @@ class Inputs:
     allowed: DataFrame
     banned: str = r"massacre|treaty|protest|election"
     military: str = r"battle|siege|war|campaign|raid|combat|skirmish|naval|military|invasion|offensive"
+    families: tuple = ()  # (pattern of a war's name, its boxes)
     extra: dict = field(default_factory=dict)
 
 
@@ -50,7 +51,7 @@ def passes(given: Inputs) -> list[tuple[str, Pass]]:
     spans = given.wars.select("name", "start", "end")
     return [
         ("clear unsourced wars", on_events(lambda e: resolve.clear_unsourced_wars(e, given.wars))),
-        ("fill wars", on_events(resolve.fill_wars)),
+        ("fill wars", on_events(lambda e: sourcing.fill_wars_within(e, spans, given.families))),
         ("event text", on_events(clean_event_text)),
         ("side text", lambda c: c.with_(sides=clean_side_text(c.sides))),
         ("missing date", on_events(resolve.fill_missing_date)),
@@ -59,9 +60,10 @@ def passes(given: Inputs) -> list[tuple[str, Pass]]:
         ("unsourced years", on_events(resolve.zero_unsourced_years)),
         ("align year", on_events(resolve.align_year)),
         ("era", on_events(resolve.recompute_era)),
+        ("era by war", on_events(sourcing.era_by_war)),
         ("blank sides", lambda c: c.with_(sides=resolve.drop_blank_sides(c.sides))),
         ("war names", on_events(lambda e: resolve.spell_wars(e, given.wars))),
-        ("war aliases", on_events(lambda e: joins.rename_aliases(e, given.aliases, "war"))),
+        ("war aliases", on_events(lambda e: joins.rename_aliases(e, given.aliases, "war", resolve.free(e)))),
         ("non-battles", lambda c: resolve.drop_non_battles(c, given.banned, given.military)),
         ("twins", lambda c: resolve.merge(c, resolve.twins_to_merge(joins.twins(c.events, given.canonical), given.allowed.join(c.events.select(F.col("id").alias("drop")), "drop", "left_semi")), "twin")),
         ("shared titles", lambda c: resolve.merge(c, resolve.shared_title_survivors(c), "shared title")),

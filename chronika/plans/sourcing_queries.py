@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronika.functions import geo, infobox_dates
+from chronika.functions.dates import let
 from chronika.operators import sourcing
 from chronika.plans.catalogue_queries import FREE, SPANS, cte, made
 from chronika.plans.field_queries import forms
 from chronika.plans.registry import query, table
 
 K, D, Y = "o_orderkey", "o_orderdate", "cast(year(o_orderdate) as string)"
-SHOWN = lambda c: F.concat_ws("/", infobox_dates.infobox_date(c)["display"], infobox_dates.infobox_date(c)["start"], infobox_dates.infobox_date(c)["year"].cast("string"), infobox_dates.infobox_date(c)["end_year"].cast("string"), infobox_dates.infobox_date(c)["reason"])
+SHOWN = lambda c: let(infobox_dates.infobox_date(c), lambda d: F.concat_ws("/", d["display"], d["start"], d["year"].cast("string"), d["end_year"].cast("string"), d["reason"]))
 forms("infobox_dates", SHOWN, [
     (f"date_format({D}, 'd MMMM yyyy')", f"strftime({D}, '%B %-d, %Y/%Y-%m-%d/%Y/0/')"), (f"date_format({D}, 'MMMM d, yyyy')", f"strftime({D}, '%B %-d, %Y/%Y-%m-%d/%Y/0/')"), (f"date_format({D}, 'MMM yyyy')", f"strftime({D}, '%B %Y//%Y/0/')"), (f"concat('Winter of ', {Y})", f"strftime({D}, 'Winter %Y//%Y/0/')"),
     (Y, "'//0/0/bare-year'"), (f"concat('c. 3rd–5th ', date_format({D}, 'MMMM yyyy'))", f"strftime({D}, '%B 3–5, %Y/%Y-%m-03/%Y/0/')"), (f"concat(date_format({D}, 'MMMM'), ' 3 to 5, ', {Y})", f"strftime({D}, '%B 3–5, %Y/%Y-%m-03/%Y/0/')"), (f"concat('26 May, 4 June ', {Y})", f"strftime({D}, 'May 26 – June 4, %Y/%Y-05-26/%Y/0/')"),
