@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronika.llm import bpe, decontaminate, html_text, langid, lm_scoring, neardup_embeddings, quality, simhash, suffix_dedup, token_counts
+from chronika.llm import bpe, decontaminate, exact_dedup, html_text, langid, lm_scoring, neardup_embeddings, quality, simhash, suffix_dedup, token_counts
 from chronika.llm.common import flagged, table
 
 
@@ -60,6 +60,11 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = exact_dedup.duplicate_classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,6 +82,7 @@ QUERIES = (
     op8_simhash_near_dedup,
     op9_bpe_round_trip,
     op10_benchmark_decontamination,
+    op13_exact_dedup,
     pipeline,
 )
 
@@ -90,7 +96,9 @@ SQL = {
     "op3_embedding_near_dedup": """with recursive v as (select vec_id, label, cast(embedding as double[]) as e from embeddings where label is not null),
 l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.98),
 r(id, c) as (select vec_id, vec_id from embeddings union select l.b, r.c from r join l on l.a = r.id)
-select vec_id, (select count(*) from l where l.a = vec_id) as n_links, min(c) as component_id, vec_id = min(c) as kept from embeddings join r on id = vec_id group by vec_id"""
+select vec_id, (select count(*) from l where l.a = vec_id) as n_links, min(c) as component_id, vec_id = min(c) as kept from embeddings join r on id = vec_id group by vec_id""",
+    "op13_exact_dedup": """with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents)
+select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size, doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from d""",
 }
 
 
