@@ -57,7 +57,8 @@ def frequent(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """
     groups = max(1, round(partitions(rows.sparkSession) ** 0.5))
     part = rows.select(F.xxhash64("digest").alias("key"), F.pmod(F.spark_partition_id(), F.lit(groups)).alias("group")).groupBy("group").agg(F.expr(f"approx_top_k_accumulate(key, {counters})").alias("summary"))
-    top = part.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {counters})").alias("top"))
+    # By a constant, so that tasks without a summary send none.
+    top = part.groupBy(F.lit("all")).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {counters}), {counters})").alias("top"))
     return top.select(F.explode("top.item").alias("key"))
 
 

@@ -48,6 +48,17 @@ def test_summary_holds_every_frequent_digest(spark):
     assert {bytes(r.digest).hex(): (r.size, r.best.id) for r in winners} == {hashlib.sha256(b"hot").hexdigest(): (1000, 2997), hashlib.sha256(b"warm").hexdigest(): (500, 2995)}
 
 
+def test_more_partitions_than_rows(spark):
+    rows = [(i, "ab"[i % 2]) for i in range(9)]
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert told(exact_dedup.duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(30))) == brute(rows)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_odd_rows(spark):
     rows = [(r.doc_id, r.text) for r in odd(spark).collect()]
     assert told(exact_dedup.duplicate_classes(odd(spark))) == brute(rows)
