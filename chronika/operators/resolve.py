@@ -189,28 +189,6 @@ def drop_blank_sides(sides: DataFrame) -> DataFrame:
     return sides.filter((F.trim("name") != "") | (F.trim("commander") != ""))
 
 
-def refresh_plan(events: DataFrame, fetched: DataFrame, removed: DataFrame, most: int = 2000) -> DataFrame:
-    """(action, qid, ...) of a refresh: insert, update or why a fetched row is skipped; updates beyond `most` stop the run.
-
-    fetched: ordinal, qid, name, title, year. Of fetched rows that claim one title or id, the first by ordinal has it.
-    """
-    w = lambda c: Window.partitionBy(c).orderBy("ordinal")
-    ids = events.filter("source_id != ''").select(F.col("source_id").alias("qid"), F.col("year").alias("_year"), F.lit(True).alias("_known"))
-    rows = fetched.withColumn("_slug", text.slug(F.col("name"))).join(ids, "qid", "left")
-    rows = rows.join(removed.select("qid").distinct().withColumn("_removed", F.lit(True)), "qid", "left")
-    rows = rows.join(events.filter("wikipedia_title != ''").select(F.col("wikipedia_title").alias("title")).distinct().withColumn("_owned", F.lit(True)), "title", "left")
-    rows = rows.join(events.select(F.col("id").alias("_slug")).withColumn("_taken", F.lit(True)), "_slug", "left")
-    first_title = (F.col("title") == "") | (F.row_number().over(w("title")) == 1)
-    rows = rows.withColumn("_first", first_title & (F.row_number().over(w("_slug")) == 1) & (F.row_number().over(w("qid")) == 1))
-    action = (
-        F.when(F.col("_removed").isNotNull(), "skip: removed").when(F.col("_known") & (F.col("_year") != F.col("year")), "update").when(F.col("_known").isNotNull(), "same")
-        .when(F.trim("name") == "", "skip: label").when(F.col("_owned").isNotNull(), "skip: title").when(F.col("_taken").isNotNull(), "skip: name").when(F.col("year") == 0, "skip: unsourced").when(~F.col("_first"), "skip: claimed").otherwise("insert")
-    )
-    planned = rows.withColumn("action", action)
-    many = planned.filter("action in ('insert', 'update')").limit(most + 1).agg((F.count("*") > most).alias("_many"))
-    return planned.crossJoin(F.broadcast(many)).withColumn("action", F.when(F.col("_many") & F.col("action").isin("insert", "update"), "stopped").otherwise(F.col("action"))).select("action", "qid", "name", "title", "year", F.col("_slug").alias("id"))
-
-
 def fill_if_empty(rows: DataFrame, found: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """Empty fields from another table of the same key and columns."""
     other = found.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns))

@@ -364,20 +364,6 @@ def pass_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.override_points(made(spark, sf_dir, "events"), given).select("id", "lat", "lng")
 
 
-@query(cte("events") + """, f as (select o_orderkey as ordinal, 'Q' || (o_orderkey * 2) as qid, case when o_orderkey % 40 = 0 then ' ' else 'Fresh fight ' || (o_orderkey // 2) end as name, case when o_orderkey % 6 = 0 then 'Title ' || (o_orderkey + 1) else 'New ' || o_orderkey end as title, case when o_orderkey % 9 = 0 then 0 else 1998 end as year from orders where o_orderkey < 900),
-d as (select *, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') as slug from f),
-x as (select d.*, e.year as had, e.id is not null as known, d.title in (select wikipedia_title from e where wikipedia_title <> '') as owned, row_number() over (partition by slug order by ordinal) = 1 as first from d left join e on e.source_id = d.qid and e.source_id <> '')
-select case when qid in ('Q6', 'Q10') then 'skip: removed' when known and had <> year then 'update' when known then 'same' when trim(name) = '' then 'skip: label' when owned then 'skip: title' when slug in (select id from e) then 'skip: name' when year = 0 then 'skip: unsourced' when not first then 'skip: claimed' else 'insert' end as action, qid, slug as id from x""")
-def refresh_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a refresh does with each fetched row."""
-    fetched = table(spark, sf_dir, "orders").filter("o_orderkey < 900").selectExpr(
-        "o_orderkey as ordinal", "concat('Q', o_orderkey * 2) as qid", "case when o_orderkey % 40 = 0 then ' ' else concat('Fresh fight ', o_orderkey div 2) end as name",
-        "case when o_orderkey % 6 = 0 then concat('Title ', o_orderkey + 1) else concat('New ', o_orderkey) end as title", "case when o_orderkey % 9 = 0 then 0 else 1998 end as year",
-    )
-    plan = resolve.refresh_plan(made(spark, sf_dir, "events"), fetched, spark.createDataFrame([("Q6",), ("Q10",)], "qid string"))
-    return plan.select("action", "qid", "id")
-
-
 @query(cte("events") + """, f as (select 'Q' || o_orderkey as qid, 1990 + o_orderkey % 12 as year, 8 + o_orderkey % 4 as precision from orders) select f.qid, e.id, f.year, e.year as recorded from f join e on e.source_id = f.qid where precision >= 9 and f.year <> e.year""")
 def source_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recorded years that differ from the source's live ones."""

@@ -139,14 +139,6 @@ def test_merges_carry_children(spark):
     assert resolve.twins_to_merge(pairs, spark.createDataFrame([("x", "y")], "drop string, keep string")).collect() == [("x", "y")]
 
 
-def test_refresh(spark):
-    have = events(spark, {})
-    fetched = spark.createDataFrame([(0, "Q1", "Battle of Alpha", "Battle of Alpha", 1864), (1, "Q7", "New one", "New", 1700), (2, "Q8", "New one", "Other", 1700), (3, "Q9", "Gone", "Gone", 1700), (4, "Q10", "", "E", 1), (5, "Q11", "Year", "Y", 0)], "ordinal int, qid string, name string, title string, year int")
-    removed = spark.createDataFrame([("Q9", "r", "")], cat.REMOVED)
-    assert {r.qid: r.action for r in resolve.refresh_plan(have, fetched, removed).collect()} == {"Q1": "update", "Q7": "insert", "Q8": "skip: claimed", "Q9": "skip: removed", "Q10": "skip: label", "Q11": "skip: unsourced"}
-    assert {r.action for r in resolve.refresh_plan(have, fetched, removed, most=1).filter("qid in ('Q1', 'Q7')").collect()} == {"stopped"}
-
-
 def test_near_duplicates_equal_all_pairs(spark):
     import random
 
