@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronika.llm import bpe, decontaminate, exact_dedup, html_text, langid, lm_scoring, merkle, neardup_embeddings, quality, simhash, suffix_dedup, token_counts
+from chronika.llm import bpe, decontaminate, exact_dedup, html_text, langid, lm_scoring, merkle, neardup_embeddings, quality, simhash, suffix_dedup, token_counts, whitening
 from chronika.llm.common import flagged, table
 
 
@@ -79,6 +79,21 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    explained = [float(v / model.trace) for v in model.values] if model else []
+    each = rows.select("vec_id", "deviation", F.posexplode("white").alias("at", "whitened"))
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        F.lit(model.n if model else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.try_element_at(F.array(*map(F.lit, explained)).cast("array<double>"), F.col("at") + 1).alias("explained"),
+        F.lit(model.identity_error if model else None).cast("double").alias("identity_error"),
+    )
+
+
 def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.duplicate_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -102,6 +117,7 @@ QUERIES = (
     op9_bpe_round_trip,
     op10_benchmark_decontamination,
     op11_merkle_manifest,
+    op12_embedding_whitening,
     op13_exact_dedup,
     pipeline,
 )
