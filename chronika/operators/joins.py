@@ -109,7 +109,10 @@ def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key:
 
 
 def follow(links: DataFrame, starts: DataFrame, hops: int = 5) -> DataFrame:
-    """(start, end): where a chain of links (source, target) leads within some hops; of several targets of a source the first by alphabet."""
+    """(start, end): where a chain of links (source, target) leads within some hops; of several targets of a source the first by alphabet.
+
+    The title in mid-chain stands for chains that are longer; chains.follow goes to the end of any.
+    """
     at = starts.select(F.col("start"), F.col("start").alias("end"))
     for _ in range(hops):
         step = links.groupBy(F.col("source").alias("end")).agg(F.min("target").alias("_to"))
@@ -117,15 +120,6 @@ def follow(links: DataFrame, starts: DataFrame, hops: int = 5) -> DataFrame:
     return at
 
 
-def dated_ancestor(wars: DataFrame, hops: int = 8) -> DataFrame:
-    """(name, dated): the nearest of a war and its parents that has a start year; null without one or within a cycle."""
-    step = wars.select(F.col("name").alias("_at"), F.col("parent").alias("_up"), F.col("start_year").alias("_start"))
-    at = wars.select("name", F.col("name").alias("_at"), F.lit(None).cast("string").alias("dated"))
-    for _ in range(hops):
-        at = at.join(step, "_at", "left").select("name", F.coalesce("dated", F.when(F.col("_start") != 0, F.col("_at"))).alias("dated"), F.when(F.col("_up") != "", F.col("_up")).alias("_at"))
-    return at.select("name", "dated")
-
-
 def pick_winner(rows: DataFrame, group: str, order: list, winner: str = "winner") -> DataFrame:
     """Each group's first row in the order, as a table (group, winner id)."""
     return rows.groupBy(group).agg(F.min(F.struct(*order)).alias("_best")).select(group, F.col(f"_best.{winner}").alias(winner))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronika.operators import filters, joins, search, stats
+from chronika.operators import chains, filters, joins, search, stats
 from chronika.plans.registry import query, table
 from chronika.sources import catalog, sinks
 
@@ -240,9 +240,8 @@ select name, max(case when pos % 7 = 3 then pos end) as dated from r group by 1"
 def dated_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as a binary tree of conflicts, of which every seventh is dated."""
     n = F.col("n_nationkey")
-    wars = table(spark, sf_dir, "nation").select(n.cast("string").alias("name"), F.floor(n / 2).cast("string").alias("parent"), F.when(n % 7 == 3, 1900).otherwise(0).alias("start_year"))
-    found = joins.dated_ancestor(wars)
-    return found.select(F.col("name").cast("int").alias("name"), F.col("dated").cast("int").alias("dated"))
+    wars = table(spark, sf_dir, "nation").select(n.cast("string").alias("name"), F.floor(n / 2).cast("string").alias("parent"), F.when(n % 7 == 3, 1900).otherwise(0).alias("start_year"), F.lit(0).alias("end_year"))
+    return chains.deciding(wars).select(F.col("name").cast("int").alias("name"), F.col("decided").cast("int").alias("dated"))
 
 
 @query("""with l as (select p_partkey as s, p_partkey // 3 as t from part where p_partkey % 3 = 0) select p.p_partkey as start,
