@@ -110,10 +110,19 @@ def set_ranges(events: DataFrame) -> DataFrame:
 
 
 def canonical_dates(events: DataFrame) -> DataFrame:
-    """ISO dates become prose, prose its usual form, and both ends follow."""
-    coarse = (F.col("source") == "wikidata") & (F.col("wikidata_precision") < 11)
-    shown = dates.normalize_display(dates.canonical_iso(F.col("date"), coarse))
-    return set_ranges(events.withColumn("date", F.when(free(events), shown).otherwise(F.col("date"))))
+    """Dates in their usual form; both ends follow a date that was rewritten, if the new one can be read.
+
+    ISO dates of the graph source stand padded for coarser ones.
+    """
+    told = dates.iso_display(F.trim("date"), F.col("source") == "wikidata")
+    rows = events.withColumn("_iso", told).withColumn("_shown", F.coalesce("_iso.display", dates.normalize_display(F.col("date"))))
+    rows = rows.withColumn("_new", (F.col("date") != "") & (F.col("_shown") != F.col("date")))
+    iso_span = F.when(F.col("_iso").isNotNull(), F.struct(F.col("_iso.start").alias("start"), F.col("_iso.end").alias("end")))
+    span = F.when(F.col("_new"), F.coalesce(iso_span, dates.parse_range(F.col("_shown"), F.col("year"))))
+    rows = rows.withColumn("_span", span).withColumn("_read", F.coalesce((F.col("_span.start") != "") & (F.col("_span.end") != ""), F.lit(False)))
+    for c, k in (("date_start", "start"), ("date_end", "end")):
+        rows = rows.withColumn(c, F.when(F.col("_read"), F.col(f"_span.{k}")).otherwise(F.col(c)))
+    return rows.withColumn("date", F.when(F.col("_new"), F.col("_shown")).otherwise(F.col("date"))).select(events.columns)
 
 
 def align_year(events: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronika.functions import dates, geo, numbers, text, wikitext
+from chronika.functions import date_templates, dates, geo, numbers, text, wikitext
 from chronika.operators import filters, search, stats
 from chronika.plans.registry import query, table
 
@@ -92,9 +92,26 @@ forms("counts_told", numbers.humanized_count, [("cast(0 as bigint)", "''"), (f"{
 forms("counts_compact", numbers.compact_count, [(f"{K} % 1000", f"cast({K} % 1000 as varchar)"), (f"({K} % 90 + 10) * 1000", f"({K} % 90 + 10) || 'k'"), ("cast(3400000 as bigint)", "'3.4M'"), ("cast(1500 as bigint)", "'1.5k'")], "orders", K)
 D, Y = "o_orderdate", "cast(year(o_orderdate) as string)"
 forms("dates_normalised", dates.normalize_display, [
-    (f"date_format({D}, 'MMMM d, yyyy')", f"strftime({D}, '%-d %B %Y')"), (f"concat(date_format({D}, 'MMMM'), ' 3-5, ', {Y})", f"'3–5 ' || strftime({D}, '%B %Y')"), (f"concat('3/5 ', date_format({D}, 'MMMM yyyy'))", f"'3–5 ' || strftime({D}, '%B %Y')"), (f"concat({Y}, ' - ', cast(year({D}) + 1 as string))", f"year({D}) || ' – ' || (year({D}) + 1)"), (f"date_format({D}, 'd  MMMM yyyy')", f"strftime({D}, '%-d %B %Y')"),
+    (f"date_format({D}, 'MMMM d, yyyy')", f"strftime({D}, '%-d %B %Y')"), (f"concat(date_format({D}, 'MMMM'), ' 3-5, ', {Y})", f"'3 – 5 ' || strftime({D}, '%B %Y')"), (f"concat('3/5 ', date_format({D}, 'MMMM yyyy'))", f"'3 – 5 ' || strftime({D}, '%B %Y')"), (f"concat({Y}, '-', cast(year({D}) + 1 as string))", f"year({D}) || ' – ' || (year({D}) + 1)"), (f"date_format({D}, 'd  MMMM yyyy,')", f"strftime({D}, '%-d %B %Y')"),
+    (f"date_format({D}, 'yyyy – MM – dd')", f"strftime({D}, '%-d %B %Y')"), (f"concat('1995-01-09 to ', date_format(date_add({D}, 5000), 'yyyy-MM-dd'))", f"'9 January 1995 – ' || strftime({D} + interval 5000 day, '%-d %B %Y')"), (f"concat('First battle: 13–16 May ', {Y}, ' , Second battle: 3 June')", f"'13 – 16 May ' || strftime({D}, '%Y')"),
+    (f"concat('July 24—August 4, ', {Y}, ' ()')", f"'July 24 – 4 August ' || strftime({D}, '%Y')"), (f"concat('July 24 – August 4, ', {Y}, ' ()')", f"'24 July – 4 August ' || strftime({D}, '%Y')"), (f"concat('30 January-1 February ', {Y})", f"'30 January – 1 February ' || strftime({D}, '%Y')"), ("'264-241 BC'", "'264 – 241 BC'"), (f"concat({Y}, '-13-01')", f"year({D}) || ' – 13 – 01'"),
 ], "orders", K)
-forms("iso_dates_told", lambda c: dates.canonical_iso(c, F.col(K) % 2 == 0), [(f"date_format({D}, 'yyyy-MM-dd')", f"case when {K} % 2 = 0 and strftime({D}, '%m-%d') = '01-01' then strftime({D}, '%Y') else strftime({D}, '%-d %B %Y') end"), (f"concat({Y}, '-01-01')", f"case when {K} % 2 = 0 then strftime({D}, '%Y') else strftime({D}, '1 January %Y') end"), (f"concat('in ', {Y})", f"strftime({D}, 'in %Y')"), (f"concat('-', lpad(cast({K} % 900 + 1 as string), 4, '0'), '-03-04')", f"'4 March ' || ({K} % 900 + 1) || ' BC'")], "orders", K)
+forms("iso_dates_told", lambda c: dates.canonical_iso(c, F.col(K) % 2 == 0), [
+    (f"date_format({D}, 'yyyy-MM-dd')", f"case when {K} % 2 = 0 and strftime({D}, '%m-%d') = '01-01' then strftime({D}, '%Y') when {K} % 2 = 0 and strftime({D}, '%d') = '01' then strftime({D}, '%B %Y') else strftime({D}, '%-d %B %Y') end"), (f"concat({Y}, '-01-01')", f"case when {K} % 2 = 0 then strftime({D}, '%Y') else strftime({D}, '1 January %Y') end"),
+    (f"concat({Y}, ' – 05 – 01')", f"case when {K} % 2 = 0 then strftime({D}, 'May %Y') else strftime({D}, '1 May %Y') end"), (f"concat('in ', {Y})", f"strftime({D}, 'in %Y')"), (f"concat({Y}, '-04-13 to ', {Y}, '-04-14')", f"'13 – 14 April ' || year({D})"), (f"concat({Y}, '-05-06 to ', {Y}, '-01-01')", f"year({D}) || '-05-06 to ' || year({D}) || '-01-01'"), ("'0000-01-01'", "'0000-01-01'"),
+], "orders", K)
+T = lambda c: dates.let(date_templates.infobox_prose(c), lambda p: F.concat_ws("/", p["display"], p["start"], p["end"], p["year"].cast("string")))
+MD = f"concat(cast(month({D}) as string), '|', cast(day({D}) as string))"
+DAY = f"strftime({D}, '%-d %B %Y/%Y-%m-%d/%Y-%m-%d/%Y')"
+forms("template_dates", T, [
+    (f"concat('{{{{Start date|', {Y}, '|', {MD}, '|df=y}}}}')", DAY), (f"concat('{{{{end_date and age|', {Y}, '|', cast(month({D}) as string), '}}}}')", f"strftime({D}, '%B %Y/%Y-%m-01/') || last_day({D}) || '/' || year({D})"), (f"concat('{{{{date|', date_format({D}, 'yyyy-M-d'), '}}}}{{{{sfn|A|2001|p=4}}}}')", DAY),
+    (f"concat(date_format({D}, 'd MMMM yyyy'), '{{{{snd}}}}', date_format(date_add({D}, 400), 'd MMMM yyyy'), '{{{{cite web')", f"strftime({D}, '%-d %B %Y') || ' – ' || strftime({D} + interval 400 day, '%-d %B %Y/') || strftime({D}, '%Y-%m-%d/') || strftime({D} + interval 400 day, '%Y-%m-%d/') || year({D})"),
+    (f"concat('{{{{Date range and age in days|month1=1|day1=30|year1=', {Y}, '|month2=5|day2=21|year2=', {Y}, '|df=yes}}}}')", f"'30 January ' || year({D}) || ' – 21 May ' || year({D}) || '/' || year({D}) || '-01-30/' || year({D}) || '-05-21/' || year({D})"),
+    (f"concat('{{{{start and end dates|df=y|', {Y}, '|5|7|', {Y}, '|5|27}}}}')", f"'7 – 27 May ' || year({D}) || '/' || year({D}) || '-05-07/' || year({D}) || '-05-27/' || year({D})"), (f"concat('{{{{OldStyleDate|26–28 August|', {Y}, '|13–15 August}}}}')", f"'26 – 28 August ' || year({D}) || '/' || year({D}) || '-08-26/' || year({D}) || '-08-28/' || year({D})"),
+    (f"concat('{{{{ublist|', chr(10), '{{{{Start date|', {Y}, '|5|13}}}} (first)|{{{{End date|', {Y}, '|10|13}}}} (second)}}}}')", f"'13 May ' || year({D}) || ' – 13 October ' || year({D}) || '/' || year({D}) || '-05-13/' || year({D}) || '-10-13/' || year({D})"), (f"concat('{{{{plainlist|', chr(10), '* 4 June ', {Y}, chr(10), '* 5 June ', {Y}, '}}}}')", f"'4 June ' || year({D}) || ' – 5 June ' || year({D}) || '/' || year({D}) || '-06-04/' || year({D}) || '-06-05/' || year({D})"),
+    (f"concat('{{{{nowrap|{{{{small|4 June ', {Y}, '}}}}}}}} )}}}}')", f"'4 June ' || year({D}) || '/' || year({D}) || '-06-04/' || year({D}) || '-06-04/' || year({D})"), (f"concat({Y}, ' – 3 January ', cast(year({D}) + 3 as string))", f"year({D}) || ' – 3 January ' || (year({D}) + 3) || '/' || year({D}) || '-01-01/' || (year({D}) + 3) || '-01-03/' || year({D})"),
+    (f"concat('24 December ', {Y}, ' <br> ({{{{Age in days|month1=12|year1=1941}}}})')", f"'24 December ' || year({D}) || '/' || year({D}) || '-12-24/' || year({D}) || '-12-24/' || year({D})"), ("'c. 1100 BC'", "'c. 1100 BC/-1100-12-31/-1100-12-31/-1100'"), ("'{{circa}} unknown'", "''"),
+], "orders", K, doc="Dates of infoboxes in templates, evaluated and read.")
 forms("dates_displayed", dates.display_date, [(f"concat({Y}, '-12-31')", f"strftime({D}, '%Y')"), (f"date_format({D}, 'yyyy-MM-dd')", f"case when strftime({D}, '%m-%d') = '12-31' then strftime({D}, '%Y') else strftime({D}, '%Y-%m-%d') end"), ("'-0480-12-31'", "'480 BC'")], "orders", K)
 forms("years_in_titles", lambda c: F.array_join(F.transform(dates.title_years(c), lambda y: y.cast("string")), ","), [(f"concat('Siege of X (', {Y}, ')')", f"strftime({D}, '%Y')"), (f"concat({Y}, ' and ', {Y}, '5')", f"strftime({D}, '%Y')"), ("'No. 20'", "''"), (f"concat('a', {Y}, '–', {Y})", f"strftime({D}, '%Y,%Y')")], "orders", K)
 forms("years_of_history", dates.historical_year, [(f"cast({K} % 300 as int)", f"case when {K} % 300 = 0 then -1 else {K} % 300 end"), (f"cast(-({K} % 300) as int)", f"-({K} % 300) - 1")], "orders", K)

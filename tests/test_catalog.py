@@ -61,7 +61,7 @@ def test_pipeline_and_its_fixed_point(spark, messy):
     rows = {r.id: r for r in once.events.collect()}
     assert set(rows) == {"alpha", "beta", "gamma", "delta", "kept"}
     assert rows["beta"].name == "Siege of Beta" and rows["beta"].war == "Alpha War" and (rows["beta"].lat, rows["beta"].lng) == (1.5, 2.5)
-    assert (rows["beta"].date, rows["beta"].date_start, rows["beta"].date_end) == ("1–3 July 1863", "1863-07-01", "1863-07-03")
+    assert (rows["beta"].date, rows["beta"].date_start, rows["beta"].date_end) == ("1 – 3 July 1863", "1863-07-01", "1863-07-03")
     assert rows["gamma"].war == "Alpha War" and rows["gamma"].date == "3 July 1863"
     assert rows["delta"].year in (1864, 1900) and rows["kept"].name == "[[Raw]]"
     assert {(r.qid, r.reason) for r in once.removed.collect()} == {("Q2", "twin"), ("Q6", "non-battle")}

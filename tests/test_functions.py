@@ -93,7 +93,7 @@ def test_years_and_labels(spark):
     check(spark, lambda c: dates.day_label(c, F.lit(11)), [("1863-07-03", "3 July 1863"), ("-0480-09-20", "20 September 480 BC"), ("x", "")])
     check(spark, lambda c: dates.day_label(c, F.lit(9)), [("1863-07-03", "1863"), ("-0480-12-31", "480 BC")])
     check(spark, lambda c: dates.range_label(F.lit("1863-07-01"), c, F.lit(11)), [("1863-07-03", "1–3 July 1863"), ("1863-07-01", "1 July 1863"), ("1863-08-02", "1 July 1863 – 2 August 1863")])
-    check(spark, dates.normalize_display, [("July 3, 1863", "3 July 1863"), ("July 1-3, 1863", "1–3 July 1863"), ("1-3 July 1863", "1–3 July 1863")])
+    check(spark, dates.normalize_display, [("July 3, 1863", "3 July 1863"), ("July 1-3, 1863", "1 – 3 July 1863"), ("1-3 July 1863", "1 – 3 July 1863")])
     check(spark, dates.display_date, [("1863-12-31", "1863"), ("1863-12-30", "1863-12-30")])
     check(spark, dates.historical_year, [(-53, -54), (0, -1), (5, 5)], "int")
 
