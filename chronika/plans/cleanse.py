@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronika.functions import text
-from chronika.operators import joins, resolve, sourcing
+from chronika.operators import joins, reconcile, resolve, sourcing
 from chronika.operators.filters import protected
 from chronika.sources.catalog import Catalog
+from chronika.sources.staging import written
 
 Pass = Callable[[Catalog], Catalog]
 
@@ -56,6 +57,7 @@ def passes(given: Inputs) -> list[tuple[str, Pass]]:
         ("side text", lambda c: c.with_(sides=clean_side_text(c.sides))),
         ("missing date", on_events(resolve.fill_missing_date)),
         ("canonical date", on_events(resolve.canonical_dates)),
+        ("source dates", on_events(lambda e: reconcile.reconciled(e, given.families))),
         ("war spans", on_events(lambda e: resolve.reconcile_spans(e, spans))),
         ("unsourced years", on_events(resolve.zero_unsourced_years)),
         ("align year", on_events(resolve.align_year)),
@@ -71,15 +73,97 @@ def passes(given: Inputs) -> list[tuple[str, Pass]]:
     ]
 
 
+#: Passes after which the tables are written and reread, so that no plan holds all of them.
+WRITE_AFTER = ("side text", "source dates", "era by war", "war aliases", "non-battles", "twins", "shared titles", "overrides")
+
+
+def kept(catalog: Catalog) -> Catalog:
+    """The tables, written to the shared checkpoint folder."""
+    return catalog.with_(**{t: written(getattr(catalog, t)) for t in Catalog.TABLES})
+
+
 def cleanse(catalog: Catalog, given: Inputs, settle: Callable[[Catalog], Catalog] | None = None) -> Catalog:
-    """All passes in order. settle, if given, is called between them, to write and reread long plans."""
-    for _, step in passes(given):
+    """All passes once, in order. The tables are written between groups of them; with settle, by this function after each pass."""
+    for name, step in passes(given):
         catalog = step(catalog)
         if settle is not None:
             catalog = settle(catalog)
+        elif name in WRITE_AFTER:
+            catalog = kept(catalog)
     return catalog
 
 
+#: What a pass may change of an event; each change of one is an entry of the log.
+TRACED = ("name", "date", "year", "date_start", "date_end", "lat", "lng", "era", "war", "battle_type", "victor", "summary", "significance")
+ENTRY = "struct<pass:string,column:string,was:string,now:string>"
+
+
+def traced(name: str, step: Pass) -> Pass:
+    """The pass, which also notes for each event that stays what it changed of it, in the column _log that rides along."""
+
+    def run(catalog: Catalog) -> Catalog:
+        after = step(catalog.with_(events=catalog.events.withColumn("_was", F.struct(*TRACED))))
+        each = F.array(*(F.struct(F.lit(name).alias("pass"), F.lit(c).alias("column"), F.col(f"_was.{c}").cast("string").alias("was"), F.col(c).cast("string").alias("now")) for c in TRACED))
+        return after.with_(events=after.events.withColumn("_log", F.concat("_log", F.filter(each, lambda x: ~x["was"].eqNullSafe(x["now"])))).drop("_was"))
+
+    return run
+
+
+@dataclass(frozen=True)
+class Settled:
+    """A catalogue that the passes leave as it is; what they changed before, by round; the number of rounds, the last one without a change.
+
+    changes: round, pass, table, id, column, was, now. Rows that come or go have no column; of sides, references, aliases and
+    removed ids the pass is not told.
+    """
+
+    catalog: Catalog
+    changes: DataFrame
+    rounds: int
+
+
+class Unsettled(RuntimeError):
+    """The passes go on changing rows."""
+
+
+def row_changes(before: DataFrame, after: DataFrame, table: str, key: list[str]) -> DataFrame:
+    """(table, id, now) of rows of a table that came, went or changed; rows may repeat."""
+    mark = lambda df, sign: df.groupBy(F.concat_ws("/", *key).alias("id"), F.xxhash64(*df.columns).alias("_h")).agg((F.count("*") * sign).alias("_n"))
+    both = mark(before, -1).unionByName(mark(after, 1)).groupBy("id", "_h").agg(F.sum("_n").alias("_n")).filter("_n != 0")
+    kind = F.when(F.min("_n") > 0, "added").when(F.max("_n") < 0, "removed").otherwise("changed")
+    return both.groupBy("id").agg(kind.alias("now")).select(F.lit(table).alias("table"), "id", "now")
+
+
+KEYS = {"sides": ["battle_id", "side_index"], "references": ["battle_id", "ref_type", "title"], "aliases": ["battle_id", "alias_index"], "removed": ["qid"]}
+
+
+def settled(catalog: Catalog, steps: list[tuple[str, Pass]], most: int = 20) -> Settled:
+    """The passes, in order, again and again until a round changes no row of any table; over `most` rounds raise Unsettled.
+
+    Tables that a pass has changed are written before the next one, and only the counts of its changes come to the driver.
+    """
+    catalog = kept(catalog)
+    columns = catalog.events.columns
+    log = None
+    for number in range(1, most + 1):
+        now = catalog.with_(events=catalog.events.withColumn("_log", F.expr(f"cast(array() as array<{ENTRY}>)")))
+        for name, step in steps:
+            after = traced(name, step)(now)
+            now = after.with_(**{t: written(getattr(after, t)) for t in Catalog.TABLES if getattr(after, t) is not getattr(now, t)})
+        cells = now.events.select("id", F.explode("_log").alias("e")).select("e.pass", F.lit("events").alias("table"), "id", "e.column", "e.was", "e.now")
+        ids = row_changes(catalog.events.select("id"), now.events.select("id"), "events", ["id"])
+        for t, key in KEYS.items():
+            ids = ids.unionByName(row_changes(getattr(catalog, t), getattr(now, t), t, key))
+        text_ = lambda v=None: F.lit(v).cast("string")
+        rows = ids.select(text_().alias("pass"), "table", "id", text_().alias("column"), text_().alias("was"), "now")
+        round_ = written(cells.unionByName(rows).select(F.lit(number).alias("round"), "pass", "table", "id", "column", "was", "now"))
+        catalog = now.with_(events=now.events.select(*columns))
+        log = round_ if log is None else log.unionByName(round_)
+        if round_.isEmpty():
+            return Settled(catalog, log, number)
+    raise Unsettled(f"rows still change after {most} rounds")
+
+
 def changed_rows(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     """(change, n) between two states of a table: added, removed, changed."""
     mark = lambda df, name: df.select(key, F.xxhash64(*sorted(df.columns)).alias(name))
