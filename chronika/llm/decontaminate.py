@@ -3,9 +3,10 @@
 Texts become templates: words in lower case, numbers as <num>, a unit after a number as <unit>,
 and, in a second template, runs of capitalised words within a sentence as <name>. In a third, capitalised
 words that begin a sentence or text are <name> too, so that names may be exchanged there. Windows of
-`n` template words (the whole template if it is shorter) are hash-joined with the windows of the
-benchmark items; windows with fewer than two plain words say nothing and are left out of both
-sides. An item is found in a document if, near one alignment, at least `coverage` of its windows
+`n` template words are hash-joined with the windows of the benchmark items; an item of fewer words is one
+window of its own length, and documents have windows of every length that items have. Windows with fewer than
+two plain words say nothing and are left out of both sides, and so is the third template of an item
+shorter than a window, as its first word then is a word and not a name. An item is found in a document if, near one alignment, at least `coverage` of its windows
 stand there in one of the templates, and the slots agree. Names agree if each name of the item goes
 with one in the document and the other way round, without exception. Numbers and units agree if, of
 those that come again in the item, at least `coverage` go with the value that each mostly goes with, as
@@ -13,9 +14,10 @@ two equal numbers of a question may mean different things and be changed apart.
 whose numbers, names or units were exchanged throughout, and a text is not that shares a phrase's
 shape only.
 
-An item none of whose windows says anything, such as a sum or a bare number, has no template to speak
+An item none of whose windows says anything, such as a sum or a bare number, has no template of words to speak
 of. It is found where its words, numbers and marks, whatever blanks and case, are a whole line or the
-whole text of a document.
+whole text of a document. If it is a sum, that is two numbers and three tokens at least, it is found inside of lines too,
+and as a whole line with other numbers, where each number of the item goes with one of the line.
 
 The benchmark goes to the tasks as a hash table in blocks of at most `block_windows` windows, each
 of which meets all documents; one block is some 100 MB. Documents are read once a block, not shuffled.
@@ -47,6 +49,7 @@ UNITS = """mm cm m km in inch inches ft foot feet yd yard yards mi mile miles mg
 ml cl l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hr hour hours day days week weeks month months
 year years k c f degree degrees percent pct w kw mw v a hz khz mhz ghz b kb mb gb tb n j kj cal kcal pa kpa bar usd eur gbp dollar dollars
 euro euros pound pounds cent cents yen""".split()
+SUM = re.compile(r"\d+(?:[.,]\d+)*|[^\W\d_]+|[^\w\s]")
 TOKEN = re.compile(r"[^\W\d_]+|\d+(?:[.,]\d+)*|[.!?:\n]")
 U64 = np.uint64
 #: Low bits of a token's code: capitalised, unit word, number; a mark has code 0.
@@ -61,6 +64,15 @@ def exact(text: str) -> str:
     return "".join(text.lower().split())
 
 
+def shape(tokens: list[str]) -> tuple[str, ...]:
+    """The tokens of a sum with its numbers as slots."""
+    return tuple("<num>" if t[0].isdigit() else t for t in tokens)
+
+
+def one_to_one(pairs: set[tuple[str, str]]) -> bool:
+    return len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs)
+
+
 class TokenCodes(dict):
     """Code of each token: a hash of its lower-case form, low bits telling its kind; the cache is bounded."""
 
@@ -124,9 +136,9 @@ class Template:
 
 
 def windows(codes: np.ndarray, slot: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window, and whether it holds two plain words (one if it is a single word)."""
-    m = min(n, len(codes))
-    if not m:
+    """Hash of each window of n words, and whether it holds two plain words (one if n is 1)."""
+    m = n
+    if not m or len(codes) < m:
         return np.zeros(0, U64), np.zeros(0, bool)
     count = len(codes) - m + 1
     value = np.full(count, U64(m))
@@ -146,16 +158,31 @@ class Items:
         self.items = [(i, Template(t)) for i, t in rows]
         self.where: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         self.total: Counter = Counter()
+        lengths = {n}
         for k, (_, t) in enumerate(self.items):
             for kind, codes, slot, _ in t.kinds():
-                value, says = windows(codes, slot, n)
+                m = min(n, len(codes))
+                if m < n and (kind == 2 or m < 2):
+                    continue
+                value, says = windows(codes, slot, m)
                 self.total[k, kind] = int(says.sum())
+                lengths |= {m} if says.any() else set()
                 for j in np.flatnonzero(says):
                     self.where[int(value[j])].append((k, kind, int(j)))
         self.exact: dict[str, list[int]] = defaultdict(list)
         for k, (_, text) in enumerate(rows):
             if not any(self.total[k, kind] for kind in range(3)) and (line := exact(text)):
                 self.exact[line].append(k)
+        self.lengths = sorted(lengths)
+        # Sums by their first token, to be found inside of lines, and by their shape, for whole lines with other numbers.
+        self.sums: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
+        self.shapes: dict[tuple[str, ...], list[tuple[int, list[str]]]] = defaultdict(list)
+        for k in sorted({k for ks in self.exact.values() for k in ks}):
+            tokens = SUM.findall(rows[k][1].lower())
+            if len(tokens) >= 3 and sum(t[0].isdigit() for t in tokens) >= 2:
+                self.sums[tokens[0]].append((k, tokens))
+                if not any(t[0].isalpha() for t in tokens):
+                    self.shapes[shape(tokens)].append((k, tokens))
         self.keys = np.array(sorted(self.where), U64)
         bits = max(16, min(26, 4 + len(self.keys).bit_length()))
         self.low = U64((1 << bits) - 1)
@@ -167,16 +194,14 @@ class Items:
         t = Template(text)
         best: dict[int, tuple[float, int, int]] = {}
         for kind, codes, slot, at in t.kinds():
-            value, says = windows(codes, slot, self.n)
-            hit = np.flatnonzero(self.table[value & self.low] & says)
-            if not len(hit):
-                continue
             by_item = defaultdict(list)
-            for i in hit.tolist():
-                for k, kind_, j in self.where.get(int(value[i]), ()):
-                    # The plain template of an item without names within sentences may stand in any of the text's.
-                    if kind_ == kind or kind_ == 0 and (k, 1) not in self.total:
-                        by_item[k, kind_].append((i, j))
+            for m in self.lengths:
+                value, says = windows(codes, slot, m)
+                for i in np.flatnonzero(self.table[value & self.low] & says).tolist():
+                    for k, kind_, j in self.where.get(int(value[i]), ()):
+                        # The plain template of an item without names within sentences may stand in any of the text's.
+                        if kind_ == kind or kind_ == 0 and (k, 1) not in self.total:
+                            by_item[k, kind_].append((i, j))
             for (k, kind_), hits in by_item.items():
                 share, slots, changed = self.aligned(k, kind_, hits, t, at, slot, coverage)
                 if share >= coverage and share > best.get(k, (0,))[0]:
@@ -184,8 +209,26 @@ class Items:
         if self.exact and text:
             for line in {exact(text), *map(exact, text.split("\n"))} & self.exact.keys():
                 best |= dict.fromkeys(self.exact[line], (1.0, 0, 0))
+        if self.sums and text:
+            for k, slots, changed in self.sums_in(text):
+                if changed < best.get(k, (0.0, 0, slots + 1))[2]:
+                    best[k] = 1.0, slots, changed
         return [(self.items[k][0], *v) for k, v in sorted(best.items())]
 
+    def sums_in(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(item, numbers, changed numbers) of each sum in a line, and of each whole line of a sum's shape."""
+        for line in text.lower().split("\n"):
+            tokens = SUM.findall(line)
+            for i, first in enumerate(tokens):
+                for k, wanted in self.sums.get(first, ()):
+                    if tokens[i : i + len(wanted)] == wanted:
+                        yield k, sum(t[0].isdigit() for t in wanted), 0
+            for k, wanted in self.shapes.get(shape(tokens), ()) if self.shapes else ():
+                pairs = {(a, b) for a, b in zip(wanted, tokens) if a[0].isdigit()}
+                if one_to_one(pairs):
+                    slots = [a != b for a, b in zip(wanted, tokens) if a[0].isdigit()]
+                    yield k, len(slots), sum(slots)
+
     def aligned(self, k: int, kind: int, hits: list[tuple[int, int]], t: Template, at: np.ndarray, slot: np.ndarray, coverage: float) -> tuple[float, int, int]:
         """The best alignment: share of windows, and its slots if they agree, else share 0."""
         total = self.total[k, kind]
@@ -206,7 +249,7 @@ class Items:
             pairs: dict[int, tuple[int, int]] = {}  # of each slot of the item the place in the text that is nearest to the alignment
             for i, j in near:
                 off = abs(i - j - main)
-                for o in range(min(self.n, len(item_at) - j)):
+                for o in range(min(self.n, len(item_at) - j)):  # an item shorter than a window is one window
                     if slot[i + o] and off < pairs.get(j + o, (drift + 1, 0))[0]:
                         pairs[j + o] = off, i + o
             names, others = set(), defaultdict(Counter)
@@ -218,7 +261,7 @@ class Items:
                     names.add((a, b))
                 else:
                     others[a][b] += 1
-            if len({a for a, _ in names}) < len(names) or len({b for _, b in names}) < len(names):
+            if not one_to_one(names):
                 continue
             again = [c for c in others.values() if c.total() > 1]
             if sum(max(c.values()) for c in again) < coverage * sum(c.total() for c in again):

@@ -106,14 +106,46 @@ def test_names_at_sentence_starts(text, found):
 
 @pytest.mark.parametrize(
     ("text", "found"),
-    [("12 + 7 = 19", [1]), ("so:\n 12 +7= 19\nend", [1]), ("it is 12 + 7 = 19 here", []), ("42", [2]), ("in 42 days", []), ("12 7 19", []), ("?!", [3]), ("", []), (None, [])],
+    [("12 + 7 = 19", [1]), ("so:\n 12 +7= 19\nend", [1]), ("it is 12 + 7 = 19 here", [1]), ("13 + 7 = 20", [1]), ("it is 13 + 7 = 20 here", []), ("7 + 7 = 20", []), ("12 - 7 = 19", []), ("112 + 7 = 19", [1]), ("at 12 + 7 = 190 here", []), ("42", [2]), ("in 42 days", []), ("12 7 19", []), ("?!", [3]), ("", []), (None, [])],
 )
 def test_items_without_a_template(text, found):
-    """Sums and bare numbers are found as whole lines only."""
+    """Bare numbers are found as whole lines only, sums inside of lines too, and as whole lines with other numbers."""
     items = decontaminate.Items([(1, "12 + 7 = 19"), (2, "42"), (3, "? !"), (4, " ")], 5)
     assert [i for i, *_ in items.found(text, 0.8)] == found
 
 
+SHORT = ["Name the capital.", "Which river is longest?", "Add 5 apples", "solve it", "Paris", "Where is Rome"]
+
+
+@pytest.mark.parametrize("before", ["", "Many words stand here now. ", "Many words stand here now.\n", "and so "])
+@pytest.mark.parametrize("after", ["", "\nAnd more words follow after it.", " and then more words follow"])
+def test_short_items_are_found_wherever_they_stand(before, after):
+    items = decontaminate.Items(list(enumerate(SHORT)), 5)
+    for k, item in enumerate(SHORT):
+        text = before + item + after
+        alone = before in ("", "Many words stand here now.\n") and not after.startswith(" ")
+        assert (k in [i for i, *_ in items.found(text, 0.8)]) == (item != "Paris" or alone), (item, text)
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [("name a capital of it", []), ("Visit the capital today", []), ("please add 9 apples now", [2]), ("Tell us where is Oslo then", [5]), ("resolve it", []), ("which is the longest river", []), ("Parisian life in Paris now", [])],
+)
+def test_short_items_are_not_found_elsewhere(text, want):
+    assert [i for i, *_ in decontaminate.Items(list(enumerate(SHORT)), 5).found(text, 0.8)] == want
+
+
+def test_items_of_all_lengths_equal_brute_force():
+    """Each item stands where its words follow each other, and nowhere else, whatever its length."""
+    rng = random.Random(8)
+    words = "red hill lake stone bird mill road barn well gate".split()
+    for _ in range(60):
+        items = [" ".join(rng.choices(words, k=rng.randrange(2, 9))) for _ in range(6)]
+        text = " ".join([*rng.choices(words, k=rng.randrange(12)), rng.choice(items), *rng.choices(words, k=rng.randrange(12))])
+        got = {i for i, *_ in decontaminate.Items(list(enumerate(items)), 5).found(text, 1.0)}
+        assert got == {i for i, x in enumerate(items) if f" {x} " in f" {text} "}
+
+
 def test_slots_go_one_to_one():
     items = decontaminate.Items([(1, "In this tale Anna meets Ben before Anna and Ben walk home with Carl to count 5 stones and 5 shells")], 5)
     tale = "In this tale {} meets {} before {} and {} walk home with {} to count {} stones and {} shells"
