@@ -176,20 +176,35 @@ class Open:
             blocks = blocks or open_ in BLOCK
 
 
+def next_markup(page: str, at: int, last: int) -> tuple[re.Match | None, int, int]:
+    """The next tag, comment or declaration, where the text before it ends, and where to go on.
+
+    Only a comment may end without a '>', so nothing else is looked for behind the last one: each search ends at a '>'.
+    A comment that is not closed hides all that follows.
+    """
+    m = MARKUP.search(page, at, last) if at < last else None
+    if m and m[0].startswith("<!--") and not (m[0].endswith("-->") and len(m[0]) >= 7):
+        return m, m.start(), len(page)
+    if m:
+        return m, m.start(), m.end()
+    rest = page.find("<!--", max(at, last))
+    return None, rest if rest >= 0 else len(page), len(page)
+
+
 def build(page: str) -> Node:
     """The tree of a page, without invisible text."""
     open_ = Open()
-    at = 0
+    at, last = 0, page.rfind(">") + 1
     while True:
-        m = MARKUP.search(page, at)
-        text = page[at : m.start() if m else len(page)]
+        m, until, after = next_markup(page, at, last)
+        text = page[at:until]
         if text:
             if open_.top.tag == "head" and not text.isspace():
                 open_.cut(len(open_.nodes) - 1)  # text ends a head that was not closed
             open_.text(text)
         if not m:
             return open_.nodes[0]
-        at = m.end()
+        at = after
         if not m[2]:
             continue
         tag = m[2].lower()
