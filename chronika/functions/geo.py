@@ -196,16 +196,27 @@ def ring_centroid(ring: Column) -> Column:
 
 
 def unwrapped(ring: np.ndarray) -> np.ndarray:
-    """A ring of (lng, lat) without jumps at the date line: neighbours differ by 180 degrees at most, the westernmost
-    point lies in -180..180. A ring that winds around the globe is closed through the pole on its side."""
+    """A ring of (lng, lat) without jumps at the date line: the path of its edges, each the shorter way round, with the
+    westernmost point in -180..180.
+
+    The edges of a ring that goes round the globe turn by 360 degrees in all. Such a ring holds the pole on the side of its
+    mean latitude along its length, and a cut along the meridian of its ends leads there and back.
+    """
     ring = np.asarray(ring, float)
     if len(ring) < 2:
         return ring
-    lng, lat = np.unwrap(ring[:, 0], period=360), ring[:, 1]
-    if abs(lng[-1] - lng[0]) > 180:
-        pole = -90.0 if lat[1:].sum() < 0 else 90.0
-        lng, lat = np.append(lng, [lng[-1], lng[0], lng[0]]), np.append(lat, [pole, pole, lat[0]])
-    return np.column_stack([lng - 360 * np.floor((lng.min() + 180) / 360), lat])
+    lng, lat = ring.T
+    steps = np.diff(lng)
+    steps = steps - 360 * np.rint(steps / 360)
+    path = np.concatenate([lng[:1], lng[0] + np.cumsum(steps)])
+    home = lng[0] - path[-1]
+    winding = (steps.sum() + home - 360 * np.rint(home / 360)) / 360
+    if abs(winding) > 0.5:
+        length = np.hypot(steps, np.diff(lat))
+        pole = np.copysign(90.0, (length * (lat[1:] + lat[:-1])).sum())
+        path, lat = np.concatenate([path, path[[-1, 0, 0]]]), np.concatenate([lat, [pole, pole, lat[0]]])
+    west = path.min()
+    return np.column_stack([path + (np.mod(west + 180, 360) - 180 - west), lat])
 
 
 def stitched(arcs: Sequence[np.ndarray], indices: Sequence[int]) -> np.ndarray:

@@ -90,13 +90,16 @@ def side_text(value: str | None, most: int = 300) -> str:
     return "" if re.search(r"\{\{|\}\}|\[\[|\]\]", out) else out[:most].rstrip()
 
 
+LOOK_BACK = 32  # characters before a sentence's end, more than an abbreviation has
+
+
 def capitalize_sentences(text: str | None) -> str:
     """Upper-case letters at sentence starts, not after abbreviations, initials, ellipses or in decimals."""
 
     def fix(m: re.Match) -> str:
-        word = re.search(r"([\w.]+)$", m.string[: m.start()])
+        word = re.search(r"([\w.]+)$", m.string[max(0, m.start() - LOOK_BACK) : m.start()])
         before = word[1].lower() if word else ""
-        if m[1] == "." and (before in ABBREVIATIONS or len(before) == 1 or m.string[: m.start()].endswith(".")):
+        if m[1] == "." and (before in ABBREVIATIONS or len(before) == 1 or before.endswith(".")):
             return m[0]
         return m[1] + m[2] + m[3].upper()
 

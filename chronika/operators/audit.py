@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronika.functions import dates, geo, numbers, text
-from chronika.operators import filters, joins, resolve
+from chronika.operators import filters, joins, resolve, spatial
 from chronika.sources.catalog import Catalog
 
 #: Fixed: the taxonomy of eras and types, and the largest plausible losses of one event by era.
@@ -72,11 +72,14 @@ def long_form(rows: DataFrame, flags: dict[str, Column], id_col: str = "id") ->
     return rows.select(F.explode(marks).alias("class"), F.col(id_col).alias("id"))
 
 
+LAND_KM = 15.0  # from a coast, within which a point counts as on land
+
+
 def mismatches(
     catalog: Catalog, spans: DataFrame | None = None, canonical: DataFrame | None = None, replays: DataFrame | None = None, enriched: DataFrame | None = None,
-    families: Sequence[tuple[str, Sequence[geo.Box]]] = (), family_names: Sequence[tuple[str, Sequence[str]]] = (), land=None, allowed: DataFrame | None = None, banned: str = "", military: str = "",
+    families: Sequence[tuple[str, Sequence[geo.Box]]] = (), family_names: Sequence[tuple[str, Sequence[str]]] = (), land=None, allowed: DataFrame | None = None, banned: str = "", military: str = "", mask: DataFrame | None = None,
 ) -> DataFrame:
-    """(class, id) of all classes whose inputs are given. land: a function (lat, lng) -> boolean column, true on or near land."""
+    """(class, id) of all classes whose inputs are given. Land is told by a function (lat, lng) -> boolean column, or by mask, the edges of its outlines (spatial.ring_edges)."""
     e, c = catalog.events, F.col
     flags = row_flags()
     if families:
@@ -87,9 +90,10 @@ def mismatches(
         flags["non-battle"] = (c("source") == "wikidata") & (c("verified") == 0) & text.non_battle(c("wikidata_instance_of"), banned or "(?!)", military)
     parts = [long_form(e, flags)]
     ids = lambda df, name, column="id": parts.append(df.select(F.lit(name).alias("class"), F.col(column).cast("string").alias("id")).distinct())
-    if land is not None:
+    if land is not None or mask is not None:
         at_sea = e.filter(geo.known(c("lat"), c("lng")) & (c("coord_source") == "") & ~c("battle_type").isin("naval", "amphibious") & ~F.lower("name").rlike(r"\b(?:sea|gulf|bay|strait|channel|ocean|cape|island|isle)\b"))
-        ids(at_sea.withColumn("_land", land(c("lat"), c("lng"))).filter(~c("_land")), "land-in-ocean")
+        told = spatial.on_land(at_sea.select("id", "lat", "lng"), mask, LAND_KM) if mask is not None else at_sea.withColumn("land", land(c("lat"), c("lng")))
+        ids(told.filter(~c("land")), "land-in-ocean")
     if spans is not None:
         ids(joins.within_span(e.filter("year != 0"), spans.withColumnRenamed("name", "war"), "war", "year").filter(~c("in_span")), "war-outside-span")
     if enriched is not None:
@@ -114,7 +118,7 @@ def mismatches(
         twin = joins.twins(e, canonical)
         doubles = doubles.union(twin.select("anchor")).union(twin.select("twin"))
         guarded = e.filter(filters.protected(c("source"), c("verified"))).select(c("id").alias("_p"))
-        curated = twin.join(guarded, (c("_p") == c("anchor")) | (c("_p") == c("twin")), "left_semi")
+        curated = twin.join(guarded, c("_p") == c("anchor"), "left_semi").union(twin.join(guarded, c("_p") == c("twin"), "left_semi"))
         ids(curated.select(c("anchor").alias("id")).union(curated.select("twin")), "curated-twin")
     if allowed is not None:
         both = allowed.select(c("drop").alias("id")).union(allowed.select("keep"))

@@ -1,4 +1,4 @@
-"""As-of, interval, near-duplicate and hierarchical joins, keyed so that no side meets all of the other."""
+"""Interval, near-duplicate and hierarchical joins, keyed so that no side meets all of the other."""
 
 from __future__ import annotations
 
@@ -10,16 +10,6 @@ from chronika.functions import geo, text
 KM_PER_DEGREE = 111.0  # a little less than a degree has, so that cells are a little wider than the distance
 
 
-def as_of(rows: DataFrame, snapshots: DataFrame, key: str, at: str, year: str, value: str) -> DataFrame:
-    """Each row with the value of its key's latest snapshot not after it, else the earliest; null for unknown keys.
-
-    A key's snapshots are gathered into one sorted array, so rows are not multiplied by them.
-    """
-    held = snapshots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.floor(year).alias("y"), F.col(value).alias("v")))).alias("_held"))
-    past = F.filter("_held", lambda s: s["y"] <= F.floor(at))
-    return rows.join(held, key, "left").withColumn(value, F.coalesce(F.try_element_at(past, F.lit(-1)), F.try_element_at("_held", F.lit(1)))["v"]).drop("_held")
-
-
 def within_span(rows: DataFrame, spans: DataFrame, key: str, year: str, tolerance: int = 1) -> DataFrame:
     """Rows with in_span: true inside start..end of their key give or take a tolerance; 0 leaves a side open; null without a span."""
     joined = rows.join(spans.select(key, "start", "end"), key, "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronika.functions import numbers
+from chronika.operators.ordered import placed
 
 
 def span(rows: DataFrame, value: str) -> DataFrame:
@@ -169,8 +170,7 @@ def sessions(rows: DataFrame, partition: Sequence[str], order: Sequence[str], sa
 
 def even_sample(rows: DataFrame, partition: Sequence[str], order: Sequence[str], cap: int) -> DataFrame:
     """At most cap rows of each partition, evenly spaced: places floor(i * n / cap)."""
-    w = Window.partitionBy(*partition)
-    numbered = rows.withColumn("_at", F.row_number().over(w.orderBy(*order)) - 1).withColumn("_n", F.count("*").over(w))
+    numbered = placed(rows, partition, order)
     # Place p is taken if some i has floor(i * n / cap) = p; the least such i is ceil(p * cap / n).
     i = F.ceil(F.col("_at") * cap / F.col("_n"))
     taken = (i < cap) & (F.floor(i * F.col("_n") / cap) == F.col("_at"))

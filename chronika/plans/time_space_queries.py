@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronika.functions import dates, geo
-from chronika.operators import joins, search, stats
+from chronika.operators import joins, ordered, search, spatial, stats
 from chronika.plans.registry import query, table
 
 YEAR = "cast(o_orderkey % 2600 as int) - 600"
@@ -59,7 +59,7 @@ select o.o_orderkey, coalesce((select arg_max(label, year) from s where s.war =
 def asof_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderpriority").alias("war"), F.year("o_orderdate").alias("y"))
     snapshots = orders.filter("y % 2 = 0").select("war", (F.col("y") + 0.25).alias("year"), F.concat_ws(":", "war", F.col("y").cast("string")).alias("label")).distinct()
-    return joins.as_of(orders.withColumn("at", F.col("y") + 0.5), snapshots, "war", "at", "year", "label").select("o_orderkey", "label")
+    return ordered.as_of(orders.withColumn("at", F.col("y") + 0.5), snapshots, "war", "at", "year", "label").select("o_orderkey", "label")
 
 
 @query("""with s as (select n_nationkey, case when n_nationkey % 5 = 0 then 0 else 1992 + n_nationkey % 4 end as a, case when n_nationkey % 7 = 0 then 0 else 1995 + n_nationkey % 3 end as b from nation)
@@ -133,6 +133,46 @@ def point_in_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("c_custkey", geo.within_rings([box(10, 40, -20, 30), box(-30, -5, 100, 150)])(F.col("lat"), F.col("lng")).alias("inside"))
 
 
+#: Outlines: a diamond around each supplier, and one ring that winds round the south pole; sides lie off the points' grid.
+DIAMOND = "s_suppkey as ring, (s_suppkey * 37) % 360 - 180 + 0.137 as x, (s_suppkey * 29) % 140 - 70 + 0.219 as y, 1.31 + s_suppkey % 5 as s"
+
+
+@query(f"""with p as (select c_custkey, {POINT} from customer), d as (select {DIAMOND} from supplier),
+e as (select ring, s, x, y, unnest([struct_pack(ax := -s, ay := 0.0, bx := 0.0, by := -s), struct_pack(ax := 0.0, ay := -s, bx := s, by := 0.0), struct_pack(ax := s, ay := 0.0, bx := 0.0, by := s), struct_pack(ax := 0.0, ay := s, bx := -s, by := 0.0)]) as g from d),
+q as (select c_custkey, ring, x, y, s, g, fmod(x - lng + 900.0, 360.0) - 180.0 as ox, y - lat as oy, greatest(cos(radians(lat)), 0.01) as w from p join e on abs(y - lat) < s + 1 and abs(fmod(x - lng + 900.0, 360.0) - 180.0) < s + 30),
+k as (select c_custkey, ring, abs(ox) + abs(oy) < s as inside, (ox + g.ax) * 111.32 * w as ax, (oy + g.ay) * 110.57 as ay, (g.bx - g.ax) * 111.32 * w as ex, (g.by - g.ay) * 110.57 as ey from q),
+t as (select *, greatest(0, least(1, -(ax * ex + ay * ey) / (ex * ex + ey * ey))) as t from k),
+f as (select c_custkey, bool_or(inside) as inside, min(sqrt(pow(ax + t * ex, 2) + pow(ay + t * ey, 2))) <= 60 as near from t group by c_custkey)
+select c_custkey, coalesce(inside, false) or lat < -63.3 as inside, coalesce(inside, false) or coalesce(near, false) or lat < -63.3 + 60 / 110.57 as land from p left join f using (c_custkey)""")
+def points_on_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in outlines, and in them or within 60 km of them: edges and points meet by grid cells."""
+    shapes = table(spark, sf_dir, "supplier").selectExpr(*DIAMOND.split(", "))
+    corners = shapes.selectExpr("ring", "posexplode(array(named_struct('lng', x - s, 'lat', y), named_struct('lng', x, 'lat', y - s), named_struct('lng', x + s, 'lat', y), named_struct('lng', x, 'lat', y + s), named_struct('lng', x - s, 'lat', y))) as (at, v)").selectExpr("ring", "at", "v.lng", "v.lat")
+    south = spark.range(37).selectExpr("cast(-1 as bigint) as ring", "cast(id as int) as at", "cast(id * 10 - 180 as double) as lng", "cast(-63.3 as double) as lat")
+    edges = spatial.ring_edges(corners.selectExpr("cast(ring as bigint) as ring", "at", "cast(lng as double) as lng", "cast(lat as double) as lat").unionByName(south))
+    rows = points(spark, sf_dir).select(F.col("c_custkey").alias("id"), "lat", "lng")
+    inside = spatial.within(rows, edges).select("id").distinct().withColumn("_in", F.lit(True))
+    found = spatial.on_land(rows, edges, 60.0).join(inside, "id", "left")
+    return found.select(F.col("id").alias("c_custkey"), F.coalesce("_in", F.lit(False)).alias("inside"), "land")
+
+
+@query("select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 50 as batch from orders")
+def fetch_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys by the batch of fifty that they are fetched in."""
+    return ordered.batches(table(spark, sf_dir, "orders").select("o_orderkey"), 50, "o_orderkey")
+
+
+@query("""with s as (select floor((l_orderkey % 400) / 3) as y, l_suppkey % 3 as k, l_orderkey as v from lineitem where l_linenumber = 1),
+r as (select o_orderkey, case when o_custkey % 10 < 6 then 0 else o_custkey % 5 end as k, o_orderkey % 170 - 10 + 0.5 as at_ from orders)
+select o_orderkey, coalesce((select arg_max(v, y * 1e9 + v) from s where s.k = r.k and y <= floor(at_)), (select arg_min(v, y * 1e9 + v) from s where s.k = r.k)) as v from r""")
+def asof_skewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As-of values where one key has most of the rows, and two have no snapshots."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1")
+    snapshots = lines.selectExpr("cast(l_suppkey % 3 as bigint) as k", "floor((l_orderkey % 400) / 3) as year", "l_orderkey as v")
+    rows = table(spark, sf_dir, "orders").selectExpr("o_orderkey", "cast(case when o_custkey % 10 < 6 then 0 else o_custkey % 5 end as bigint) as k", "o_orderkey % 170 - 10 + 0.5 as at")
+    return ordered.as_of(rows, snapshots, "k", "at", "year", "v").select("o_orderkey", "v")
+
+
 @query(f"""select c_custkey, case when abs(lng - 20) < 0.05 then 'first' when lat between 0 and 20 and lng between 0 and 40 then 'second' end as box from (select c_custkey, {POINT} from customer)""")
 def first_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     boxes = [("first", (-90.0, 90.0, 19.95, 20.05)), ("second", (0.0, 20.0, 0.0, 40.0))]

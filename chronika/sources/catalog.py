@@ -155,14 +155,6 @@ def query_bindings(responses: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), responses)
 
 
-def batches(keys: DataFrame, size: int, order: str) -> DataFrame:
-    """Keys with the number of the batch that a fetcher of `size` keys at once would take them in."""
-    from pyspark.sql import Window
-
-    # One global numbering: the key list of a fetch run, not a data table.
-    return keys.withColumn("batch", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
-
-
 def cached_rows(cache: DataFrame, keys: DataFrame, namespace: str) -> tuple[DataFrame, DataFrame]:
     """(found, missing) of a cache table (namespace, key_hash, value) for keys (key); keys are stored by their SHA-1."""
     asked = keys.withColumn("key_hash", F.sha1("key"))

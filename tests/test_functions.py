@@ -208,3 +208,13 @@ def test_templates_and_prose():
 def test_template_columns(spark):
     check(spark, lambda c: wikitext.infobox(c)["result"], [("{{Infobox military conflict|result=Draw}}", "Draw"), ("none", ""), (None, "")])
     check(spark, wikitext.side_text_column, [("{{flag|X}}", "X"), (None, "")])
+
+
+def test_sentences_in_linear_time():
+    import time
+
+    from chronika.functions import wikitext
+
+    began = time.perf_counter()
+    out = wikitext.capitalize_sentences("ab c. de f. " * 90_000)
+    assert time.perf_counter() - began < 3 and out.startswith("ab c. de f. Ab" if False else "ab c. de f. ab")
