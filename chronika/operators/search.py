@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronika.functions import text
+from chronika.functions.dates import let
+from chronika.sources.staging import written
 
 
 def search_blob(*parts: Column) -> Column:
@@ -31,23 +33,37 @@ def tokens(rows: DataFrame, id_col: str, blob: Column) -> DataFrame:
     return rows.select(F.col(id_col).alias("id"), F.explode(words(blob)).alias("token")).groupBy("token", "id").agg(F.count("*").alias("tf"))
 
 
+def begins(term: str):
+    return lambda token: F.startswith(token, F.lit(term))
+
+
+def folded_terms(terms: Sequence[str]) -> list[str]:
+    return sorted({t.lower() for t in terms})
+
+
 def term_counts(rows: DataFrame, id_col: str, blob: Column, terms: Sequence[str]) -> DataFrame:
-    """(id, length, tf0, tf1, ...) of each text: its tokens, and how many of them each prefix term begins. One scan, no shuffle."""
-    held = rows.select(F.col(id_col).alias("id"), words(blob).alias("_words"))
-    begun = lambda t: F.size(F.filter("_words", lambda w: F.startswith(w, F.lit(t)))).cast("bigint")
-    return held.select("id", F.size("_words").cast("bigint").alias("length"), *(begun(t).alias(f"tf{i}") for i, t in enumerate(sorted({t.lower() for t in terms}))))
+    """(id, length, tf0, tf1, ...) of each text: its tokens, and how many of them each prefix term begins. One scan, no shuffle; a text is folded and split once."""
+    begun = lambda w, t: F.size(F.filter(w, begins(t))).cast("bigint")
+    counted = let(words(blob), lambda w: F.struct(F.size(w).cast("bigint").alias("length"), *(begun(w, t).alias(f"tf{i}") for i, t in enumerate(folded_terms(terms)))))
+    return rows.select(F.col(id_col).alias("id"), counted.alias("_c")).select("id", "_c.*")
 
 
 def prefix_scan(rows: DataFrame, id_col: str, blob: Column, terms: Sequence[str]) -> DataFrame:
     """Ids of the texts in which every term begins some token; none without a term."""
-    n = len({t.lower() for t in terms})
-    found = term_counts(rows, id_col, blob, terms)
-    return found.filter(F.lit(n > 0) & (F.least(*(F.col(f"tf{i}") for i in range(n)), F.lit(1), F.lit(1)) > 0)).select("id")
+    folded = folded_terms(terms)
+
+    def all_begin(w: Column) -> Column:
+        out = F.lit(bool(folded))
+        for t in folded:
+            out = out & F.exists(w, begins(t))
+        return out
+
+    return rows.filter(let(words(blob), all_begin)).select(F.col(id_col).alias("id"))
 
 
 def prefix_match(index: DataFrame, terms: Sequence[str]) -> DataFrame:
     """Ids for which every term begins some token."""
-    folded = sorted({t.lower() for t in terms})
+    folded = folded_terms(terms)
     if not folded:
         return index.select("id").limit(0)
     hit = F.lit(False)
@@ -65,25 +81,31 @@ def bm25(index: DataFrame, terms: Sequence[str], k1: float = 1.2, b: float = 0.7
 
     One aggregation by document gives its length and the terms' frequencies; the totals over it are one broadcast row.
     """
-    folded = sorted({t.lower() for t in terms})
+    folded = folded_terms(terms)
     hits = [F.sum(F.when(F.startswith("token", F.lit(t)), F.col("tf")).otherwise(0)).alias(f"tf{i}") for i, t in enumerate(folded)]
     return ranked(index.groupBy("id").agg(F.sum("tf").alias("length"), *hits), len(folded), k1, b)
 
 
 def bm25_scan(rows: DataFrame, id_col: str, blob: Column, terms: Sequence[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """The same over texts without an index: each text counts its own tokens, only the totals go through a shuffle. Texts without a token count for nothing."""
-    return ranked(term_counts(rows, id_col, blob, terms).filter("length > 0"), len({t.lower() for t in terms}), k1, b)
+    """The same over texts without an index: each text counts its own tokens, and these few numbers are written, as totals come before scores. Texts without a token count for nothing."""
+    return ranked(written(term_counts(rows, id_col, blob, terms)).filter("length > 0"), len(folded_terms(terms)), k1, b)
+
 
+def ranked(docs: DataFrame, n: int, k1: float, b: float, sizes: DataFrame | None = None) -> DataFrame:
+    """(id, score) of rows (id, length, tf0, ...) with n terms that all stand in them; nothing without a term.
 
-def ranked(docs: DataFrame, n: int, k1: float, b: float) -> DataFrame:
-    """(id, score) of rows (id, length, tf0, ...) with n terms that all stand in them; nothing without a term."""
+    sizes: one row (docs, mean) of all documents, if those given are only the ones that hold a term.
+    """
     if not n:
         return docs.select("id", F.lit(0.0).alias("score")).limit(0)
-    folded = range(n)
-    found = [F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(len(folded))]
-    totals = F.broadcast(docs.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *found))
+    found = [F.sum((F.col(f"tf{i}") > 0).cast("int")).alias(f"df{i}") for i in range(n)]
+    if sizes is None:
+        totals = docs.agg(F.count("*").alias("docs"), F.avg("length").alias("mean"), *found)
+    else:
+        totals = docs.agg(*found).crossJoin(F.broadcast(sizes))
+    totals = F.broadcast(totals)
     score, matching = F.lit(0.0), F.lit(True)
-    for i in range(len(folded)):
+    for i in range(n):
         tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
         idf = F.log((F.col("docs") - df + 0.5) / (df + 0.5) + 1)
         score = score + idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("length") / F.col("mean")))
