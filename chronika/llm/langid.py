@@ -239,4 +239,5 @@ def accepted(docs: DataFrame, fitted: DataFrame, size: int = PROFILE_SIZE, text_
 
 
 def held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 0) -> Column:
-    return F.crc32(F.col(id_col).cast("string")) % folds == fold
+    """Whether a row's id falls into the fold that is not learned from; false without an id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))

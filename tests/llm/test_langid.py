@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 from pyspark.sql import functions as F
@@ -87,3 +88,8 @@ def test_accepted_follows_the_prediction(spark):
     predicted = {r.doc_id: r.lang_pred for r in langid.predict(docs, fitted).collect()}
     one = {r.doc_id for r in langid.accepted(docs, fitted, langs=["de"]).collect()}
     assert one == {i for i, x in predicted.items() if x == "de"} and one
+
+
+def test_held_out_is_never_null(spark):
+    rows = spark.createDataFrame([(None,), (1,), (10,)], "doc_id long")
+    assert {r.doc_id: r.h for r in rows.select("doc_id", langid.held_out().alias("h")).collect()} == {i: i is not None and zlib.crc32(str(i).encode()) % 5 == 0 for i in (None, 1, 10)}
