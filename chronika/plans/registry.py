@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from chronika.plans import catalogue_queries, chain_queries, field_queries, index_queries, reconcile_queries, refresh_queries, registry_queries, replay_queries, relational_queries, sourcing_queries, text_queries, time_space_queries  # noqa: F401  they register themselves
+    from chronika.plans import catalogue_queries, chain_queries, field_queries, index_queries, reconcile_queries, refresh_queries, registry_queries, replay_queries, relational_queries, source_queries, sourcing_queries, text_queries, time_space_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Query]:

@@ -114,7 +114,7 @@ def lean(rows: DataFrame, columns: Sequence[str] = LEAN) -> DataFrame:
 
 def read_json_documents(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Files that hold one object or an array of objects each; other keys are ignored."""
-    texts = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
+    texts = spark.read.text(path, wholetext=True).select(F.btrim("value", F.lit(" \t\r\n\ufeff")).alias("value"))
     many = texts.filter(F.startswith("value", F.lit("["))).select(F.explode(F.from_json("value", T.ArrayType(schema))).alias("d"))
     one = texts.filter(F.startswith("value", F.lit("{"))).select(F.from_json("value", schema).alias("d"))
     return many.union(one).filter("d is not null").select("d.*")
