@@ -166,8 +166,8 @@ def validate_events(nested: DataFrame, ocean: Sequence[tuple[str, geo.Box]] = ()
     agrees = F.exists("sides", lambda s: F.contains(F.lower(s["name"]), F.lower("victor")) | F.contains(F.lower("victor"), F.lower(s["name"])) | F.arrays_overlap(words(s["name"]), words(c("victor"))))
     generic = F.lower("victor").rlike("inconclusive|draw|stalemate|indecisive|ceasefire|negotiat|disputed|ongoing")
     box = geo.first_box(c("lat"), c("lng"), ocean) if ocean else F.lit(None).cast("string")
-    repeated = F.count("*").over(Window.partitionBy(unit)) > 1
-    rows = nested.withColumn("_repeated", repeated)
+    again = nested.groupBy(unit).agg(F.count("*").alias("_n")).filter("_n > 1").select(unit, F.lit(True).alias("_repeated"))
+    rows = nested.join(again, unit, "left")
     return explode_findings(
         rows,
         [

@@ -11,7 +11,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronika.functions import date_templates, dates, geo, numbers, text, wikitext
+from chronika.functions import date_templates, dates, geo, numbers, palette, text, wikitext
 from chronika.operators import filters, search, stats
 from chronika.plans.registry import query, table
 
@@ -188,3 +188,8 @@ def best_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     point, exact = F.when(m == 0, day).when(m == 1, "1900-01-01").when(m == 2, "1900-01-01"), F.when(m == 0, 11).when(m.isin(1, 2), 8)
     start, fine = F.when(m == 1, "1901-01-01").when(m == 2, day), F.when(m == 1, 7).when(m == 2, 11)
     return table(spark, sf_dir, "orders").withColumn("best", dates.best_time(point, exact, start, fine)).select("o_orderkey", "best.date", "best.precision")
+
+forms("faction_colours", lambda c: F.coalesce(palette.colour_key(c), F.lit("")), [
+    ("concat('The WEHRMACHT of ', p_name)", "'nazi-black'"), ("concat(p_partkey, 'th Red Army')", "'soviet-red'"), ("concat('Grande Armée ', p_partkey)", "'napoleonic-blue'"), ("concat('The French Army ', p_partkey)", "'free-french'"), ("concat('Romans ', p_partkey)", "'roman-crimson'"), ("'Roma'", "''"), ("concat('Union forces ', p_partkey)", "'union-blue'"), ("concat('Reunion ', p_partkey)", "''"),
+    ("'Wagner Group'", "'isis-black'"), ("'Russian Armed Forces'", "'russia-modern-red'"), ("'French resistance fr.'", "'free-french'"), ("concat('Holy Roman Empire ', p_partkey)", "'habsburg-white'"), ("'Greek hoplites under Alexander'", "'greek-slate'"), ("'US. Marines'", "'us-blue'"), ("'Khanate'", "''"), ("concat('Army ', p_partkey)", "''"),
+], doc="Colours of factions by the first pattern that a name holds.")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronika.functions import numbers
-from chronika.operators import enrich, resolve, stats
+from chronika.operators import audit, enrich, resolve, stats
 from chronika.operators.ordered import placed
 from chronika.plans.catalogue_queries import catalogue, cte
 from chronika.plans.registry import query, table
@@ -156,3 +156,16 @@ def playlists(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
     run = lambda a, b, name: stats.playlist(a, b, parts, ["id"]).select(F.lit(name).alias("run"), "id")
     return run(parts.filter("id % 100 = 0"), parts.filter("id % 100 in (1, 2)"), "enough").unionByName(run(parts.filter("id = 1"), parts.filter("id = 2"), "few"))
+
+
+ODD_ID = f"case {K} % 10 when 0 then '' when 1 then concat('Bad Id ', {K}) when 2 then concat('-x', {K}) when 3 then concat('twin-', cast(floor({K} / 20) as bigint)) when 4 then concat('y', {K}, '-') else concat('event-', {K}) end"
+ODD_NAME = f"case when {K} % 7 = 0 then ' ' else concat('Name ', {K}) end"
+
+
+@query(f"""with e as (select {ODD_ID} as id, {ODD_NAME} as name from orders), n as (select id, count(*) as n from e group by 1)
+select id, 'id' as field, 'is required' as message from e where id = '' union all select id, 'id', 'is no slug' from e where id <> '' and not regexp_full_match(id, '[a-z0-9]([a-z0-9-]*[a-z0-9])') union all select id, 'id', 'is not unique' from e join n using (id) where n > 1 union all select id, 'name', 'is required' from e where trim(name) = ''""")
+def validate_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on empty, malformed and repeated ids and on blank names."""
+    rows = table(spark, sf_dir, "orders").selectExpr(f"{ODD_ID} as id", f"{ODD_NAME} as name", "1990 as year")
+    nested = conform(rows, EVENTS).withColumn("sides", F.expr("cast(array() as array<struct<side_index:int,name:string,commander:string,strength:string,casualties:string>>)"))
+    return audit.validate_events(nested).filter("field in ('id', 'name')").select("id", "field", "message")

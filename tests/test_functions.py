@@ -217,4 +217,12 @@ def test_sentences_in_linear_time():
 
     began = time.perf_counter()
     out = wikitext.capitalize_sentences("ab c. de f. " * 90_000)
-    assert time.perf_counter() - began < 3 and out.startswith("ab c. de f. Ab" if False else "ab c. de f. ab")
+    assert time.perf_counter() - began < 3 and out.startswith("ab c. de f. ab")
+
+
+def test_colours_of_factions(spark):
+    from chronika.functions import palette
+
+    rows = spark.createDataFrame([("Nazi Germany", ""), ("People's Republic", "own-key"), (None, None), ("Republic of China", None), ("Mongol horde", ""), ("Napoleon's consulate", ""), ("France", "")], "n string, e string")
+    assert [r.k for r in rows.select(palette.colour_key(F.col("n"), F.col("e")).alias("k")).collect()] == ["nazi-black", "own-key", None, "nationalist-china", "mongol-amber", "napoleonic-blue", "free-french"]
+    assert len({k for k, _ in palette.COLOURS}) == len(palette.COLOURS)
