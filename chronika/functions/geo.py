@@ -42,6 +42,7 @@ def near_zero(v: Column) -> Column:
 
 def region(lat: Column, lng: Column) -> Column:
     """Rough continental bucket; the first box in order decides, so its gaps at 35 and 12 degrees fall through."""
+    # Fixed: bounds and names of the regions, the first that holds.
     west = (lng >= -180) & (lng < -50)
     east = (lng >= 60) & (lng < 160)
     middle = (lng > -25) & (lng < 60)

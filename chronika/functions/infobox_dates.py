@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from chronika.functions.dates import MONTHS, iso, kind, let, month_number, places
 
 SEASONS = ("spring", "summer", "autumn", "fall", "winter")
-#: In order: what is read first. S a season; slashes count as dashes, a comma may join two days of different months.
+#: Fixed, in order: what is read first. S a season; slashes count as dashes, a comma may join two days of different months.
 FORMS = ("DMY-DMY", "MDY-MDY", "MY-DMY", "DMY-MY", "DM-DMY", "DM,DMY", "MD-MDY", "MD,MDY", "D-DMY", "MD-DY", "DMY", "MDY", "MY-MY", "M-MY", "SY", "MY")
 RESULT = "struct<display:string,start:string,year:int,end_year:int,reason:string>"
 FORM = "struct<kinds:string,y1:int,m1:int,d1:int,y2:int,m2:int,d2:int,span:boolean>"
