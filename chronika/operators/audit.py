@@ -107,10 +107,9 @@ def mismatches(
     ids(joins.orphans(catalog.references, e, "battle_id", "id"), "reference-orphan", "battle_id")
     if replays is not None:
         ids(joins.orphans(replays, e, "id", "id"), "replay-orphan")
-    shared = F.count("*").over(Window.partitionBy(F.trim("wikipedia_title")))
-    ids(e.filter(F.trim("wikipedia_title") != "").withColumn("_n", shared).filter("_n > 1"), "dup-wikipedia-title")
-    pairs = joins.near_duplicates(e)
-    doubles = pairs.select(c("a").alias("id")).union(pairs.select("b"))
+    titles = e.filter(F.trim("wikipedia_title") != "").select("id", F.trim("wikipedia_title").alias("_t"))
+    ids(titles.join(titles.groupBy("_t").agg(F.count("*").alias("_n")).filter("_n > 1"), "_t", "left_semi"), "dup-wikipedia-title")
+    doubles = joins.near_duplicate_ids(e)
     if canonical is not None:
         known = e.join(canonical.withColumnRenamed("title", "wikipedia_title"), "wikipedia_title")
         ids(known.filter("canonical != '' and canonical != wikipedia_title"), "title-redirect")
