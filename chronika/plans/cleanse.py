@@ -12,7 +12,7 @@ from chronika.functions import text
 from chronika.operators import joins, reconcile, resolve, sourcing
 from chronika.operators.filters import protected
 from chronika.sources.catalog import Catalog
-from chronika.sources.staging import written
+from chronika.sources.staging import Steps, written
 
 Pass = Callable[[Catalog], Catalog]
 
@@ -137,30 +137,63 @@ def row_changes(before: DataFrame, after: DataFrame, table: str, key: list[str])
 KEYS = {"sides": ["battle_id", "side_index"], "references": ["battle_id", "ref_type", "title"], "aliases": ["battle_id", "alias_index"], "removed": ["qid"]}
 
 
+def fingerprint(rows: DataFrame) -> tuple:
+    """The number of rows, and two sums of hashes of them, whatever their order: equal for equal tables."""
+    total = lambda seed: F.sum(F.xxhash64(F.lit(seed), *rows.columns).cast("decimal(20,0)"))
+    return tuple(rows.agg(F.count("*"), total(1), total(2)).first())
+
+
 def settled(catalog: Catalog, steps: list[tuple[str, Pass]], most: int = 20) -> Settled:
     """The passes, in order, again and again until a round changes no row of any table; over `most` rounds raise Unsettled.
 
-    Tables that a pass has changed are written before the next one, and only the counts of its changes come to the driver.
+    Tables that a pass has changed are written before the next one, and only counts and sums of hashes come to the driver.
+    A table that comes out as it went in is dropped for the one before; of those that changed the files of earlier
+    rounds go, so the disk holds each table about twice, whatever the number of rounds.
     """
-    catalog = kept(catalog)
+    spark = catalog.events.sparkSession
+    files = Steps(spark)
     columns = catalog.events.columns
+    children = [t for t in Catalog.TABLES if t != "events"]
+    plain = lambda events: events.select(*columns)
+    catalog = catalog.with_(**{t: files.saved(getattr(catalog, t)) for t in children}, events=files.saved(catalog.events.withColumn("_log", F.expr(f"cast(array() as array<{ENTRY}>)"))))
+    marks = {t: fingerprint(plain(catalog.events) if t == "events" else getattr(catalog, t)) for t in Catalog.TABLES}
     log = None
     for number in range(1, most + 1):
-        now = catalog.with_(events=catalog.events.withColumn("_log", F.expr(f"cast(array() as array<{ENTRY}>)")))
+        now, ids = catalog, []
         for name, step in steps:
-            after = traced(name, step)(now)
-            now = after.with_(**{t: written(getattr(after, t)) for t in Catalog.TABLES if getattr(after, t) is not getattr(now, t)})
+            after, old = traced(name, step)(now), []
+            for t in Catalog.TABLES:
+                if getattr(after, t) is getattr(now, t):
+                    continue
+                out = files.saved(getattr(after, t))
+                mark = fingerprint(plain(out) if t == "events" else out)
+                if mark == marks[t]:
+                    files.drop(out)
+                    after = after.with_(**{t: getattr(now, t)})
+                    continue
+                if getattr(now, t) is not getattr(catalog, t):
+                    old.append(getattr(now, t))
+                marks[t] = mark
+                after = after.with_(**{t: out})
+            now = after
+            files.drop(*old)  # once all tables of the pass are written, as they may be made of each other
+        if now.events is not catalog.events:
+            ids.append(row_changes(catalog.events.select("id"), now.events.select("id"), "events", ["id"]))
+        ids += [row_changes(getattr(catalog, t), getattr(now, t), t, KEYS[t]) for t in children if getattr(now, t) is not getattr(catalog, t)]
         cells = now.events.select("id", F.explode("_log").alias("e")).select("e.pass", F.lit("events").alias("table"), "id", "e.column", "e.was", "e.now")
-        ids = row_changes(catalog.events.select("id"), now.events.select("id"), "events", ["id"])
-        for t, key in KEYS.items():
-            ids = ids.unionByName(row_changes(getattr(catalog, t), getattr(now, t), t, key))
         text_ = lambda v=None: F.lit(v).cast("string")
-        rows = ids.select(text_().alias("pass"), "table", "id", text_().alias("column"), text_().alias("was"), "now")
-        round_ = written(cells.unionByName(rows).select(F.lit(number).alias("round"), "pass", "table", "id", "column", "was", "now"))
-        catalog = now.with_(events=now.events.select(*columns))
+        for found in ids:
+            cells = cells.unionByName(found.select(text_().alias("pass"), "table", "id", text_().alias("column"), text_().alias("was"), "now"))
+        round_ = files.saved(cells.select(F.lit(number).alias("round"), "pass", "table", "id", "column", "was", "now"))
         log = round_ if log is None else log.unionByName(round_)
         if round_.isEmpty():
-            return Settled(catalog, log, number)
+            return Settled(now.with_(events=plain(now.events)), log, number)
+        # The log of a round rides along in its events; the next round starts with an empty one.
+        fresh = files.saved(now.events.withColumn("_log", F.expr(f"cast(array() as array<{ENTRY}>)"))) if now.events is not catalog.events else now.events
+        files.drop(*(getattr(catalog, t) for t in Catalog.TABLES if getattr(now, t) is not getattr(catalog, t)))
+        if fresh is not now.events:
+            files.drop(now.events)
+        catalog = now.with_(events=fresh)
     raise Unsettled(f"rows still change after {most} rounds")
 
 

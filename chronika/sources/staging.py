@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,3 +23,26 @@ def written(rows: DataFrame) -> DataFrame:
     """The rows, written to the shared checkpoint folder: later steps read them and carry no lineage on."""
     checkpoint_folder(rows.sparkSession)
     return rows.checkpoint(eager=True)
+
+
+class Steps:
+    """Tables of one job in Parquet files of the shared checkpoint folder, for jobs whose tables outgrow their use: each can be dropped."""
+
+    def __init__(self, spark: SparkSession):
+        checkpoint_folder(spark)
+        self.spark, self.paths = spark, {}
+        self.root = f"{spark.sparkContext.getCheckpointDir()}/chronika-{uuid.uuid4().hex}"
+
+    def saved(self, rows: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        rows.write.option("compression", "zstd").parquet(path)
+        out = self.spark.read.schema(rows.schema).parquet(path)
+        self.paths[id(out)] = (path, out)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of tables that were saved here; other tables are left alone."""
+        for table in tables:
+            if id(table) in self.paths:
+                place = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[0])
+                place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
