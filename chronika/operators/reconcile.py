@@ -61,7 +61,8 @@ def staged(events: DataFrame, families: Sequence[tuple[str, Sequence[geo.Box]]]
             state = dates.let(state, step(rule))
         return dates.let(state, lambda s: war_elsewhere(s, k, F.col("lat"), F.col("lng"), families))
 
-    return events.select("*", dates.let(known, lambda k: F.when(k["ours"], rules(k)).otherwise(started)).alias("fix"))
+    # A generated column is worked out once a row; a plain one again for each of its fields that a later step names.
+    return events.select("*", F.explode(F.array(dates.let(known, lambda k: F.when(k["ours"], rules(k)).otherwise(started)))).alias("fix"))
 
 
 def changed(state: Column, when: Column, reason: Column, **new: Column) -> Column:
