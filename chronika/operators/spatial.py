@@ -86,9 +86,13 @@ def located(points: DataFrame, cell: float) -> DataFrame:
     return points.withColumn("_lng", lng).withColumn("col", F.pmod(F.floor((F.col("_lng") + 180.0) / cell), F.lit(round(360 / cell)))).withColumn("row", row)
 
 
-def within(points: DataFrame, edges: DataFrame, cell: float = CELL) -> DataFrame:
-    """(id, ring) of the points (id, lat, lng) and the rings that they lie in; ids are one a point. Points without a place lie in none."""
-    sure = located(points.filter("lat between -90 and 90 and lng is not null and not isnan(lng)").select("id", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")), cell)
+def sited(points: DataFrame, cell: float) -> DataFrame:
+    """(id, lat, lng, _lng, col, row) of the points (id, lat, lng) that have a place."""
+    return located(points.filter("lat between -90 and 90 and lng is not null and not isnan(lng)").select("id", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")), cell)
+
+
+def held(sure: DataFrame, edges: DataFrame, cell: float) -> DataFrame:
+    """(id, ring) of sited points and the rings that they lie in."""
     centre_x, centre_y = (F.col("col") + 0.5) * cell - 180.0, (F.col("row") + 0.5) * cell - 90.0
     near = sure.join(cells_passed(edges, cell), ["col", "row"])
     x1, x2, y1, y2 = F.col("x"), F.col("x") + F.col("dx"), F.col("y"), F.col("y") + F.col("dy")
@@ -104,16 +108,41 @@ def within(points: DataFrame, edges: DataFrame, cell: float = CELL) -> DataFrame
     return turned.unionByName(centred).groupBy("id", "ring").agg(F.sum("_n").alias("_n")).filter("_n % 2 = 1").select("id", "ring")
 
 
+def within(points: DataFrame, edges: DataFrame, cell: float = CELL) -> DataFrame:
+    """(id, ring) of the points (id, lat, lng) and the rings that they lie in; ids are one a point. Points without a place lie in none."""
+    return held(sited(points, cell), edges, cell)
+
+
+def one_of_equal(edges: DataFrame) -> DataFrame:
+    """The edges of one ring of each set of rings that have the same edges, by two hashes of 64 bits."""
+    place = ("x", "y", "dx", "dy")
+    prints = edges.groupBy("ring").agg(F.count("*").alias("_n"), F.sum(F.xxhash64(*place).cast("decimal(20,0)")).alias("_a"), F.sum(F.xxhash64(F.lit("again"), *place).cast("decimal(20,0)")).alias("_b"))
+    return edges.join(prints.groupBy("_n", "_a", "_b").agg(F.min("ring").alias("ring")).select("ring"), "ring", "left_semi")
+
+
+def covered_cells(edges: DataFrame, cell: float) -> DataFrame:
+    """(col, row) of the cells that lie in a ring as a whole: their centres do, and no edge of the ring touches them."""
+    return inner_cells(edges, cell).join(cells_passed(edges, cell).select("ring", "col", "row"), ["ring", "col", "row"], "left_anti").select("col", "row").distinct()
+
+
+def within_any(points: DataFrame, edges: DataFrame, cell: float = CELL) -> DataFrame:
+    """(id) of the points in at least one ring. Points in covered cells meet no edge, however many rings lie over each other."""
+    sure, shapes = sited(points, cell), one_of_equal(edges)
+    covered = covered_cells(shapes, cell)
+    rest = held(sure.join(covered, ["col", "row"], "left_anti"), shapes, cell).select("id").distinct()
+    return sure.join(covered, ["col", "row"], "left_semi").select("id").unionByName(rest)
+
+
 def near_edges(points: DataFrame, edges: DataFrame, km: float, cell: float = CELL) -> DataFrame:
     """(id) of the points within km of an edge that is no closing one, on a plane around the point."""
-    sure = located(points.filter("lat between -90 and 90 and lng is not null and not isnan(lng)").select("id", F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng")), cell)
+    sure = sited(points, cell)
     number, rows_of = round(360 / cell), round(180 / cell)
     wide = F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
     reach_x, reach_y = F.ceil(km / (KM_PER_DEGREE_LNG * wide) / cell), int(-(-km // (KM_PER_DEGREE_LAT * cell)))
     around = sure.withColumn("_wide", wide).withColumn("_reach", F.least(reach_x, F.lit((number - 1) // 2))).withColumn("_c", F.explode(F.sequence(F.col("col") - F.col("_reach"), F.col("col") + F.col("_reach"))))
     around = around.withColumn("row", F.explode(F.sequence(F.greatest(F.col("row") - reach_y, F.lit(0)), F.least(F.col("row") + reach_y, F.lit(rows_of - 1)))))
     around = around.withColumn("col", F.pmod("_c", F.lit(number))).withColumn("_px", F.col("_lng") - F.floor(F.col("_c") / number) * 360.0)
-    pairs = around.join(cells_passed(edges.filter("not closes"), cell), ["col", "row"])
+    pairs = around.join(cells_passed(edges.filter("not closes").select("x", "y", "dx", "dy").distinct(), cell), ["col", "row"])
     ax, ay = (F.col("x") - F.col("_px")) * KM_PER_DEGREE_LNG * F.col("_wide"), (F.col("y") - F.col("lat")) * KM_PER_DEGREE_LAT
     ex, ey = F.col("dx") * KM_PER_DEGREE_LNG * F.col("_wide"), F.col("dy") * KM_PER_DEGREE_LAT
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), -(ax * ex + ay * ey) / (ex * ex + ey * ey)))
@@ -121,7 +150,22 @@ def near_edges(points: DataFrame, edges: DataFrame, km: float, cell: float = CEL
     return pairs.filter(close).select("id").distinct()
 
 
+def judged(points: DataFrame, edges: DataFrame, km: float, cell: float = CELL) -> DataFrame:
+    """The points (id, lat, lng) with inside (in an outline) and land (in one, or within km of one); both false for points without a place.
+
+    Each place is judged once, however many points stand there, and only places outside of all outlines are held against edges near them.
+    """
+    at = F.struct(F.col("lat").cast("double").alias("lat"), F.col("lng").cast("double").alias("lng"))
+    places = points.select(at.alias("id")).distinct().select("id", "id.lat", "id.lng")
+    inside = within_any(places, edges, cell).withColumn("inside", F.lit(True))
+    told = inside
+    if km:
+        rest = places.join(inside, "id", "left_anti")
+        told = inside.unionByName(near_edges(rest, edges, km, cell).withColumn("inside", F.lit(False)))
+    met = points.withColumn("_at", at).join(told.select(F.col("id").alias("_at"), "inside", F.lit(True).alias("land")), "_at", "left").drop("_at")
+    return met.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("inside", "land")})
+
+
 def on_land(points: DataFrame, edges: DataFrame, km: float = 15.0, cell: float = CELL) -> DataFrame:
     """The points (id, lat, lng) with land: in an outline, or within km of one; false for points without a place."""
-    found = within(points, edges, cell).select("id").unionByName(near_edges(points, edges, km, cell)).distinct() if km else within(points, edges, cell).select("id").distinct()
-    return points.join(found.withColumn("land", F.lit(True)), "id", "left").withColumn("land", F.coalesce("land", F.lit(False)))
+    return judged(points, edges, km, cell).drop("inside")

@@ -151,9 +151,7 @@ def points_on_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     south = spark.range(37).selectExpr("cast(-1 as bigint) as ring", "cast(id as int) as at", "cast(id * 10 - 180 as double) as lng", "cast(-63.3 as double) as lat")
     edges = spatial.ring_edges(corners.selectExpr("cast(ring as bigint) as ring", "at", "cast(lng as double) as lng", "cast(lat as double) as lat").unionByName(south))
     rows = points(spark, sf_dir).select(F.col("c_custkey").alias("id"), "lat", "lng")
-    inside = spatial.within(rows, edges).select("id").distinct().withColumn("_in", F.lit(True))
-    found = spatial.on_land(rows, edges, 60.0).join(inside, "id", "left")
-    return found.select(F.col("id").alias("c_custkey"), F.coalesce("_in", F.lit(False)).alias("inside"), "land")
+    return spatial.judged(rows, edges, 60.0).select(F.col("id").alias("c_custkey"), "inside", "land")
 
 
 @query("select o_orderkey, (row_number() over (order by o_orderkey) - 1) // 50 as batch from orders")

@@ -92,3 +92,18 @@ def test_no_rings_and_no_points(spark):
     assert spatial.on_land(none, edges).count() == 0
     one = spark.createDataFrame([(1, 0.5, 0.9)], "id int, lat double, lng double")
     assert [r.land for r in spatial.on_land(one, edges.limit(0)).collect()] == [False]
+
+
+def test_copies_of_points_and_outlines_are_judged_once(spark):
+    corners = [(r, i, x, y) for r in range(40) for i, (x, y) in enumerate([(10.0, 10.0), (14.0, 10.0), (14.0, 14.0), (10.0, 14.0), (10.0, 10.0)])]
+    corners += [(100, i, x, y) for i, (x, y) in enumerate([(10.2, 10.2), (14.0, 10.0), (14.0, 14.0), (10.0, 14.0), (10.2, 10.2)])]
+    edges = spatial.ring_edges(spark.createDataFrame(corners, "ring long, at int, lng double, lat double"))
+    assert spatial.one_of_equal(edges).select("ring").distinct().count() == 2
+    places = [(12.1, 12.3), (10.05, 10.1), (9.9, 12.0), (9.0, 12.0), (None, 1.0), (13.9, 13.9), (14.2, 12.0), (60.0, 12.0)]
+    rows = [(i * 10 + n, lat, lng) for i, (lat, lng) in enumerate(places) for n in range(5)]
+    points = spark.createDataFrame(rows, "id long, lat double, lng double")
+    inside = {r.id for r in spatial.within(points, edges).collect()}
+    near = {r.id for r in spatial.near_edges(points, edges, 30.0).collect()}
+    assert 0 < len(inside) < len(inside | near) < len(rows)
+    found = spatial.judged(points, edges, 30.0).collect()
+    assert sorted((r.id, r.inside, r.land) for r in found) == sorted((i, i in inside, i in inside | near) for i, _, _ in rows)
