@@ -14,14 +14,18 @@ from pyspark.sql import functions as F
 from chronika.functions import date_templates, dates, geo, numbers, palette, text, wikitext
 from chronika.operators import filters, search, stats
 from chronika.plans.registry import query, table
+from chronika.sources.staging import told_once
 
 
-def forms(name: str, fn: Callable[[Column], Column], pairs: Sequence[tuple[str, str]], of: str = "part", key: str = "p_partkey", doc: str = "") -> None:
-    """Register a query `name`: the forms take turns by key, and fn is applied to each row's input."""
+def forms(name: str, fn: Callable[[Column], Column], pairs: Sequence[tuple[str, str]], of: str = "part", key: str = "p_partkey", doc: str = "", once: bool = False) -> None:
+    """Register a query `name`: the forms take turns by key, and fn is applied to each row's input; with once, to each distinct input once."""
     case = lambda side: f"case {key} % {len(pairs)} " + " ".join(f"when {i} then {p[side]}" for i, p in enumerate(pairs)) + " end"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, of).select(key, fn(F.expr(case(0))).alias("out"))
+        rows = table(spark, sf_dir, of)
+        if once:
+            return told_once(rows.select(key, F.expr(case(0)).alias("_in")), {"text": F.col("_in")}, lambda g: fn(g["text"]), "out").select(key, "out")
+        return rows.select(key, fn(F.expr(case(0))).alias("out"))
 
     run.__name__, run.__doc__ = name, doc
     query(f"select {key}, {case(1)} as out from {of}")(run)
@@ -111,7 +115,7 @@ forms("template_dates", T, [
     (f"concat('{{{{ublist|', chr(10), '{{{{Start date|', {Y}, '|5|13}}}} (first)|{{{{End date|', {Y}, '|10|13}}}} (second)}}}}')", f"'13 May ' || year({D}) || ' – 13 October ' || year({D}) || '/' || year({D}) || '-05-13/' || year({D}) || '-10-13/' || year({D})"), (f"concat('{{{{plainlist|', chr(10), '* 4 June ', {Y}, chr(10), '* 5 June ', {Y}, '}}}}')", f"'4 June ' || year({D}) || ' – 5 June ' || year({D}) || '/' || year({D}) || '-06-04/' || year({D}) || '-06-05/' || year({D})"),
     (f"concat('{{{{nowrap|{{{{small|4 June ', {Y}, '}}}}}}}} )}}}}')", f"'4 June ' || year({D}) || '/' || year({D}) || '-06-04/' || year({D}) || '-06-04/' || year({D})"), (f"concat({Y}, ' – 3 January ', cast(year({D}) + 3 as string))", f"year({D}) || ' – 3 January ' || (year({D}) + 3) || '/' || year({D}) || '-01-01/' || (year({D}) + 3) || '-01-03/' || year({D})"),
     (f"concat('24 December ', {Y}, ' <br> ({{{{Age in days|month1=12|year1=1941}}}})')", f"'24 December ' || year({D}) || '/' || year({D}) || '-12-24/' || year({D}) || '-12-24/' || year({D})"), ("'c. 1100 BC'", "'c. 1100 BC/-1100-12-31/-1100-12-31/-1100'"), ("'{{circa}} unknown'", "''"),
-], "orders", K, doc="Dates of infoboxes in templates, evaluated and read.")
+], "orders", K, doc="Dates of infoboxes in templates, evaluated and read.", once=True)
 forms("dates_displayed", dates.display_date, [(f"concat({Y}, '-12-31')", f"strftime({D}, '%Y')"), (f"date_format({D}, 'yyyy-MM-dd')", f"case when strftime({D}, '%m-%d') = '12-31' then strftime({D}, '%Y') else strftime({D}, '%Y-%m-%d') end"), ("'-0480-12-31'", "'480 BC'")], "orders", K)
 forms("years_in_titles", lambda c: F.array_join(F.transform(dates.title_years(c), lambda y: y.cast("string")), ","), [(f"concat('Siege of X (', {Y}, ')')", f"strftime({D}, '%Y')"), (f"concat({Y}, ' and ', {Y}, '5')", f"strftime({D}, '%Y')"), ("'No. 20'", "''"), (f"concat('a', {Y}, '–', {Y})", f"strftime({D}, '%Y,%Y')")], "orders", K)
 forms("years_of_history", dates.historical_year, [(f"cast({K} % 300 as int)", f"case when {K} % 300 = 0 then -1 else {K} % 300 end"), (f"cast(-({K} % 300) as int)", f"-({K} % 300) - 1")], "orders", K)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
@@ -46,3 +48,13 @@ class Steps:
             if id(table) in self.paths:
                 place = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(table))[0])
                 place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def told_once(rows: DataFrame, given: Mapping[str, Column], tell: Callable[[Column], Column], name: str) -> DataFrame:
+    """The rows with a column `name`, which tell makes of a struct of the given values: once for each distinct set of values, not for each row.
+
+    For long expressions over values that come again, such as dates. The distinct sets are written, so that their size is known to the join.
+    """
+    keyed = rows.withColumn("_given", F.struct(*(c.alias(k) for k, c in given.items())))
+    each = keyed.select("_given").distinct().select("_given", tell(F.col("_given")).alias(name))
+    return keyed.join(Steps(rows.sparkSession).saved(each), "_given", "left").drop("_given")
