@@ -9,13 +9,14 @@ Ids are claimed in rounds (`first_free`).
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronika.functions import dates, geo, text
 from chronika.sources.catalog import EVENTS, Catalog, conform
-from chronika.sources.staging import written
+from chronika.sources.staging import Steps, told_once, written
 
 MOST_UPDATES = 2000  # more in one run points to a wrong scope
 DAY, MONTH, YEAR = 11, 10, 9  # precisions of the source
@@ -94,6 +95,17 @@ def rendered(date: Column, precision: Column, end: Column, end_precision: Column
     return dates.let(both, show)
 
 
+def shown_once(facts: DataFrame) -> DataFrame:
+    """The facts with _shown, what their date, precision, end and end_precision are rendered as: once for each distinct set of them."""
+    given = {k: F.col(k) for k in ("date", "precision", "end", "end_precision")}
+    return told_once(facts, given, lambda g: rendered(g["date"], g["precision"], g["end"], g["end_precision"]), "_shown")
+
+
+def apart(key: str, own: str | None = None) -> Column:
+    """A key to join by: rows whose key is empty are told apart by a column of their own, and do not all meet in one task. Without such a column, the key of the other side."""
+    return F.struct(F.col(key).alias("key"), (F.when(F.col(key) == "", F.col(own)) if own else F.lit(None).cast("string")).alias("own"))
+
+
 def literal_year(value: Column) -> Column:
     """The year of a query service's date, which counts a year zero: BC years move by one; 0 for no date."""
     sign, digits = F.regexp_extract(value, r"^([+-]*)(\d{1,9})-", 1), F.regexp_extract(value, r"^[+-]*(\d{1,9})-", 1)
@@ -106,6 +118,16 @@ def literal_date(value: Column, year: Column) -> Column:
     return F.when(year == 0, "").when(year < 0, year_label(year)).when(F.length(value) >= 10, F.left(value, F.lit(10))).otherwise(year.cast("string"))
 
 
+def literal_shown(value: Column) -> Column:
+    """struct(year, date, start, end) of such a date."""
+
+    def read(given: Column) -> Column:
+        year, date = given["year"], literal_date(given["value"], given["year"])
+        return dates.let(F.struct(year.alias("year"), date.alias("date")), lambda t: dates.let(dates.parse_range(t["date"], t["year"]), lambda r: F.struct(t["year"].alias("year"), t["date"].alias("date"), r["start"].alias("start"), r["end"].alias("end"))))
+
+    return dates.let(F.struct(value.alias("value"), literal_year(value).alias("year")), read)
+
+
 # --- claims ------------------------------------------------------------------
 
 
@@ -150,12 +172,19 @@ def merged_items(bindings: DataFrame) -> DataFrame:
 
 
 def labelled(facts: DataFrame, labels: DataFrame) -> DataFrame:
-    """facts with conflict and instance: the labels of their lists of ids, joined by '|'; an id without a label stands for itself."""
-    each = facts.select("qid", F.explode(F.array(*(F.struct(F.lit(k).alias("kind"), F.col(c).alias("ids")) for k, c in (("conflict", "conflicts"), ("instance", "instances"))))).alias("_l"))
-    each = each.select("qid", "_l.kind", F.posexplode("_l.ids").alias("_at", "id")).join(labels.select("id", F.col("label").alias("_label")), "id", "left")
-    told = each.groupBy("qid").pivot("kind", ["conflict", "instance"]).agg(F.array_join(F.array_sort(F.collect_list(F.struct("_at", F.coalesce(F.nullif("_label", F.lit("")), "id").alias("l"))))["l"], "|"))
-    out = facts.drop("conflicts", "instances").join(told, "qid", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in ("conflict", "instance")})
+    """facts with conflict and instance: the labels of their lists of ids, joined by '|'; an id without a label stands for itself.
+
+    Few ids stand in most facts, so each distinct list is labelled once, and no row of a fact is dealt out by an id.
+    """
+    kinds = {"conflict": "conflicts", "instance": "instances"}
+    lists = facts.select(F.explode(F.array(*kinds.values())).alias("_ids")).filter("_ids is not null").distinct()
+    each = lists.select("_ids", F.posexplode("_ids").alias("_at", "id")).join(labels.select("id", F.col("label").alias("_label")), "id", "left")
+    said = each.groupBy("_ids").agg(F.array_join(F.array_sort(F.collect_list(F.struct("_at", F.coalesce(F.nullif("_label", F.lit("")), "id").alias("l"))))["l"], "|").alias("_said"))
+    told = Steps(facts.sparkSession).saved(said)
+    out = facts
+    for name, ids in kinds.items():
+        out = out.join(told.select(F.col("_ids").alias(ids), F.col("_said").alias(name)), ids, "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return out.drop(*kinds.values())
 
 
 def item_title(items: DataFrame) -> DataFrame:
@@ -167,14 +196,30 @@ def item_title(items: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class RefreshPlan:
-    """inserts: new events with ordinal and qid. skipped: (qid, reason). updates: changed rows in scope, with the marks of what moved. gone: (id) of rows in scope that the source has lost."""
+    """inserts: new events with ordinal and qid. skipped: (qid, reason). updates: changed rows in scope, with the marks of what moved. gone: (id) of rows in scope that the source has lost.
+
+    Inserts and updates are worked out when they are first asked for.
+    """
 
     items: DataFrame
-    inserts: DataFrame
-    skipped: DataFrame
+    events: DataFrame
+    facts: DataFrame
+    removed: DataFrame
+    canonical: DataFrame
     scope: DataFrame
-    updates: DataFrame
-    gone: DataFrame
+
+    @cached_property
+    def _new(self) -> tuple[DataFrame, DataFrame]:
+        return plan_inserts(self.items, self.events, self.facts.filter("not missing"), self.removed)
+
+    @cached_property
+    def _changed(self) -> tuple[DataFrame, DataFrame]:
+        return plan_updates(self.scope, self.items, self.facts, self.canonical)
+
+    inserts = property(lambda self: self._new[0])
+    skipped = property(lambda self: self._new[1])
+    updates = property(lambda self: self._changed[0])
+    gone = property(lambda self: self._changed[1])
 
     def report(self) -> DataFrame:
         """(measure, n) of the run."""
@@ -189,29 +234,28 @@ class RefreshPlan:
 def plan_inserts(items: DataFrame, events: DataFrame, facts: DataFrame, removed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(inserts, skipped) of merged items that no event carries yet. Reasons: removed, label, title, name, unsourced, the first that holds."""
     known = events.filter(F.startswith("source_id", F.lit("Q"))).select(F.col("source_id").alias("qid")).distinct()
-    rows = item_title(items.join(known, "qid", "left_anti")).withColumnRenamed("date", "_literal").join(removed.select("qid").distinct().withColumn("_removed", F.lit(True)), "qid", "left")
-    live = facts.select("qid", F.col("date").alias("wikidata_date"), F.col("precision").alias("wikidata_precision"), F.col("end").alias("wikidata_end"), F.col("end_precision").alias("wikidata_end_precision"), F.col("conflict").alias("wikidata_conflict"), F.col("instance").alias("wikidata_instance_of"))
+    # Of an item's own date, year, display and range follow from the literal alone.
+    rows = told_once(items, {"literal": F.col("date")}, lambda g: literal_shown(g["literal"]), "_own").drop("date")
+    rows = item_title(rows.join(known, "qid", "left_anti")).join(removed.select("qid").distinct().withColumn("_removed", F.lit(True)), "qid", "left")
+    live = shown_once(facts).select("qid", "_shown", F.col("date").alias("wikidata_date"), F.col("precision").alias("wikidata_precision"), F.col("end").alias("wikidata_end"), F.col("end_precision").alias("wikidata_end_precision"), F.col("conflict").alias("wikidata_conflict"), F.col("instance").alias("wikidata_instance_of"))
     rows = conform_facts(rows.join(live, "qid", "left"))
-    shown = rendered(F.col("wikidata_date"), F.col("wikidata_precision"), F.col("wikidata_end"), F.col("wikidata_end_precision"))
-    rows = rows.withColumn("_shown", shown).withColumn("year", F.coalesce("_shown.year", literal_year(F.col("_literal"))))
-    rows = rows.withColumn("date", F.coalesce("_shown.date", literal_date(F.col("_literal"), F.col("year"))))
-    span = dates.parse_range(F.col("date"), F.col("year"))
-    rows = rows.withColumn("date_start", F.coalesce("_shown.start", span["start"])).withColumn("date_end", F.coalesce("_shown.end", span["end"])).withColumn("_slug", text.slug(F.col("label")))
+    rows = rows.withColumns({k: F.coalesce(f"_shown.{of}", f"_own.{of}") for k, of in (("year", "year"), ("date", "date"), ("date_start", "start"), ("date_end", "end"))})
+    rows = rows.withColumn("_slug", text.slug(F.col("label")))
 
     # A name clashes with a curated row's, and with a row's of a year next to its own or of no year. Each such rule is a key.
     name = F.lower("name")
     keyed = lambda key, of: F.concat(key.cast("string"), F.lit(" "), of)
     mine = events.select(F.explode(F.array(keyed(F.lit("any"), name), keyed(F.col("year"), name), F.when(F.col("source") == "curated", keyed(F.lit("curated"), name)))).alias("_key")).filter("_key is not null").distinct()
     theirs = F.when(F.col("year") == 0, F.array(F.lit("any"), F.lit("curated"))).otherwise(F.array(F.lit("curated"), F.lit("0"), *((F.col("year") + d).cast("string") for d in (-1, 0, 1))))
-    clash = rows.select("qid", F.explode(F.transform(theirs, lambda k: keyed(k, F.lower("label")))).alias("_key")).join(mine, "_key", "left_semi").select("qid").distinct().withColumn("_named", F.lit(True))
-    owned = events.filter("wikipedia_title != ''").select(F.col("wikipedia_title").alias("title")).distinct().withColumn("_owned", F.lit(True))
-    rows = rows.join(clash, "qid", "left").join(owned, "title", "left")
+    clash = rows.filter("label != ''").select("qid", F.explode(F.transform(theirs, lambda k: keyed(k, F.lower("label")))).alias("_key")).join(mine, "_key", "left_semi").select("qid").distinct().withColumn("_named", F.lit(True))
+    owned = events.filter("wikipedia_title != ''").select(apart("wikipedia_title").alias("_apart")).distinct().withColumn("_owned", F.lit(True))
+    rows = rows.join(clash, "qid", "left").withColumn("_apart", apart("title", "qid")).join(owned, "_apart", "left")
     no_label = (F.col("label") == "") | (F.col("_slug") == "")
     unsourced = (F.col("title") == "") & ((F.col("year") == 0) | ((F.col("lat") == 0) & (F.col("lng") == 0)))
     stands = F.col("_removed").isNull() & ~no_label & F.col("_owned").isNull() & F.col("_named").isNull() & ~unsourced
     rows = written(rows.withColumn("_stands", stands).withColumn("_unsourced", unsourced).withColumn("_nolabel", no_label))
-    first = rows.filter("_stands and title != ''").groupBy("title").agg(F.min("ordinal").alias("_first"))
-    rows = rows.join(first, "title", "left")
+    first = rows.filter("_stands and title != ''").groupBy(apart("title").alias("_apart")).agg(F.min("ordinal").alias("_first"))
+    rows = rows.join(first, "_apart", "left")
     held = F.col("_owned").isNotNull() | (F.col("_first") < F.col("ordinal"))
     reason = F.when(F.col("_removed").isNotNull(), "removed").when(F.col("_nolabel"), "label").when(held, "title").when(F.col("_named").isNotNull(), "name").when(F.col("_unsourced"), "unsourced")
     judged = rows.withColumn("reason", reason)
@@ -241,15 +285,15 @@ def plan_updates(scope: DataFrame, items: DataFrame, facts: DataFrame, canonical
     Dates are shown anew only if the source's date moved and can be shown; a conflict is kept if the source names none; the
     article's title is taken by a row without one or whose title leads to it; a point by a row at 0, 0.
     """
-    live = facts.filter("not missing").select(F.col("qid").alias("source_id"), *(F.col(c).alias(f"_{c}") for c in ("date", "precision", "end", "end_precision", "conflict", "instance")))
+    live = shown_once(facts.filter("not missing")).select(F.col("qid").alias("source_id"), *(F.col(c).alias(f"_{c}") for c in ("date", "precision", "end", "end_precision", "conflict", "instance")), "_shown")
     told = scope.join(live, "source_id", "left")
     gone = told.filter("_date is null").select("id")
     of_item = item_title(items).select(F.col("qid").alias("source_id"), F.col("title").alias("_title"), F.col("lat").alias("_lat"), F.col("lng").alias("_lng"))
-    leads = canonical.select(F.col("title").alias("wikipedia_title"), F.col("canonical").alias("_canonical"))
-    rows = told.filter("_date is not null").join(of_item, "source_id", "left").join(leads, "wikipedia_title", "left")
+    leads = canonical.select(apart("title").alias("_leads"), F.col("canonical").alias("_canonical"))
+    rows = told.filter("_date is not null").join(of_item, "source_id", "left").withColumn("_leads", apart("wikipedia_title", "id")).join(leads, "_leads", "left")
     moved = (F.col("_date") != "") & ((F.col("_date") != F.col("wikidata_date")) | (F.col("_precision") != F.col("wikidata_precision")) | (F.col("_end") != F.col("wikidata_end")) | (F.col("_end_precision") != F.col("wikidata_end_precision")))
     conflict = F.coalesce(F.nullif("_conflict", F.lit("")), "wikidata_conflict")
-    rows = rows.withColumn("_moved", moved).withColumn("_shown", F.when(F.col("_moved"), rendered(F.col("_date"), F.col("_precision"), F.col("_end"), F.col("_end_precision"))))
+    rows = rows.withColumn("_moved", moved).withColumn("_shown", F.when(F.col("_moved"), F.col("_shown")))
     takes = (F.coalesce("_title", F.lit("")) != "") & (F.col("_title") != F.col("wikipedia_title")) & ((F.col("wikipedia_title") == "") | F.coalesce(F.col("_canonical") == F.col("_title"), F.lit(False)))
     fills = (F.col("lat") == 0) & (F.col("lng") == 0) & ((F.coalesce("_lat", F.lit(0.0)) != 0) | (F.coalesce("_lng", F.lit(0.0)) != 0))
     marks = {"facts_moved": F.col("_moved") | (F.col("_date") != F.col("wikidata_date")) | (conflict != F.col("wikidata_conflict")), "date_moved": F.col("_shown").isNotNull(), "title_set": F.coalesce(takes, F.lit(False)), "coords_set": fills}
@@ -265,11 +309,7 @@ def plan_updates(scope: DataFrame, items: DataFrame, facts: DataFrame, canonical
 def plan_refresh(catalog: Catalog, bindings: DataFrame, facts: DataFrame, labels: DataFrame, canonical: DataFrame, since: int) -> RefreshPlan:
     """facts: qid, date, precision, end, end_precision, conflicts and instances (lists of ids), missing. labels: id, label."""
     items = written(merged_items(bindings))
-    live = labelled(facts, labels)
-    inserts, skipped = plan_inserts(items, catalog.events, live.filter("not missing"), catalog.removed)
-    scope = in_scope(catalog.events, since)
-    updates, gone = plan_updates(scope, items, live, canonical)
-    return RefreshPlan(items, inserts, skipped, scope, updates, gone)
+    return RefreshPlan(items, catalog.events, labelled(facts, labels), catalog.removed, canonical, in_scope(catalog.events, since))
 
 
 def applied(catalog: Catalog, plan: RefreshPlan, checked: str, most: int = MOST_UPDATES) -> Catalog:

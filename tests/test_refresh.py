@@ -143,3 +143,18 @@ def test_dates_of_the_source(spark):
         (1896, "1 – 4 March 1896", "1896-03-01", "1896-03-04"), (1896, "1 March – 4 May 1896", "1896-03-01", "1896-05-04"), (1896, "March – 31 March 1896", "1896-03-01", "1896-03-31"), (1896, "1896 – 1898", "1896-01-01", "1898-12-31"),
         (1896, "1896", "1896-12-31", "1896-12-31"), (-480, "480 BC", "-0480-12-31", "-0480-12-31"), None, None, (1896, "9 March 1896", "1896-03-09", "1896-03-09"), (1896, "1 March 1896 – April 1897", "1896-03-01", "1897-04-30"),
     ]
+
+
+def test_updates_plan_no_inserts_and_lists_are_labelled_once(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("inserts were planned")
+
+    have = events(spark, dict(id="a", source_id="Q1", wikidata_date="+2024-07-01", wikidata_precision=11))
+    live = facts(spark, {"Q1": fact("+2024-08-02", 11, conflicts=("C1", "C9"), instances=("C1",)), "Q2": fact("+2024-08-02", 11, instances=("C1",))})
+    labels = spark.createDataFrame([("C1", "War one")], "id string, label string")
+    monkeypatch.setattr(refresh, "plan_inserts", refuse)
+    plan = refresh.plan_refresh(cat.Catalog.of(spark, events=have), bindings(spark, ("Q9", "Nine", "", "", "")), live, labels, spark.createDataFrame([], "title string, canonical string"), 2022)
+    assert [(r.id, r.wikidata_conflict, r.date) for r in plan.updates.collect()] == [("a", "War one|C9", "2 August 2024")]
+    told = refresh.labelled(live, labels)
+    assert sorted((r.qid, r.conflict, r.instance) for r in told.collect()) == [("Q1", "War one|C9", "War one"), ("Q2", "", "War one")]
+    assert "collect_list" not in told._jdf.queryExecution().executedPlan().toString()  # the lists are told before
