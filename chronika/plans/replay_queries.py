@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,10 +30,13 @@ LINES = f"p as (select 'r' || l_orderkey as id, row_number() over (partition by
 
 
 def made(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").selectExpr("concat('r', cast(l_orderkey as string)) as id", "struct(l_linenumber, l_partkey, l_suppkey, l_quantity) as o", *(f"{v} as {k}" for k, v in LINE.items()))
-    inner = "named_struct('o', o, 'said', said, 'title', title, 'narration', narration, 'ms', ms, 'camera', camera, 'units', array(named_struct('id', 'u', 'label', 'U', 'faction', f, 'x', x, 'y', 20D, 'lat', 0D, 'lng', 0D), named_struct('id', v, 'label', 'V', 'faction', 'b', 'x', 50D, 'y', y2, 'lat', lat2, 'lng', if(lat2 = 0, 0D, 10D))), 'movements', array(named_struct('faction', 'c', 'fromX', x, 'fromY', 5D, 'fromLat', 0D, 'fromLng', 0D, 'toX', 1D, 'toY', 1D, 'toLat', if(to_lng = 0, 0D, 40D), 'toLng', to_lng)))"
-    held = lines.select("id", F.expr(inner).alias("p")).groupBy("id").agg(F.array_sort(F.collect_list("p")).alias("p"))
-    phases = held.select("id", F.expr("transform(p, (x, i) -> named_struct('index', cast(if(x.said < 0, i, x.said) as int), 'title', x.title, 'narration', x.narration, 'durationMs', x.ms, 'cameraLat', x.camera, 'cameraLng', if(x.camera = 0, 0D, 10D), 'units', x.units, 'movements', x.movements))").alias("phases"))
+    """The replays. Lines are gathered as their four numbers, and phases are told of them where they are gathered."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("concat('r', cast(l_orderkey as string)) as id", "struct(l_linenumber, l_partkey, l_suppkey, l_quantity) as o")
+    told = ", ".join(f"'{k}', " + re.sub(r"\b(l_\w+)", r"n.\1", v) for k, v in LINE.items())
+    held = lines.groupBy("id").agg(F.array_sort(F.collect_list("o")).alias("o")).select("id", F.expr(f"transform(o, n -> named_struct({told}))").alias("p"))
+    units = "array(named_struct('id', 'u', 'label', 'U', 'faction', n.f, 'x', n.x, 'y', 20D, 'lat', 0D, 'lng', 0D), named_struct('id', n.v, 'label', 'V', 'faction', 'b', 'x', 50D, 'y', n.y2, 'lat', n.lat2, 'lng', if(n.lat2 = 0, 0D, 10D)))"
+    movements = "array(named_struct('faction', 'c', 'fromX', n.x, 'fromY', 5D, 'fromLat', 0D, 'fromLng', 0D, 'toX', 1D, 'toY', 1D, 'toLat', if(n.to_lng = 0, 0D, 40D), 'toLng', n.to_lng))"
+    phases = held.select("id", F.expr(f"transform(p, (n, i) -> named_struct('index', cast(if(n.said < 0, i, n.said) as int), 'title', n.title, 'narration', n.narration, 'durationMs', n.ms, 'cameraLat', n.camera, 'cameraLng', if(n.camera = 0, 0D, 10D), 'units', {units}, 'movements', {movements}))").alias("phases"))
     orders = table(spark, sf_dir, "orders").selectExpr(f"concat('r', cast({K} as string)) as id", f"{ORDER['title']} as title", f"{ORDER['intro']} as intro", "'A' as factionA", f"{ORDER['faction']} as factionB")
     return orders.join(phases, "id", "left")
 
