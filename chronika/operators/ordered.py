@@ -25,6 +25,12 @@ def ranges(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return written(dealt.withColumn("_row", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_row", 33)).drop("_tie"))
 
 
+def dealt(rows: DataFrame, *keys: str, size: int = 500_000) -> DataFrame:
+    """The rows by keys in as many tasks as hold about `size` rows each, however many rows there are; the session's number of tasks at least."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-rows.count() // size)), *keys)
+
+
 def same(a: str, b: str, columns: Sequence[str]) -> Column:
     """Join condition of two aliased frames on some columns; nulls meet."""
     out = F.lit(True)

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronika.operators import audit, enrich, filters, joins, quality, resolve, stats
+from chronika.operators import audit, enrich, filters, joins, ordered, quality, resolve, stats
 from chronika.plans.registry import query, table
 from chronika.sources import catalog as tables
 from chronika.sources.catalog import Catalog
@@ -171,7 +171,7 @@ union all select id, 'units', 'error', 'lie outside the field or on its placehol
 union all select id, 'phases', 'error', 'are too few or too many' from f group by id having count(*) not between 3 and 12 union all select id, 'phases', 'error', 'are not numbered by position' from f group by id having max(i) <> count(*) - 1)""")
 def validate_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings on replay phases: an order's lines are the phases."""
-    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as id", "l_partkey as p", "cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 as int) as i")
+    lines = ordered.dealt(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr("l_orderkey as id", "l_partkey as p", "cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 as int) as i")
     phases = lines.selectExpr(
         "id", "case when id % 11 = 0 and i > 0 then i + 1 else i end as phase_index", "case when p % 30 = 0 then ' ' else 'Phase' end as title", "4000 + (p % 80) * 100 as duration_ms",
         "array(named_struct('id', 'a', 'x', cast(p % 104 as double), 'y', 50.0D), named_struct('id', case when p % 7 = 0 then 'a' else 'b' end, 'x', 10.0D, 'y', 20.0D)) as units",
