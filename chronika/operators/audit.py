@@ -153,20 +153,20 @@ def lookup(of: Column, table: dict[str, int | tuple[int, int]], place: int | Non
     return out.cast("long")
 
 
-def validate_events(nested: DataFrame, ocean: Sequence[tuple[str, geo.Box]] = (), unit: str = "id") -> DataFrame:
-    """(id, field, severity, message) of curated events with their sides."""
+def validate_events(nested: DataFrame, ocean: Sequence[tuple[str, geo.Box]] = (), unit: str = "id", events: DataFrame | None = None) -> DataFrame:
+    """(id, field, severity, message) of curated events with their sides. Where the flat events are given too, repeated ids are counted on them."""
     c = F.col
     low, high = lookup(c("era"), ERA_YEARS, 0), lookup(c("era"), ERA_YEARS, 1)
     n = F.size("sides")
-    worst = F.array_max(F.transform("sides", lambda s: numbers.largest_figure(s["casualties"])))
-    lost = F.aggregate(F.transform("sides", lambda s: numbers.largest_figure(s["casualties"])), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    worst = F.array_max("_lost")
+    lost = F.aggregate("_lost", F.lit(0).cast("bigint"), lambda a, x: a + x)
     force = F.aggregate(F.transform("sides", lambda s: numbers.comparable_force(s["strength"])), F.lit(0.0), lambda a, x: a + x)
     words = lambda x: F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"(\p{L}{5,})"), 1), lambda w: w != "")
     agrees = F.exists("sides", lambda s: F.contains(F.lower(s["name"]), F.lower("victor")) | F.contains(F.lower("victor"), F.lower(s["name"])) | F.arrays_overlap(words(s["name"]), words(c("victor"))))
     generic = F.lower("victor").rlike("inconclusive|draw|stalemate|indecisive|ceasefire|negotiat|disputed|ongoing")
     box = geo.first_box(c("lat"), c("lng"), ocean) if ocean else F.lit(None).cast("string")
-    again = nested.groupBy(unit).agg(F.count("*").alias("_n")).filter("_n > 1").select(unit, F.lit(True).alias("_repeated"))
-    rows = nested.join(again, unit, "left")
+    again = (nested if events is None else events).groupBy(unit).agg(F.count("*").alias("_n")).filter("_n > 1").select(unit, F.lit(True).alias("_repeated"))
+    rows = nested.join(again, unit, "left").withColumn("_lost", F.transform("sides", lambda s: numbers.largest_figure(s["casualties"])))
     return explode_findings(
         rows,
         [
@@ -195,7 +195,7 @@ def validate_events(nested: DataFrame, ocean: Sequence[tuple[str, geo.Box]] = ()
             finding((F.trim("summary") == "") & (F.trim("significance") == ""), "summary", "warning", "is blank, as is the significance"),
             finding(dates.year_disagrees(c("year"), c("date")), "year", "error", "is not the one in the date"),
             finding((c("victor") != "") & ~generic & ~agrees, "victor", "warning", "is none of the sides"),
-            finding((force > 0) & (lost > 1.2 * force), "sides.casualties", "warning", "are more than took part"),
+            finding((lost > 0) & (force > 0) & (lost > 1.2 * force), "sides.casualties", "warning", "are more than took part"),
         ],
         "id",
     )

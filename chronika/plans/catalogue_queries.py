@@ -161,7 +161,9 @@ union all select id, 'sides.casualties', 'warning', 'are more than took part' fr
 @query(VALIDATION)
 def validate_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The findings on events with their sides."""
-    return audit.validate_events(tables.nested(catalogue(spark, sf_dir)), ocean=[("deep", (-19.0, -5.0, -40.0, -10.0))])
+    c = catalogue(spark, sf_dir)
+    nested = tables.nest_children(c.events, c.sides, "id", "battle_id", ["side_index"], "sides")
+    return audit.validate_events(nested, ocean=[("deep", (-19.0, -5.0, -40.0, -10.0))], events=c.events)
 
 
 @query("""with p as (select case when l_orderkey % 50 = 7 then l_orderkey + 1000000 else l_orderkey end as id, cast(row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) - 1 as int) as i, l_orderkey as k, l_partkey as p, l_suppkey as u from lineitem),
