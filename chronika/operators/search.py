@@ -25,7 +25,11 @@ def sanitize(query: str) -> list[str]:
 
 def words(blob: Column) -> Column:
     """The folded tokens of a text, in order."""
-    return F.filter(F.split(text.fold(blob), r"[^\p{L}\p{N}']+"), lambda w: w != "")
+    return parted(text.fold(blob))
+
+
+def parted(folded: Column) -> Column:
+    return F.filter(F.split(folded, r"[^\p{L}\p{N}']+"), lambda w: w != "")
 
 
 def tokens(rows: DataFrame, id_col: str, blob: Column) -> DataFrame:
