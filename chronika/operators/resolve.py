@@ -194,8 +194,13 @@ def override_points(events: DataFrame, overrides: DataFrame) -> DataFrame:
     return events.join(overrides.select("id", F.col("lat").alias("_lat"), F.col("lng").alias("_lng")), "id", "left").withColumn("lat", F.coalesce("_lat", "lat")).withColumn("lng", F.coalesce("_lng", "lng")).select(events.columns)
 
 
+def told_side() -> Column:
+    """A side of which a name or a commander is told."""
+    return (F.trim("name") != "") | (F.trim("commander") != "")
+
+
 def drop_blank_sides(sides: DataFrame) -> DataFrame:
-    return sides.filter((F.trim("name") != "") | (F.trim("commander") != ""))
+    return sides.filter(told_side())
 
 
 def fill_if_empty(rows: DataFrame, found: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -55,9 +55,10 @@ REFERENCES = {"battle_id": "concat('event-', cast(c_custkey * 13 as string))", "
 SOURCES = {"events": ("orders", EVENTS), "sides": ("lineitem", SIDES), "refs": ("customer", REFERENCES)}
 
 
-def made(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def made(spark: SparkSession, sf_dir: str, name: str, **other: str) -> DataFrame:
+    """A table of the catalogue; other: columns that are made in another way."""
     source, columns = SOURCES[name]
-    return table(spark, sf_dir, source).selectExpr(*(f"{v} as {k}" for k, v in columns.items()))
+    return table(spark, sf_dir, source).selectExpr(*(f"{v} as {k}" for k, v in (columns | other).items()))
 
 
 def catalogue(spark: SparkSession, sf_dir: str) -> Catalog:

@@ -69,14 +69,12 @@ def reconcile_idempotence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: A name stands for the next one in blocks of eight customers; wars of orders are such names.
 def aliased(spark: SparkSession, sf_dir: str) -> cleanse.Settled:
-    c = catalogue(spark, sf_dir)
-    wars = table(spark, sf_dir, "orders").selectExpr("concat('event-', cast(o_orderkey as string)) as id", "concat('War ', cast(o_custkey as string)) as _war")
-    c = c.with_(events=conform(c.events.join(wars, "id").withColumn("war", F.col("_war")), EVENTS))
+    c = catalogue(spark, sf_dir).with_(events=conform(made(spark, sf_dir, "events", war="concat('War ', cast(o_custkey as string))"), EVENTS))
     aliases = table(spark, sf_dir, "customer").filter("c_custkey % 8 < 7 and c_custkey % 5 > 0").selectExpr("upper(concat('War ', cast(c_custkey as string))) as alias", "concat('War ', cast(c_custkey + 1 as string)) as name")
     steps = [
-        ("war aliases", cleanse.on_events(lambda e: joins.rename_aliases(e, aliases, "war", resolve.free(e)))),
-        ("align year", cleanse.on_events(resolve.align_year)),
-        ("blank sides", lambda x: x.with_(sides=resolve.drop_blank_sides(x.sides))),
+        ("war aliases", cleanse.RowPass("events", ("source", "verified"), ("war",), lambda e: joins.rename_aliases(e, aliases, "war", resolve.free(e)))),
+        ("align year", cleanse.RowPass("events", ("source", "verified", "date"), ("year",), resolve.align_year)),
+        ("blank sides", cleanse.RowPass("sides", ("name", "commander"), keep=resolve.told_side())),
     ]
     return cleanse.settled(c, steps)
 
