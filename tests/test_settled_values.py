@@ -86,3 +86,18 @@ def test_rows_that_equal_values_share_keep_their_own_log(spark):
     done = cleanse.settled(catalog(spark), steps(spark))
     log = [(r.round, r.id, r.was, r.now) for r in done.changes.filter(F.col("column") == "war").collect()]
     assert sorted(x for x in log if x[1] == "r00") == sorted(2 * [(1, "r00", "first", "second"), (2, "r00", "second", "third"), (3, "r00", "third", "fourth")])
+
+
+def test_renames_by_round_are_counted_from_values(spark, monkeypatch):
+    saved, real = [], Steps.saved
+    monkeypatch.setattr(Steps, "saved", lambda self, rows: saved.append(rows.columns) or real(self, rows))
+    found = {(r["round"], r["n"]) for r in reconcile_queries.aliased(spark, SF).changes.filter("column = 'war'").groupBy("round").agg(F.count("*").alias("n")).collect()}
+    assert saved and not any("id" in columns for columns in saved)  # neither events nor a log of each event is written
+    known = {r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect() if r[0] % 8 < 7 and r[0] % 5 > 0}
+    counts = {}
+    for at, in spark.read.parquet(f"{SF}/orders.parquet").filter("o_orderkey % 4 > 0 and o_orderkey % 5 > 0").select("o_custkey").collect():
+        hops = 0
+        while at in known:
+            at, hops = at + 1, hops + 1
+            counts[hops] = counts.get(hops, 0) + 1
+    assert found == set(counts.items())
